@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The original job has no stream input, watermark, window or state; it is a batch job over a date
+window.  Nothing is built here so as not to invent operators the job does not have.
+"""
