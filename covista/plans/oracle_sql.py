@@ -85,19 +85,27 @@ stats AS (SELECT pp.sub_category, pp.sku1, pp.sku2, pp.pv1, pp.pv2, pp.com, tota
                   JOIN total ON total.sub_category = pp.sub_category)"""
 
 
+def _log2(x: str) -> str:
+    # log base 2 as the original computed it (``math.log(x, 2)`` = ln x / ln 2), which is also
+    # how Spark's log2 evaluates; DuckDB's own log2 rounds differently on exact powers of two.
+    return f"(ln({x}) / ln(2))"
+
+
 def weight_sql(norm: int) -> str:
-    d = lambda c: f"cast({c} AS double)"
+    com, pv1, pv2, total = "cast(com AS double)", "cast(pv1 AS double)", "cast(pv2 AS double)", "cast(total AS double)"
+    pj = "cast(pot_joint AS double)"
     if norm == 1:
-        return (f"log2({d('com')} * pot1 * pot2 / nullif({d('pv2')} * pv1 * pot_joint, 0) + 1e-40)"
-                f" / nullif(-log2({d('com')} / nullif(pot_joint, 0) + 1e-40), 0) * 100")
+        lift = f"{com} * pot1 * pot2 / nullif({pv2} * {pv1} * {pj}, 0) + 1e-40"
+        pxy = f"{com} / nullif({pj}, 0) + 1e-40"
+        return f"{_log2(lift)} / nullif(-{_log2(pxy)}, 0) * 100"
     if norm == 2:
-        return (f"pow(2.0, log2({d('com')} * total / nullif({d('pv2')} * pv1, 0) + 1e-40)"
-                f" + log2({d('com')} / nullif(total, 0) + 1e-20))")
+        a = f"{com} * {total} / nullif({pv2} * {pv1}, 0) + 1e-40"
+        b = f"{com} / nullif({total}, 0) + 1e-20"
+        return f"pow(2.0, {_log2(a)} + {_log2(b)})"
     if norm == 3:
-        return f"log2({d('com')} * pot1 * pot2 / nullif({d('pv2')} * pv1 * pot_joint, 0) + 1e-40)"
+        return _log2(f"{com} * pot1 * pot2 / nullif({pv2} * {pv1} * {pj}, 0) + 1e-40")
     k = norm - 2
-    return (f"log2(pow({d('com')}, {k}) * pot1 * pot2 / nullif({d('pv2')} * pv1 * pow({d('pot_joint')}, {k}), 0)"
-            f" + 1e-40)")
+    return _log2(f"pow({com}, {k}) * pot1 * pot2 / nullif({pv2} * {pv1} * pow({pj}, {k}), 0) + 1e-40")
 
 
 def edge_ctes(p: Params) -> str:
