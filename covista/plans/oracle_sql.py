@@ -35,7 +35,7 @@ total AS (SELECT sub_category, count(DISTINCT visitor) AS total FROM q GROUP BY
 traffic AS (SELECT sub_category, ssc, visit_date, count(DISTINCT user_id) AS visits
             FROM q GROUP BY sub_category, ssc, visit_date),
 prof AS (SELECT sub_category, sku, max(fvd) AS fvd, min(ssc) AS ssc FROM q GROUP BY sub_category, sku),
-pot AS (SELECT pf.sub_category, pf.sku, coalesce(sum(t.visits), 0) AS pot
+pot AS (SELECT pf.sub_category, pf.sku, cast(coalesce(sum(t.visits), 0) AS bigint) AS pot
         FROM prof pf LEFT JOIN traffic t
           ON t.sub_category = pf.sub_category AND t.ssc = pf.ssc AND t.visit_date {_op(p)} pf.fvd
         WHERE pf.fvd IS NOT NULL AND pf.ssc IS NOT NULL
@@ -74,7 +74,7 @@ jd AS (SELECT jk.sub_category, jk.sa, jk.sb, jk.maxfvd, t1.visits AS c1, t2.visi
        JOIN traffic t1 ON t1.sub_category = jk.sub_category AND t1.ssc = jk.sa AND t1.visit_date {_op(p)} jk.maxfvd
        JOIN traffic t2 ON t2.sub_category = jk.sub_category AND t2.ssc = jk.sb AND t2.visit_date = t1.visit_date
        JOIN nd ON nd.sub_category = jk.sub_category AND nd.visit_date = t1.visit_date),
-jv AS (SELECT jk.sub_category, jk.sa, jk.sb, jk.maxfvd, coalesce({pj}, 0) AS pot_joint
+jv AS (SELECT jk.sub_category, jk.sa, jk.sb, jk.maxfvd, cast(coalesce({pj}, 0) AS bigint) AS pot_joint
        FROM jk LEFT JOIN jd ON jd.sub_category = jk.sub_category AND jd.sa = jk.sa AND jd.sb = jk.sb
                           AND jd.maxfvd = jk.maxfvd
        GROUP BY jk.sub_category, jk.sa, jk.sb, jk.maxfvd),

@@ -245,7 +245,7 @@ def _oracles() -> dict[str, str]:
         FROM {src} WHERE weight IS NOT NULL GROUP BY sub_category"""
     out["edge_summary"] = full(p, summ("w", "before") + " UNION ALL " + summ("edges", "after"))
     sweep_thr = " UNION ALL ".join(
-        f"SELECT sub_category, {float(s)} AS pmi_perc, quantile_cont(weight, {s / 100.0}) AS threshold "
+        f"SELECT sub_category, cast({float(s)} AS double) AS pmi_perc, quantile_cont(weight, {s / 100.0}) AS threshold "
         f"FROM w WHERE weight > 0 GROUP BY sub_category" for s in SWEEP)
     # the sweep needs one more CTE after ``edges``
     out["percentile_sweep"] = ("WITH " + O.base_ctes(p) + O.pair_ctes(p) + O.edge_ctes(p)
@@ -258,3 +258,172 @@ FROM w JOIN sw USING (sub_category) WHERE w.weight > sw.threshold""")
 
 def oracles() -> dict[str, str]:
     return _oracles()
+
+
+# ---------------------------------------------------------------- graph queries
+
+from ..operators.graph import core as G  # noqa: E402
+from ..operators.graph.label_prop import label_propagation, label_propagation_sql  # noqa: E402
+from ..operators.graph.moving import louvain, potts_communities, signed_potts_communities  # noqa: E402
+from ..operators.graph.merges import fast_greedy  # noqa: E402
+from ..operators.graph.split import split_large  # noqa: E402
+from . import qc as QC  # noqa: E402
+from ..runtime import cut_lineage  # noqa: E402
+
+LP_ROUNDS = 3
+
+
+def flagship_edges(spark, sf, p=None):
+    """The cut edge list (full precision), materialised once per call."""
+    p = p or P()
+    return cut_lineage(E.pmi_edges(_stage(spark, sf, p).stats, p.norm, p.pmi_perc, p.method))
+
+
+def _ssc_membership(spark, sf):
+    """A fixed partition for exact checks: each SKU in its sub-sub-category."""
+    pr = fx.products(spark, sf)
+    return pr.select(F.col("SubCategory").alias(KEY), F.col("ProductItemID").alias("sku"),
+                     F.col("SubSubCategory").alias("cluster"))
+
+
+def q_graph_simplify(spark, sf):
+    return _r(G.simplify(flagship_edges(spark, sf)), "weight")
+
+
+def q_modularity(spark, sf):
+    e = G.simplify(flagship_edges(spark, sf))
+    return _r(G.modularity(e, _ssc_membership(spark, sf)), "modularity")
+
+
+def q_induced_edges(spark, sf):
+    e = flagship_edges(spark, sf)
+    return _r(G.induced_edges(G.simplify(e), label_propagation(e, LP_ROUNDS)), "weight")
+
+
+def q_graph_export(spark, sf):
+    return _r(G.graph_export(G.simplify(flagship_edges(spark, sf)), _ssc_membership(spark, sf)), "weight", "width")
+
+
+def _lp(spark, sf):
+    return cut_lineage(label_propagation(flagship_edges(spark, sf), LP_ROUNDS))
+
+
+def q_community_label_propagation(spark, sf):
+    return _lp(spark, sf)
+
+
+def q_cluster_sizes(spark, sf):
+    return QC.cluster_sizes(_lp(spark, sf))
+
+
+def q_cluster_image_table(spark, sf):
+    return QC.attach_images(_lp(spark, sf), fx.sku_images(spark, sf))
+
+
+def q_qc_table(spark, sf):
+    return QC.qc_table(_lp(spark, sf), fx.sku_images(spark, sf), "cluster")
+
+
+def q_lp_modularity(spark, sf):
+    e = G.simplify(flagship_edges(spark, sf))
+    return _r(G.modularity(e, _lp(spark, sf)), "modularity")
+
+
+def q_connected_components(spark, sf):
+    return G.connected_components(G.simplify(flagship_edges(spark, sf)))
+
+
+def q_community_louvain(spark, sf):
+    return louvain(flagship_edges(spark, sf))
+
+
+def q_community_potts(spark, sf):
+    return potts_communities(flagship_edges(spark, sf), gamma=0.5)
+
+
+def q_community_signed_potts(spark, sf):
+    p = P(method=7, sg_gamma=0.5, sg_lambda=0.5)
+    return signed_potts_communities(flagship_edges(spark, sf, p), 0.5, 0.5)
+
+
+def q_community_fast_greedy(spark, sf):
+    return fast_greedy(flagship_edges(spark, sf))
+
+
+def q_split_large(spark, sf):
+    p = P(method=4, sub_method=8, cl_size_thresh=30, iter_count=5, sg_gamma=0.5, sg_lambda=0.5)
+    e = flagship_edges(spark, sf, p)
+    return split_large(e, cut_lineage(louvain(e)), p)
+
+
+QUERIES.update({
+    "graph_simplify": q_graph_simplify,
+    "modularity": q_modularity,
+    "induced_edges": q_induced_edges,
+    "graph_export": q_graph_export,
+    "community_label_propagation": q_community_label_propagation,
+    "cluster_sizes": q_cluster_sizes,
+    "cluster_image_table": q_cluster_image_table,
+    "qc_table": q_qc_table,
+    "lp_modularity": q_lp_modularity,
+    "connected_components": q_connected_components,
+    "community_louvain": q_community_louvain,
+    "community_potts": q_community_potts,
+    "community_signed_potts": q_community_signed_potts,
+    "community_fast_greedy": q_community_fast_greedy,
+    "split_large": q_split_large,
+})
+
+
+def _graph_oracles() -> dict[str, str]:
+    p = P()
+    chain = "WITH " + O.base_ctes(p) + O.pair_ctes(p) + O.edge_ctes(p)
+    ge = """,
+ge AS (SELECT sub_category, least(src, dst) AS src, greatest(src, dst) AS dst, max(weight) AS weight
+       FROM edges WHERE src <> dst GROUP BY sub_category, least(src, dst), greatest(src, dst)),
+mem AS (SELECT SubCategory AS sub_category, ProductItemID AS sku, SubSubCategory AS cluster FROM products)"""
+    modq = lambda mem: f""",
+mqd AS (SELECT sub_category, src AS v, dst AS u, weight FROM ge
+       UNION ALL SELECT sub_category, dst AS v, src AS u, weight FROM ge),
+mqe AS (SELECT mqd.*, a.cluster AS cv, b.cluster AS cu FROM mqd
+         JOIN {mem} a ON a.sub_category = mqd.sub_category AND a.sku = mqd.v
+         JOIN {mem} b ON b.sub_category = mqd.sub_category AND b.sku = mqd.u),
+mqt AS (SELECT sub_category, sum(CASE WHEN cv = cu THEN weight ELSE 0.0 END) AS w_in, sum(weight) AS m2
+        FROM mqe GROUP BY sub_category),
+mqk AS (SELECT sub_category, cv, sum(weight) AS k FROM mqe GROUP BY sub_category, cv)
+SELECT mqt.sub_category, round(w_in / m2 - sum((k / m2) * (k / m2)), {ROUND}) AS modularity
+FROM mqt JOIN mqk USING (sub_category) GROUP BY mqt.sub_category, w_in, m2"""
+    lp = label_propagation_sql(chain, LP_ROUNDS)
+    lp_body = lp[: lp.rindex("SELECT lf.sub_category")]
+    lp_mem = lp_body + ",\nlpm AS (SELECT lf.sub_category, lf.sku, ranked.cluster FROM lf JOIN ranked USING (sub_category, label))"
+    images = f",\nimg AS ({fx.SQL_SKU_IMAGES})"
+    return {
+        "graph_simplify": chain + ge + f"\nSELECT sub_category, src, dst, {_rs('weight')} FROM ge",
+        "modularity": chain + ge + modq("mem"),
+        "induced_edges": lp_mem + f"""
+SELECT ge.sub_category, a.cluster, ge.src, ge.dst, {_rs('weight', 'ge.weight')} FROM ge
+JOIN lpm a ON a.sub_category = ge.sub_category AND a.sku = ge.src
+JOIN lpm b ON b.sub_category = ge.sub_category AND b.sku = ge.dst WHERE a.cluster = b.cluster""",
+        "graph_export": chain + ge + f"""
+SELECT ge.sub_category, ge.src, ge.dst, {_rs('weight', 'ge.weight')}, {_rs('width', 'ge.weight / 10')},
+       a.cluster AS cluster_src, b.cluster AS cluster_dst FROM ge
+LEFT JOIN mem a ON a.sub_category = ge.sub_category AND a.sku = ge.src
+LEFT JOIN mem b ON b.sub_category = ge.sub_category AND b.sku = ge.dst""",
+        "community_label_propagation": lp,
+        "cluster_sizes": lp_mem + "\nSELECT sub_category, cluster, count(*) AS size FROM lpm GROUP BY sub_category, cluster",
+        "cluster_image_table": lp_mem + images + """
+SELECT lpm.sub_category, lpm.sku, lpm.cluster, img.sub_sub_category, img.image_url
+FROM lpm LEFT JOIN img ON img.sku = lpm.sku""",
+        "qc_table": lp_mem + images + """
+SELECT lpm.sub_category, lpm.sku AS SKU, cast(lpm.cluster AS varchar) AS ClusterID, img.sub_sub_category AS SubSubCat,
+       img.image_url AS path,
+       CASE WHEN img.image_url IS NOT NULL THEN '''<img width=''75'' src="' || img.image_url || '" ></img>''' END AS img
+FROM lpm LEFT JOIN img ON img.sku = lpm.sku""",
+        "lp_modularity": lp_mem + modq("lpm"),
+    }
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    out = _oracles()
+    out.update(_graph_oracles())
+    return out
