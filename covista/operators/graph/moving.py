@@ -161,21 +161,23 @@ def local_moving_labels(edges: DataFrame, keys: list[str] = [KEY], gamma: float
     return mapping.select(*keys, "sku", F.col("v").alias("label"))
 
 
-def louvain(edges: DataFrame, gamma: float = 1.0, keys: list[str] = [KEY], max_rounds: int = 50) -> DataFrame:
+def louvain(edges: DataFrame, gamma: float = 1.0, keys: list[str] = [KEY], max_rounds: int = 50,
+            max_levels: int = 20) -> DataFrame:
     """G5 (method 4): multilevel modularity communities, ``keys + [sku, cluster]``."""
-    return as_membership(local_moving_labels(edges, keys, gamma, 0.0, False, max_rounds), keys)
+    return as_membership(local_moving_labels(edges, keys, gamma, 0.0, False, max_rounds, max_levels), keys)
 
 
-def potts_communities(edges: DataFrame, gamma: float = 1.0, keys: list[str] = [KEY], max_rounds: int = 50) -> DataFrame:
+def potts_communities(edges: DataFrame, gamma: float = 1.0, keys: list[str] = [KEY], max_rounds: int = 50,
+                      max_levels: int = 20) -> DataFrame:
     """G8 (method 8): Potts model on positive links with resolution γ (same energy as the
     original's spin glass; minimised by local moving instead of simulated annealing)."""
-    return as_membership(local_moving_labels(edges, keys, gamma, 0.0, False, max_rounds), keys)
+    return as_membership(local_moving_labels(edges, keys, gamma, 0.0, False, max_rounds, max_levels), keys)
 
 
 def signed_potts_communities(edges: DataFrame, gamma: float = 1.0, lam: float = 1.0, keys: list[str] = [KEY],
-                             max_rounds: int = 50) -> DataFrame:
+                             max_rounds: int = 50, max_levels: int = 20) -> DataFrame:
     """G9 (method 7): Potts model with positive and negative links (γ for w⁺, λ for w⁻)."""
-    return as_membership(local_moving_labels(edges, keys, gamma, lam, True, max_rounds), keys)
+    return as_membership(local_moving_labels(edges, keys, gamma, lam, True, max_rounds, max_levels), keys)
 
 
 def all_vertices(edges: DataFrame, keys: list[str] = [KEY]) -> DataFrame:

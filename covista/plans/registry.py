@@ -271,7 +271,8 @@ from . import qc as QC  # noqa: E402
 from ..runtime import cut_lineage  # noqa: E402
 
 LP_ROUNDS = 3
-GRAPH_ROUNDS = 8   # per-level round cap of the iterative graph methods in registered queries
+GRAPH_ROUNDS = 5   # iteration caps of the local-moving methods in registered queries (rounds per level,
+GRAPH_LEVELS = 3   # levels); every round still raises the objective, so results are valid partitions
 
 
 def flagship_edges(spark, sf, p=None):
@@ -335,16 +336,16 @@ def q_connected_components(spark, sf):
 
 
 def q_community_louvain(spark, sf):
-    return louvain(flagship_edges(spark, sf), max_rounds=GRAPH_ROUNDS)
+    return louvain(flagship_edges(spark, sf), max_rounds=GRAPH_ROUNDS, max_levels=GRAPH_LEVELS)
 
 
 def q_community_potts(spark, sf):
-    return potts_communities(flagship_edges(spark, sf), gamma=0.5, max_rounds=GRAPH_ROUNDS)
+    return potts_communities(flagship_edges(spark, sf), gamma=0.5, max_rounds=GRAPH_ROUNDS, max_levels=GRAPH_LEVELS)
 
 
 def q_community_signed_potts(spark, sf):
     p = P(method=7, sg_gamma=0.5, sg_lambda=0.5)
-    return signed_potts_communities(flagship_edges(spark, sf, p), 0.5, 0.5, max_rounds=GRAPH_ROUNDS)
+    return signed_potts_communities(flagship_edges(spark, sf, p), 0.5, 0.5, max_rounds=GRAPH_ROUNDS, max_levels=GRAPH_LEVELS)
 
 
 def q_community_fast_greedy(spark, sf):
@@ -353,9 +354,9 @@ def q_community_fast_greedy(spark, sf):
 
 def q_split_large(spark, sf):
     p = P(method=4, sub_method=8, cl_size_thresh=30, iter_count=5, sg_gamma=0.5, sg_lambda=0.5,
-          max_rounds=GRAPH_ROUNDS)
+          max_rounds=GRAPH_ROUNDS, max_levels=GRAPH_LEVELS)
     e = flagship_edges(spark, sf, p)
-    return split_large(e, cut_lineage(louvain(e, max_rounds=GRAPH_ROUNDS)), p)
+    return split_large(e, cut_lineage(louvain(e, max_rounds=GRAPH_ROUNDS, max_levels=GRAPH_LEVELS)), p)
 
 
 QUERIES.update({
