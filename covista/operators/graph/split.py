@@ -30,16 +30,16 @@ def community_labels(edges: DataFrame, method: int, p: Params, keys: list[str] =
                                   "edge betweenness) is not built yet")
     if method == 4:
         from .moving import local_moving_labels
-        return local_moving_labels(edges, keys, 1.0, 0.0, False, p.max_rounds)
+        return local_moving_labels(edges, keys, 1.0, 0.0, False, p.max_rounds, p.max_levels)
     if method == 6:
         from .label_prop import label_propagation_labels
         return label_propagation_labels(edges, p.lp_rounds, keys)
     if method == 7:
         from .moving import local_moving_labels
-        return local_moving_labels(edges, keys, gamma, p.sg_lambda, True, p.max_rounds)
+        return local_moving_labels(edges, keys, gamma, p.sg_lambda, True, p.max_rounds, p.max_levels)
     if method == 8:
         from .moving import local_moving_labels
-        return local_moving_labels(edges, keys, gamma, 0.0, False, p.max_rounds)
+        return local_moving_labels(edges, keys, gamma, 0.0, False, p.max_rounds, p.max_levels)
     raise ValueError(f"Improper community detection method code: {method!r}")
 
 

@@ -45,12 +45,13 @@ class Params:
     visible_rule: str = "on_or_after"
     joint_mode: str = "daily_min"
     ordered: bool = False
-    # Engine knobs (no effect on results).
+    # Engine knobs.  The first two never change results; the iteration caps may stop a graph
+    # method before it converges (each finished round still improves its objective).
     hot_visitor_skus: int = 2000      # block size used to split visitors with many SKUs
     broadcast_rows: int = 1_000_000   # largest dimension side broadcast after a row check
     max_rounds: int = 50              # cap on rounds of an iterative graph method per level
+    max_levels: int = 20              # cap on contraction levels of the local-moving methods
     lp_rounds: int = 5                # label propagation: fixed number of synchronous rounds
-    checkpoint_every: int = 1         # rounds between checkpoints in graph loops
 
     def validate(self) -> "Params":
         if self.cat_level not in CAT_LEVELS:
