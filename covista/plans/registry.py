@@ -423,6 +423,13 @@ SELECT lpm.sub_category, lpm.sku AS SKU, cast(lpm.cluster AS varchar) AS Cluster
        CASE WHEN img.image_url IS NOT NULL THEN '''<img width=''75'' src="' || img.image_url || '" ></img>''' END AS img
 FROM lpm LEFT JOIN img ON img.sku = lpm.sku""",
         "lp_modularity": lp_mem + modq("lpm"),
+        "connected_components": chain.replace("WITH ", "WITH RECURSIVE ", 1) + ge + """,
+cd AS (SELECT sub_category, src AS v, dst AS u FROM ge UNION ALL SELECT sub_category, dst AS v, src AS u FROM ge),
+reach(sub_category, sku, c) AS (
+  SELECT DISTINCT sub_category, v, v FROM cd
+  UNION
+  SELECT r.sub_category, cd.u, r.c FROM reach r JOIN cd ON cd.sub_category = r.sub_category AND cd.v = r.sku)
+SELECT sub_category, sku, min(c) AS comp FROM reach GROUP BY sub_category, sku""",
     }
 
 
