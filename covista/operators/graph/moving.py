@@ -124,17 +124,19 @@ def move_level(rows, nodes, tot, keys, gamma, lam, max_rounds):
         toward = (F.col("c") < F.col("a")) if rnd % 2 == 0 else (F.col("c") > F.col("a"))
         batch = _apply(comm, moves.filter(toward), keys)
         hb = _objective(rows, nodes, batch, tot, keys, gamma, lam).withColumnRenamed("h", "hb")
-        ok = (h.join(hb, keys).filter(F.col("hb") > F.col("h") + F.lit(TOL) * (F.abs("h") + 1))
-                .select(*keys))
+        # one small table per round: current and batch objective, and whether the batch is taken
+        hh = cut_lineage(h.join(hb, keys).withColumn(
+            "acc", F.col("hb") > F.col("h") + F.lit(TOL) * (F.abs("h") + 1)))
+        ok = hh.filter("acc").select(*keys)
         safe = _conservative(moves.join(ok, keys, "left_anti"), keys)
         chosen = cut_lineage(moves.filter(toward).join(ok, keys, "left_semi").unionByName(safe))
         comm = cut_lineage(_apply(comm, chosen, keys))
         # batch graphs take the measured objective; the others add their (exactly additive) gains
-        gained = safe.groupBy(*keys).agg((2 * F.sum("gain")).alias("dh"))
-        h = cut_lineage(h.join(hb, keys, "left").join(ok.withColumn("acc", F.lit(True)), keys, "left")
-                         .join(gained, keys, "left")
-                         .select(*keys, F.when(F.col("acc"), F.col("hb"))
-                                 .otherwise(F.col("h") + F.coalesce("dh", F.lit(0.0))).alias("h")))
+        gained = (chosen.join(ok, keys, "left_anti").groupBy(*keys)
+                        .agg((2 * F.sum("gain")).alias("dh")))
+        h = cut_lineage(hh.join(gained, keys, "left")
+                          .select(*keys, F.when(F.col("acc"), F.col("hb"))
+                                  .otherwise(F.col("h") + F.coalesce("dh", F.lit(0.0))).alias("h")))
     return comm, moved_any
 
 
