@@ -58,7 +58,7 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
     The check reads at most ``max_rows + 1`` rows.  Beyond the bound the join stays a shuffle
     join (sort-merge, with AQE skew splitting), so nothing unbounded is ever shipped to executors.
-    Callers persist derived inputs first so the check does not recompute them.
+    Callers materialise derived inputs first (``cut_lineage``) so the check does not recompute them.
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
