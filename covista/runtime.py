@@ -27,29 +27,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark, fallback=os.path.join(tempfile.gettempdir(), "covista-ckpt"))
+    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    A cluster names it with ``spark.checkpoint.dir``; only when nothing is set (tests, local runs)
-    is ``fallback`` used.  Without either, iterative graph jobs cannot cut their lineage safely,
-    so this raises instead of picking a machine-local folder.
+    A cluster names it with ``spark.checkpoint.dir``.  Only a local master (tests, bench) falls back
+    to ``fallback`` or a temporary folder: there the driver and the tasks share one disk.  On any
+    other master a missing setting raises, because a machine-local folder would lose data.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-        return sc.getCheckpointDir()
-    if fallback is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running graph methods")
-    os.makedirs(fallback, exist_ok=True)
-    sc.setCheckpointDir(fallback)
+    if not named:
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
+        named = fallback or os.path.join(tempfile.gettempdir(), "covista-ckpt")
+        os.makedirs(named, exist_ok=True)
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -64,12 +64,34 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def scratch_path(spark: SparkSession, label: str = "table") -> str:
+    """A new folder name below the shared checkpoint folder, deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/covista-{label}-{uuid.uuid4().hex}"
+    hadoop, fs = _fs(spark, path)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
     """Materialise ``df`` as a parquet table in the session's shared checkpoint folder and read it
-    back: one job, a short plan for everything built on it, and a copy that survives executor loss.
-    (``DataFrame.checkpoint`` would compute ``df`` twice: once to count, once to write.)"""
+    back: one job, a short plan for everything built on it, and a copy that survives executor loss."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/covista-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._covista_path = path
+    return out
+
+
+def drop_table(df: DataFrame | None) -> None:
+    """Delete the files of a ``cut_lineage`` table that nothing will read again."""
+    path = getattr(df, "_covista_path", None)
+    if path:
+        hadoop, fs = _fs(df.sparkSession, path)
+        fs.delete(hadoop, True)
