@@ -12,6 +12,12 @@ def _public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents, with the ownership verdicts."""
+    from .secret_scan import report, scan
+    return report(scan(table(spark, sf_dir, "documents")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the token files written from all documents."""
     from .token_files import token_ids
@@ -19,6 +25,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_secrets": op6_secrets,
     "op9_token_files": op9_token_files,
 }
 
