@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -18,6 +19,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(table(spark, sf_dir, "documents")))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector against all others."""
+    from .topk import exact_topk
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the token files written from all documents."""
     from .token_files import token_ids
@@ -26,7 +33,23 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_secrets": op6_secrets,
+    "op8_exact_topk": op8_exact_topk,
     "op9_token_files": op9_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_topk": """
+WITH ok AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint))) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+term AS (SELECT vec_id, unnest(w) AS weight, unnest(range(len(w))) AS term FROM ok),
+pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, cast(sum(q.weight * c.weight) AS bigint) AS score
+  FROM term q JOIN term c ON c.term = q.term AND c.vec_id <> q.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair)
+SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
