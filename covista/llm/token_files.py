@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import map_batches, scratch_path, shuffle_partitions
+from .common import map_batches, scratch_path, shuffle_partitions, texts
 
 END_ID = 1
 BLOCK_IDS = 1 << 18      # a block is closed after this many ids; a longer document is one block
@@ -31,37 +31,71 @@ PUNCTUATION = ".,|!*$#%&"
 BLOCKS = "shard int, ids_before bigint, doc_ids array<bigint>, lens array<bigint>, payload binary"
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of words by the tokenizer, as little-endian bytes, remembered across tasks of a worker.
 
     Texts are cut at spaces and line feeds only: this vocabulary's pattern drops white space and no
-    match spans it, so a text's ids are those of its words in order.  Plain ASCII words are looked up
-    without trailing punctuation and case first, which the same pattern separates from letters.
+    match spans it, so a text's ids are those of its words in order.  A plain word is one match of the
+    pattern; it is looked up in lower case and without trailing punctuation, which the pattern
+    separates from letters.  The new plain words of a batch are encoded as one text and cut after each
+    id that ends a word.
     """
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-
-    def _ids(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(PUNCTUATION)
-        low = core.lower()
-        if core and (len(core) < len(word) or low != core) and core.isascii() and core.isalpha():
-            ids = self[low] + (self[word[len(core):]] if len(core) < len(word) else b"")
-        else:
-            ids = self._ids(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-            self[""] = b""
-        self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _each(self, words: list[str]) -> None:
+        for word, got in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
+            self.known[word] = np.array(got.ids, "<u4").tobytes()
+
+    def _plain(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            self._each(words)
+            return
+        at, data = 0, ids.tobytes()
+        for word, end in zip(words, (4 * cuts).tolist()):
+            self.known[word] = data[at:end]
+            at = end
+
+    def _learn(self, words: set[str]) -> None:
+        known = self.known
+        split, plain, other = [], set(), set()
+        for word in words:
+            core = word.rstrip(PUNCTUATION)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0180"):
+                low = core.lower()
+                split.append(word)
+                plain.add(low)
+                if len(core) < len(word):
+                    other.add(word[len(core):])
+            else:
+                other.add(word)
+        plain.difference_update(known)
+        other.difference_update(known)
+        if plain:
+            self._plain(list(plain))
+        if other:
+            self._each(list(other))
+        for word in split:
+            core = word.rstrip(PUNCTUATION)
+            known[word] = known[core.lower()] + known[word[len(core):]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) >= CACHE_WORDS:
+            self.known = {"": b""}
+        new = set().union(*words).difference(self.known)
+        if new:
+            self._learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) for w in words]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -90,8 +124,8 @@ def _pack(tokenizer: str, end_id: int, block_ids: int, id_col: str, text_col: st
                 names=["shard", "ids_before", "doc_ids", "lens", "payload"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col)):
-                ids = words.encode(text.as_py() or "") + end
+            for doc, ids in zip(batch.column(id_col).to_pylist(), words.encode(texts(batch, text_col))):
+                ids += end
                 docs.append(doc)
                 lens.append(len(ids) // 4)
                 held.append(ids)
