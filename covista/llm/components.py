@@ -24,15 +24,14 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if links.isEmpty():
             break
-        large = cut_lineage(_large_star(links), "links")
-        small = cut_lineage(_small_star(large), "links")
+        large = _round(links, _large_star)
+        small = _round(large, _small_star)
         drop_table(large)
-        # stars: no node is both the high end of one link and the low end of another
-        stars = small.join(small.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").isEmpty()
-        single = small.groupBy("hi").count().filter("count > 1").isEmpty() if stars else False
         drop_table(links)
         links = small
-        if stars and single:
+        # stars: no node is the high end of two links, or of one and the low end of another
+        if (links.groupBy("hi").count().filter("count > 1").isEmpty()
+                and links.join(links.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()):
             break
     else:
         raise RuntimeError("components did not converge")
@@ -40,18 +39,22 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Every node links its larger neighbours to the smallest of itself and its neighbours."""
+def _round(links: DataFrame, star) -> DataFrame:
+    """One star step over a table of every node's smallest smaller neighbour (``least``)."""
     low = cut_lineage(links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("least")), "least")
-    # links seen from their low end: the larger neighbour is ``hi``
-    out = (links.withColumnRenamed("lo", "node").join(low, "node", "left")
-                .select("hi", F.coalesce("least", "node").alias("lo")))
-    return out.distinct()
+    out = cut_lineage(star(links, low).distinct(), "links")
+    drop_table(low)
+    return out
+
 
+def _large_star(links: DataFrame, low: DataFrame) -> DataFrame:
+    """Every node links its larger neighbours to the smallest of itself and its neighbours."""
+    return (links.withColumnRenamed("lo", "node").join(low, "node", "left")
+                 .select("hi", F.coalesce("least", "node").alias("lo")))
 
-def _small_star(links: DataFrame) -> DataFrame:
+
+def _small_star(links: DataFrame, low: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them."""
-    low = cut_lineage(links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("least")), "least")
     near = (links.withColumnRenamed("hi", "node").join(low, "node")
                  .filter(F.col("lo") != F.col("least")).select(F.col("lo").alias("hi"), F.col("least").alias("lo")))
-    return near.unionByName(low.select(F.col("node").alias("hi"), F.col("least").alias("lo"))).distinct()
+    return near.unionByName(low.select(F.col("node").alias("hi"), F.col("least").alias("lo")))

@@ -19,6 +19,13 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(table(spark, sf_dir, "documents")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from .simhash import as_hex, near_duplicates
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of every 50th vector against all others."""
     from .topk import exact_topk
@@ -33,6 +40,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_secrets": op6_secrets,
+    "op7_simhash": op7_simhash,
     "op8_exact_topk": op8_exact_topk,
     "op9_token_files": op9_token_files,
 }

@@ -73,15 +73,18 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in texts(batch, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps, pa.int64())],
+                                             names=["doc_id", "text_key", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` of every row (fp as a signed 64-bit integer), as a written table."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return cut_lineage(map_batches(rows, _fingerprints(shingle), "doc_id bigint, fp bigint"), "fingerprints")
+    """``doc_id, text_key, fp`` of every row (fp as a signed 64-bit integer, ``text_key`` a hash of the
+    text), as a written table."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"),
+                       F.col(text_col).alias("text"))
+    return cut_lineage(map_batches(rows, _fingerprints(shingle), "doc_id bigint, text_key bigint, fp bigint"), "fingerprints")
 
 
 def part_masks() -> list[int]:
@@ -205,24 +208,37 @@ def links(distinct: DataFrame, distance: int = DISTANCE, limit: int = BLOCK_LIMI
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, limit: int = BLOCK_LIMIT, **options) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row: the smallest id reachable over links."""
+    """``doc_id, text_key, fp, root, component_id`` of every row: ``component_id`` is the smallest id
+    reachable over links, ``root`` a fingerprint that names the component."""
     rows = fingerprints(docs, **options)
     firsts = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
     roots = cut_lineage(components(links(firsts.select("fp"), distance, limit)), "roots")
-    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = (firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+                    .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    member = cut_lineage(rooted.join(least, "root").select("fp", "component_id"), "members")
-    return rows.join(member, "fp").select("doc_id", "fp", "component_id")
+    member = cut_lineage(rooted.join(least, "root").select("fp", "root", "component_id"), "members")
+    return rows.join(member, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def as_hex(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near duplicates: of every component only the row of its smallest id stays (one
-    of the rows, by text, where that id repeats); rows without an id stay one per component."""
-    found = near_duplicates(docs, **options)
-    ids = cut_lineage(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "kept")
-    id_col = options.get("id_col", "doc_id")
-    return (docs.join(ids, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col]))
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without near duplicates: of every component one row stays, that of the smallest id (rows
+    without an id last; of rows that repeat it, the smallest text hash, and one of equal rows)."""
+    found = cut_lineage(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "near")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    kept = cut_lineage(found.groupBy("root").agg(F.min(order).alias("k"), ).select(
+        F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key")).distinct(), "kept")
+
+    def only(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return df.join(keys, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
+                       & (F.xxhash64(text_col) == F.col("__key")), how)
+    repeated = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).count().filter("count > 1")
+    repeated = cut_lineage(repeated.join(kept, repeated["__id"].eqNullSafe(kept["__id"]) & (repeated["__key"] == kept["__key"]),
+                                         "left_semi").drop("count"), "repeated")
+    if repeated.isEmpty():   # the usual case: the join alone leaves one row a component
+        return only(docs, kept, "left_semi")
+    single = only(only(docs, kept, "left_semi"), repeated, "left_anti")
+    return single.unionByName(only(docs, repeated, "left_semi").dropDuplicates([id_col, text_col]))
