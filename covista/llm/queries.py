@@ -13,6 +13,12 @@ def _public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    from .quality import quality
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents, with the ownership verdicts."""
     from .secret_scan import report, scan
@@ -39,6 +45,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality": op4_quality,
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op8_exact_topk": op8_exact_topk,
