@@ -76,8 +76,8 @@ class WordIds:
                     other.add(word[len(core):])
             else:
                 other.add(word)
-        plain.difference_update(known)
-        other.difference_update(known)
+        plain = plain.difference(known)   # (difference_update would walk the whole dictionary)
+        other = other.difference(known)
         if plain:
             self._plain(list(plain))
         if other:
