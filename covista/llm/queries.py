@@ -19,6 +19,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html_extract import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents, with the ownership verdicts."""
     from .secret_scan import report, scan
@@ -46,6 +52,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_quality": op4_quality,
+    "op5_html_main_text": op5_html_main_text,
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op8_exact_topk": op8_exact_topk,
