@@ -13,6 +13,12 @@ def _public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share with others: only documents with such a passage have rows."""
+    from .substring_dedup import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     from .quality import quality
@@ -51,6 +57,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeated_passages": op1_repeated_passages,
     "op4_quality": op4_quality,
     "op5_html_main_text": op5_html_main_text,
     "op6_secrets": op6_secrets,
