@@ -13,6 +13,7 @@ rows that repeat an id stay, ordered by text; an empty table gives an empty tabl
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from .common import map_batches, scratch_path, shuffle_partitions, texts
 END_ID = 1
 BLOCK_IDS = 1 << 18      # a block is closed after this many ids; a longer document is one block
 CACHE_WORDS = 1_500_000  # words remembered by a Python worker
+LINE_WORDS = 64          # new words encoded as one text
 PUNCTUATION = ".,|!*$#%&"
 BLOCKS = "shard int, ids_before bigint, doc_ids array<bigint>, lens array<bigint>, payload binary"
 
@@ -37,11 +39,12 @@ class WordIds:
     Texts are cut at spaces and line feeds only: this vocabulary's pattern drops white space and no
     match spans it, so a text's ids are those of its words in order.  A plain word is one match of the
     pattern; it is looked up in lower case and without trailing punctuation, which the pattern
-    separates from letters.  The new plain words of a batch are encoded as one text and cut after each
-    id that ends a word.
+    separates from letters.  The new plain words of a batch are encoded as lines of text and cut after each
+    id that ends a word.  The library's own threads stay off: a task has one core.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -53,49 +56,56 @@ class WordIds:
             self.known[word] = np.array(got.ids, "<u4").tobytes()
 
     def _plain(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
-            self._each(words)
-            return
-        at, data = 0, ids.tobytes()
-        for word, end in zip(words, (4 * cuts).tolist()):
-            self.known[word] = data[at:end]
-            at = end
+        lines = [words[i:i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
+        found = self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)
+        for line, got in zip(lines, found):
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(line):
+                self._each(line)
+                continue
+            at, data = 0, ids.tobytes()
+            for word, end in zip(line, (4 * cuts).tolist()):
+                self.known[word] = data[at:end]
+                at = end
 
     def _learn(self, words: set[str]) -> None:
         known = self.known
-        split, plain, other = [], set(), set()
+        derived, plain, other = [], set(), set()
         for word in words:
             core = word.rstrip(PUNCTUATION)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0180"):
+            if core.isalpha() and (core.isascii() or max(core) < "\u0180"):   # composed, with a lower case of its own
                 low = core.lower()
-                split.append(word)
-                plain.add(low)
-                if len(core) < len(word):
-                    other.add(word[len(core):])
+                if low not in known:
+                    plain.add(low)
+                if low != word:
+                    tail = word[len(core):]
+                    if tail not in known:
+                        other.add(tail)
+                    derived.append((word, low, tail))
             else:
                 other.add(word)
-        plain = plain.difference(known)   # (difference_update would walk the whole dictionary)
-        other = other.difference(known)
         if plain:
             self._plain(list(plain))
         if other:
             self._each(list(other))
-        for word in split:
-            core = word.rstrip(PUNCTUATION)
-            known[word] = known[core.lower()] + known[word[len(core):]]
+        for word, low, tail in derived:
+            known[word] = known[low] + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) >= CACHE_WORDS:
             self.known = {"": b""}
-        new = set().union(*words).difference(self.known)
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        ids = [list(map(self.known.get, w)) for w in words]
+        gaps = [[j for j, i in enumerate(got) if i is None] if None in got else () for got in ids]
+        new = {ws[j] for ws, gap in zip(words, gaps) for j in gap}
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            for ws, got, gap in zip(words, ids, gaps):
+                for j in gap:
+                    got[j] = self.known[ws[j]]
+        return list(map(b"".join, ids))
 
 
 _WORDS: dict[str, WordIds] = {}
