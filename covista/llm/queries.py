@@ -19,6 +19,13 @@ def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op3_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier chain finds toxic, with the chain's probabilities."""
+    from .toxicity import CUT, toxicity
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.filter(F.col("p_toxic") >= F.lit(CUT))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     from .quality import quality
@@ -58,6 +65,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_repeated_passages": op1_repeated_passages,
+    "op3_toxic_documents": op3_toxic_documents,
     "op4_quality": op4_quality,
     "op5_html_main_text": op5_html_main_text,
     "op6_secrets": op6_secrets,
