@@ -63,6 +63,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"), digest=True)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the piece ids of every document, encoded and decoded."""
+    from .piece_codec import digests
+    return digests(table(spark, sf_dir, "documents"), _public("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_repeated_passages": op1_repeated_passages,
     "op3_toxic_documents": op3_toxic_documents,
@@ -72,6 +78,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_exact_topk": op8_exact_topk,
     "op9_token_files": op9_token_files,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
