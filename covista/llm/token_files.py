@@ -27,7 +27,7 @@ from .common import map_batches, scratch_path, shuffle_partitions, texts
 
 END_ID = 1
 BLOCK_IDS = 1 << 18      # a block is closed after this many ids; a longer document is one block
-CACHE_WORDS = 1_500_000  # words remembered by a Python worker
+CACHE_WORDS = 2_500_000  # words remembered by a Python worker
 LINE_WORDS = 64          # new words encoded as one text
 PUNCTUATION = ".,|!*$#%&"
 BLOCKS = "shard int, ids_before bigint, doc_ids array<bigint>, lens array<bigint>, payload binary"
