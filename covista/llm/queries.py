@@ -19,6 +19,12 @@ def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op2_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    from .decontamination import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier chain finds toxic, with the chain's probabilities."""
     from .toxicity import CUT, toxicity
@@ -71,6 +77,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_repeated_passages": op1_repeated_passages,
+    "op2_contaminated": op2_contaminated,
     "op3_toxic_documents": op3_toxic_documents,
     "op4_quality": op4_quality,
     "op5_html_main_text": op5_html_main_text,

@@ -148,7 +148,7 @@ def report(findings: DataFrame) -> DataFrame:
         count(lambda s: s.example).alias("n_example"), count(lambda s: ~s.example).alias("n_live"))
 
 
-def _cut(mark: str, columns: list[str], text_col: str):
+def _cut(mark: str, columns: list[str], text_col: str, length_col: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -160,9 +160,9 @@ def _cut(mark: str, columns: list[str], text_col: str):
                             parts += [text[at:start], mark]
                         at = end
                 out.append("".join(parts) + text[at:])
+            new = {text_col: out, length_col: list(map(len, out))}
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out, batch.schema.field(text_col).type) if c == text_col else batch.column(c) for c in columns],
-                names=columns)
+                [pa.array(new[c], batch.schema.field(c).type) if c in new else batch.column(c) for c in columns], names=columns)
 
     return run
 
@@ -174,8 +174,9 @@ def may_match(text: Column) -> Column:
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]", id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with the spans that are not examples replaced by ``mark``; other rows stay untouched.
+    ``length_col``, if given, takes the new length of a changed text.
     ``findings`` are ``scan``'s rows of the same documents.  Only texts that may hold a candidate
     (``may_match``, which lets no candidate through) take part in the join."""
     live = F.transform(F.filter("found", lambda s: ~s.example), lambda s: F.array(s.start, s.end))
@@ -186,5 +187,5 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]", id_col:
                        & (F.xxhash64(text_col) == F.col("__key")), "left")
     plain = joined.filter(F.col("__spans").isNull()).select(*docs.columns)
     marked = map_batches(joined.filter(F.col("__spans").isNotNull()).select(*docs.columns, "__spans"),
-                         _cut(mark, docs.columns, text_col), docs.schema)
+                         _cut(mark, docs.columns, text_col, length_col), docs.schema)
     return docs.filter(~possible).unionByName(plain).unionByName(marked)
