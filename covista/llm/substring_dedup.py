@@ -8,9 +8,12 @@ passage of 50 words holds several whole ones.  Chunks are compared by 64-bit dig
 A digest that occurs in two or more documents is repeated.  Digests are aggregated to their smallest
 and largest document and a count, combined before the shuffle, so a passage held by a third of all
 documents is one row per task; the repeated digests are written and joined back to the chunks, both as
-plain shuffles that the join can split.  Adjoining repeated chunks of a document are merged, and runs
-of at least ``min_words`` words are reported.  A chunk at either end of a passage is lost, so
-``min_words`` is well below the length of the passages looked for.
+plain shuffles that the join can split.  Adjoining repeated chunks of a document are merged into runs.
+
+A run of at least ``min_words`` words is a passage.  As the chunks at both ends of a passage are lost,
+runs of ``seed_words`` or more are looked at exactly: wherever their chunks occur, every stretch of
+``min_words`` words that touches one is hashed, and stretches that two documents share are passages
+too.  Passages of a document that overlap are reported as one.
 
 Defined results: null and empty texts have no chunks; all rows without an id count as one document;
 rows that repeat an id are one document for counting, and rows of one id with different texts keep
@@ -20,6 +23,8 @@ table.  Offsets are code points, the end exclusive.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +38,10 @@ from .common import cut_lineage, map_batches, texts
 WINDOW = 16
 BITS = 4                 # a border every 2^4 bytes, after MIN_CHUNK bytes without one
 MIN_CHUNK, MAX_CHUNK = 24, 256
-MIN_WORDS = 20
+MIN_WORDS, SEED_WORDS = 50, 18
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 NO_ID = -(1 << 63)
+WORD = re.compile(r"[^ \t-\r]+")
 
 
 def borders(data: np.ndarray) -> np.ndarray:
@@ -119,34 +125,104 @@ def repeated_digests(rows: DataFrame) -> DataFrame:
                            .filter("first_doc < last").select("digest", "first_doc", "n_docs"), "digests")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, later_only: bool = False, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
-    """``doc_id, text_key, start, end, n_words, first_doc_id, n_docs``: one row per passage of a document
-    that other documents hold too.  ``first_doc_id`` is the smallest document that has a part of it,
-    ``n_docs`` the most rows that share one.  With ``later_only`` only what an earlier document holds
-    counts, so that removing the passages leaves their first occurrence."""
-    rows = _documents(docs, id_col, text_col)
+def _hits(rows: DataFrame) -> DataFrame:
+    """Every repeated chunk of every document, as a written table."""
     found = repeated_digests(rows)
     each = map_batches(rows, _chunk_rows(False), "doc bigint, digest bigint, span bigint, words bigint")
     hits = each.join(found, "digest")
+    low = F.lit(0xFFFFFFFF)
+    key = F.col("words").bitwiseAND(low)     # the text's hash as Spark computes it, without its sign
+    hits = hits.select("doc", F.when(key >= F.lit(1 << 31), key - F.lit(1 << 32)).otherwise(key).cast("int").alias("text_key"),
+                       F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(low).alias("end"),
+                       F.shiftright("words", 32).alias("words"), "digest", "first_doc", "n_docs").distinct()
+    return cut_lineage(hits, "hits")
+
+
+def _numbered(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``run``: spans of a text that meet or overlap have the same number."""
+    by_text = Window.partitionBy("doc", "text_key").orderBy("start", "end")     # one document's spans
+    so_far = F.max("end").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", (F.col("start") > F.coalesce(so_far, F.lit(-1))).cast("int"))
+    return spans.withColumn("run", F.sum("new").over(by_text.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
+def stretches(text: str, spans: list[tuple[int, int]], n: int) -> Iterator[tuple[int, int, int]]:
+    """``(hash, first and last code point)`` of the stretches of ``n`` words with a word that lies in
+    one of the spans, in order."""
+    words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    parts = [text[a:b].encode() for a, b in words]
+    line = b" ".join(parts)
+    ends = np.cumsum(np.array([len(p) + 1 for p in parts], np.int64)).tolist()
+    at = 0
+    for start, end in sorted(spans):
+        first = bisect_left(words, (start, 0))
+        if first and words[first - 1][1] > start:
+            first -= 1
+        last = bisect_left(words, (end, 0)) - 1
+        for i in range(max(at, first - n + 1), min(last, len(words) - n) + 1):
+            head = ends[i - 1] if i else 0
+            yield xxhash.xxh3_64_intdigest(line[head:ends[i + n - 1] - 1]), words[i][0], words[i + n - 1][1]
+            at = i + 1
+
+
+def _stretch_rows(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, key, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text_key", "text", "spans"))):
+                out += [(doc, key, h - (1 << 64) if h >> 63 else h, a, b)
+                        for h, a, b in stretches(text, [(x["start"], x["end"]) for x in spans], n)]
+            if out:
+                names = ["doc", "text_key", "hash", "start", "end"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "text_key" else pa.int64())
+                                                  for k, c in zip(names, zip(*out))], names=names)
+
+    return run
+
+
+def _around(rows: DataFrame, hits: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """``doc, text_key, start, end, n_words, first_doc, n_docs``: stretches of ``n`` words that documents
+    share, around the chunks with an ``asked`` digest in all documents that have them."""
+    held = (hits.join(asked, "digest", "left_semi").groupBy(F.col("doc").alias("_d"), F.col("text_key").alias("_k"))
+                .agg(F.collect_list(F.struct("start", "end")).alias("spans")))     # one document's chunks
+    near = rows.join(held, (F.col("doc") == F.col("_d")) & (F.col("text_key") == F.col("_k")))
+    found = cut_lineage(map_batches(near.select("doc", "text_key", "text", "spans"), _stretch_rows(n),
+                                    "doc bigint, text_key int, hash bigint, start bigint, end bigint").distinct(), "stretches")
+    shared = cut_lineage(found.groupBy("hash").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last"),
+                                                   F.count(F.lit(1)).alias("n_docs"))
+                              .filter("first_doc < last").drop("last"), "shared")
+    return found.join(shared, "hash").select("doc", "text_key", "start", "end", F.lit(n).cast("bigint").alias("n_words"),
+                                             "first_doc", "n_docs")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, later_only: bool = False, seed_words: int = SEED_WORDS,
+                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_key, start, end, n_words, first_doc_id, n_docs``: one row per passage of a document
+    that other documents hold too.  ``n_words`` is a lower bound of its words, ``first_doc_id`` the
+    smallest document that has a part of it, ``n_docs`` the most rows that share one.  With
+    ``later_only`` only what an earlier document holds counts, so that removing the passages leaves
+    their first occurrence."""
+    rows = _documents(docs, id_col, text_col)
+    hits = _hits(rows)
+    chosen = cut_lineage(_numbered(hits.filter("first_doc < doc") if later_only else hits), "chosen")
+    runs = cut_lineage(chosen.groupBy("doc", "text_key", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
+        F.min("first_doc").alias("first_doc"), F.max("n_docs").alias("n_docs"))
+        .filter(F.col("n_words") >= F.lit(min(seed_words, min_words))), "runs")
+    short = runs.filter(F.col("n_words") < F.lit(min_words))
+    asked = cut_lineage(chosen.join(short.select("doc", "text_key", "run"), ["doc", "text_key", "run"], "left_semi")
+                              .select("digest").distinct(), "asked")
+    long = runs.filter(F.col("n_words") >= F.lit(min_words)).drop("run")
+    more = _around(rows, hits, asked, min_words)
     if later_only:
-        hits = hits.filter("first_doc < doc")
-    hits = hits.select("doc", F.col("words").bitwiseAND(F.lit(0xFFFFFFFF)).cast("bigint").alias("key"),
-                       F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).alias("end"),
-                       F.shiftright("words", 32).alias("words"), "first_doc", "n_docs").distinct()
-    by_text = Window.partitionBy("doc", "key").orderBy("start")     # one document's chunks
-    runs = hits.withColumn("new", (F.col("start") > F.coalesce(F.lag("end").over(by_text), F.lit(-1))).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = (runs.groupBy("doc", "key", "run")
-                 .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
-                      F.min("first_doc").alias("first_doc"), F.max("n_docs").alias("n_docs"))
-                 .filter(F.col("n_words") >= F.lit(min_words)))
+        more = more.filter("first_doc < doc")
+    found = _numbered(long.unionByName(more)).groupBy("doc", "text_key", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("n_words").alias("n_words"),
+        F.min("first_doc").alias("first_doc"), F.max("n_docs").alias("n_docs"))
 
     def named(c):
         return F.when(F.col(c) != F.lit(NO_ID), F.col(c))
-    # the low 32 bits of the key are the text's hash as Spark computes it
-    key = F.when(F.col("key") >= F.lit(1 << 31), F.col("key") - F.lit(1 << 32)).otherwise(F.col("key")).cast("int")
-    return spans.select(named("doc").alias("doc_id"), key.alias("text_key"), "start", "end", "n_words",
+    return found.select(named("doc").alias("doc_id"), "text_key", "start", "end", "n_words",
                         named("first_doc").alias("first_doc_id"), "n_docs")
 
 
@@ -166,7 +242,7 @@ def _cut(columns: list[str], text_col: str):
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every repeated passage cut from all documents but the first that holds it."""
-    spans = cut_lineage(repeated_passages(docs, min_words, True, id_col, text_col), "passages")
+    spans = cut_lineage(repeated_passages(docs, min_words, True, id_col=id_col, text_col=text_col), "passages")
     cuts = (spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
                  .agg(F.collect_list(F.struct("start", "end")).alias("__spans")))    # one document's passages
     joined = docs.join(cuts, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.hash(text_col) == F.col("__key")), "left")
