@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +14,27 @@ from pyspark.sql import functions as F
 from ..runtime import cut_lineage, drop_table, scratch_path
 
 __all__ = ["bounded_batches", "cut_lineage", "drop_table", "held_out", "map_batches", "scratch_path",
-           "shuffle_partitions", "table", "texts"]
+           "ship_package", "shuffle_partitions", "table", "texts"]
 
 BATCH_ROWS = 500   # rows per Arrow batch: a batch of long documents must fit a Python worker
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, which may not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_covista_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="covista-"))      # the driver's; Spark serves it to the executors
+    with zipfile.ZipFile(to / "covista_package.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(to / "covista_package.zip"))
+    sc._covista_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
