@@ -4,12 +4,13 @@ The benchmark's items are TF-IDF vectors over their vocabulary; the inverse freq
 counts of those words in the whole corpus.  A distributed randomised SVD (Halko and others 2011: range
 finder, power iterations, projection; every product with the matrix is a Spark job over the TF-IDF
 rows that returns summed blocks) gives ``dims`` latent directions, and items and passages are compared
-there.  Documents are read in windows of 16, 32 and 64 words, 16 words apart; a word outside the
-benchmark's vocabulary only lengthens a passage's vector, by the median inverse frequency.  A window
-is first bounded by its share of benchmark energy (cosine <= root of that share), which leaves few to
-project.  Window and item pairs with a cosine of at least ``min_cosine`` are candidates; each is
-decided by the longest common subsequence of words between the item and the window's surroundings:
-``strong`` of the item's words, or ``weak`` of them with the item's answer found too.
+there.  Very common words have no weight, unless an item hardly has others; a word outside the
+benchmark's vocabulary only lengthens a passage's vector, by the median inverse frequency.  Documents
+are cut into blocks of 16 words; the projected blocks are compared with all items in one product, and
+the windows of 16, 32 and 64 words are sums of blocks.  Window and item pairs with a cosine of at least
+``min_cosine`` are candidates; each is decided by the longest common subsequence of words between the
+item and the window's surroundings: ``strong`` of the item's words, or ``weak`` of them with the item's
+answer found too.
 
 A benchmark block of at most ``BLOCK_BYTES`` of text is broadcast with its vectors; a larger benchmark
 is scanned block by block.  No documents are shuffled, collected or joined.
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, map_batches, texts
 
 DIMS, OVERSAMPLE, POWER = 160, 16, 2
-STRIDE, SCALES = 16, (1, 2, 4)       # windows of 16, 32 and 64 words
-MIN_COSINE = 0.35
+STRIDE = 16                          # words of a block; windows are 1, 2 and 4 blocks
+COMMON, RARE_SHARE = 0.003, 0.4      # share of a very common word; least share of other words in an item
+SLICE = 1024                         # blocks projected at a time
+MIN_COSINE = 0.45
 STRONG, WEAK, ANSWER = 0.75, 0.65, 0.8
 BLOCK_BYTES = 1 << 20
 TERM_BLOCK = 1024                    # rows of a matrix block
@@ -87,7 +90,12 @@ class Benchmark:
     def weigh(self, counts: np.ndarray, total: int) -> None:
         """Inverse frequencies; the last one stands for every word outside the vocabulary."""
         idf = np.log1p(total / (1.0 + counts))
-        self.idf = np.append(idf, np.median(idf) if len(idf) else 1.0)
+        drop = counts > COMMON * total
+        for words in self.words:
+            at = self.terms(words)
+            if len(at) and np.mean(~drop[at]) < RARE_SHARE:
+                drop[at] = False
+        self.idf = np.append(np.where(drop, 0.0, idf), np.median(idf) if len(idf) else 1.0)
 
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at, n = np.unique(self.terms(words), return_counts=True)
@@ -190,68 +198,81 @@ def _tfidf(shared):
     return run
 
 
-def windows(bench: Benchmark, terms: np.ndarray, min_cosine: float):
-    """First word, length and norm of the windows whose share of benchmark energy allows the cosine."""
-    energy = bench.idf[terms] ** 2               # term -1 takes the last entry
-    inside = np.concatenate(([0.0], np.cumsum(np.where(terms >= 0, energy, 0.0))))
-    whole = np.concatenate(([0.0], np.cumsum(energy)))
-    firsts, lengths = [], []
-    for scale in SCALES:
-        size = STRIDE * scale
-        first = np.arange(0, max(1, len(terms) - size + STRIDE), STRIDE)
-        last = np.minimum(first + size, len(terms))
-        share = (inside[last] - inside[first]) / np.maximum(whole[last] - whole[first], 1e-12)
-        good = np.flatnonzero(share >= min_cosine ** 2 / 2)    # repeated words raise both sides by a little
-        firsts.append(first[good])
-        lengths.append(last[good] - first[good])
-    return np.concatenate(firsts), np.concatenate(lengths), whole
-
-
-def candidates(bench: Benchmark, terms: np.ndarray, min_cosine: float) -> dict[int, list[tuple[float, int, int]]]:
-    """Per item the windows (cosine, first word, length) that reach the cosine, best first."""
-    first, length, whole = windows(bench, terms, min_cosine)
-    out: dict[int, list[tuple[float, int, int]]] = {}
-    for a in range(0, len(first), 256):
-        f, n = first[a:a + 256], length[a:a + 256]
-        latent = np.zeros((len(f), bench.latent.shape[1]), np.float32)
-        for i, (s, m) in enumerate(zip(f, n)):
-            part = terms[s:s + m]
-            latent[i] = bench.directions[part[part >= 0]].sum(axis=0)
-        cosine = (latent @ bench.latent.T) / np.sqrt(whole[f + n] - whole[f])[:, None]
-        for i, j in zip(*np.nonzero(cosine >= min_cosine)):
-            out.setdefault(int(j), []).append((float(cosine[i, j]), int(f[i]), int(n[i])))
-    for found in out.values():
-        found.sort(key=lambda c: (-c[0], c[1], c[2]))
+def block_scores(bench: Benchmark, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Products of the latent vectors of blocks (``terms`` cut at ``starts``) with all items."""
+    out = np.zeros((len(starts), len(bench.latent)), np.float32)
+    bounds = np.append(starts, len(terms))
+    weighted = np.append(bench.idf[:-1] > 0, False)[terms]      # term -1 takes the last entry
+    for a in range(0, len(starts), SLICE):
+        edge = bounds[a:a + SLICE + 1]
+        keep = np.flatnonzero(weighted[edge[0]:edge[-1]])
+        if len(keep):
+            block = np.searchsorted(edge, keep + edge[0], side="right") - 1
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            latent = np.add.reduceat(bench.directions[terms[edge[0]:edge[-1]][keep]], first, axis=0)
+            out[a + block[first]] = latent @ bench.latent.T
     return out
 
 
-def matches(bench: Benchmark, text: str, min_cosine: float, strong: float, weak: float):
-    """``(item, cosine, lcs, answer, first word, words)`` of the items found in a text."""
-    words = words_of(text)
-    if not words:
-        return
-    for j, found in sorted(candidates(bench, bench.terms(words), min_cosine).items()):
-        item, answer, seen = bench.words[j], bench.answers[j], []
-        for cosine, first, n in found:
-            start, end = max(0, first - len(item)), first + n + len(item)
-            if any(s <= first and first + n <= e for s, e in seen):
-                continue                          # these words were compared already
-            seen.append((start, end))
-            near = words[start:end]
-            share = lcs(item, near) / len(item)
-            answered = bool(answer) and lcs(answer, near) >= ANSWER * len(answer)
-            if share >= strong or share >= weak and answered:
-                yield j, cosine, share, answered, first, n
-                break
+def candidates(bench: Benchmark, docs: list[np.ndarray], min_cosine: float) -> list[dict[int, list[tuple[float, int, int]]]]:
+    """Per document and item the windows (cosine, first word, length) that reach the cosine, best first."""
+    blocks = np.array([-(-len(t) // STRIDE) for t in docs], np.int64)
+    owner = np.repeat(np.arange(len(docs)), blocks)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)     # block number in its document
+    size = np.array([len(t) for t in docs], np.int64)
+    base = np.cumsum(size) - size
+    terms = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+    starts = base[owner] + place * STRIDE
+    score = block_scores(bench, terms, starts)
+    energy = np.add.reduceat(bench.idf[terms] ** 2, starts) if len(starts) else np.zeros(0)
+    out: list[dict[int, list[tuple[float, int, int]]]] = [{} for _ in docs]
+    for width in (1, 2, 4):
+        if width > 1:       # the sum with the half that follows in the same document
+            half = width // 2
+            more = np.flatnonzero(owner[:-half] == owner[half:]) if len(owner) > half else np.zeros(0, np.int64)
+            grown, heat = score.copy(), energy.copy()
+            grown[more] += score[more + half]
+            heat[more] += energy[more + half]
+            score, energy = grown, heat
+        bar = (min_cosine * np.sqrt(np.maximum(energy, 1e-12))).astype(np.float32)
+        hot = np.flatnonzero((score >= bar[:, None]).any(axis=1))
+        for i in hot.tolist():
+            d, first = int(owner[i]), int(place[i]) * STRIDE
+            n = min(width * STRIDE, int(size[d]) - first)
+            for j in np.flatnonzero(score[i] >= bar[i]).tolist():
+                out[d].setdefault(j, []).append((float(score[i, j] / bar[i] * min_cosine), first, n))
+    for found in out:
+        for windows in found.values():
+            windows.sort(key=lambda c: (-c[0], c[1], c[2]))
+    return out
+
+
+def matches(bench: Benchmark, docs: list[str], min_cosine: float, strong: float, weak: float):
+    """``(document, item, cosine, lcs, answer, first word, words)`` of the items found in the texts."""
+    words = [words_of(t) for t in docs]
+    for d, by_item in enumerate(candidates(bench, [bench.terms(w) for w in words], min_cosine)):
+        for j, found in sorted(by_item.items()):
+            item, answer, seen = bench.words[j], bench.answers[j], []
+            for cosine, first, n in found:
+                start, end = max(0, first - len(item)), first + n + len(item)
+                if any(s <= first and first + n <= e for s, e in seen):
+                    continue                          # these words were compared already
+                seen.append((start, end))
+                near = words[d][start:end]
+                share = lcs(item, near) / len(item)
+                answered = bool(answer) and lcs(answer, near) >= ANSWER * len(answer)
+                if share >= strong or share >= weak and answered:
+                    yield d, j, cosine, share, answered, first, n
+                    break
 
 
 def _scan(shared, min_cosine: float, strong: float, weak: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
-                out += [(doc, bench.ids[j], *rest) for j, *rest in matches(bench, text, min_cosine, strong, weak)]
+            ids = batch.column("doc_id").to_pylist()
+            out = [(ids[d], bench.ids[j], *rest) for d, j, *rest in
+                   matches(bench, texts(batch, "text"), min_cosine, strong, weak)]
             if out:
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
