@@ -41,4 +41,4 @@ def pmi_weight_expr(norm: int) -> Column:
         return F.log2(_lift() + F.lit(EPS))
     if norm in (4, 5):
         return F.log2(_lift(norm - 2) + F.lit(EPS))
-    raise ValueError(f"Improper PMI normalization index: {norm!r}")
+    raise ValueError(f"no weight formula has the number {norm!r}")

@@ -4,86 +4,37 @@ The percentile is numpy's default (linear interpolation between the order statis
 ``floor(p·(n-1))`` and the next one).  ``F.percentile`` would give the same value, but it holds
 every value of a group in one task's memory, and one category may hold a third of all edges.
 
-Plan: an approximate sketch (``percentile_approx``, merged map-side) brackets each wanted rank
-between two data values ``L <= U``; one aggregation counts the rows below ``L``; only the rows in
-``[L, U]`` (a few per ten thousand of the group) are ranked by a window; the two order statistics
-are picked out and interpolated.  Groups with at most ``whole_group_rows`` rows use their whole
-range as the bracket.  If a bracket ever misses its rank the group is redone with its whole range,
-so the result is exact in every case.
+Values are counted first (equal values are one row from there on, combined before the shuffle), the
+counts are summed in value order over range partitions, and an order statistic is the value whose
+run of ranks holds it.  All wanted percentiles come from the same two shuffles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checked_broadcast, cut_lineage
+from .ranking import running_before
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      accuracy: int = 10_000, whole_group_rows: int = 100_000,
-                      max_groups_broadcast: int = 1_000_000) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Return ``keys + list(probs)``: for each group, the exact ``probs[name]`` quantile (0..1)
     of the non-NULL values of ``value``.  Groups without values do not appear."""
-    names = list(probs)
-    for p in probs.values():
-        if not 0.0 <= p <= 1.0:
-            raise ValueError("percentile probabilities must be within [0, 1]")
-    delta = 4.0 / accuracy
-    probes = []
-    for name in names:
-        probes += [max(probs[name] - delta, 0.0), min(probs[name] + delta, 1.0)]
-
+    if not all(0.0 <= p <= 1.0 for p in probs.values()):
+        raise ValueError("percentile probabilities must be within [0, 1]")
     v = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-
-    def run(vals: DataFrame, whole: int) -> DataFrame:
-        stats = vals.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
-            F.percentile_approx("v", probes, accuracy).alias("br"))
-        cols = [*keys, "n"]
-        for i, name in enumerate(names):
-            p = probs[name]
-            pos = F.lit(p) * (F.col("n") - 1)
-            small = F.col("n") <= F.lit(whole)
-            lo_b = F.col("vmin") if p - delta <= 0 else F.when(small, F.col("vmin")).otherwise(F.col("br")[2 * i])
-            hi_b = F.col("vmax") if p + delta >= 1 else F.when(small, F.col("vmax")).otherwise(F.col("br")[2 * i + 1])
-            cols += [F.floor(pos).cast("bigint").alias(f"lo{i}"),
-                     F.least(F.floor(pos) + 1, F.col("n") - 1).cast("bigint").alias(f"hi{i}"),
-                     (pos - F.floor(pos)).alias(f"fr{i}"), lo_b.alias(f"L{i}"), hi_b.alias(f"U{i}")]
-        stats = cut_lineage(stats.select(*cols))
-        joined = vals.join(checked_broadcast(stats, max_groups_broadcast), keys)
-
-        below = joined.groupBy(*keys).agg(*[
-            F.sum(F.when(F.col("v") < F.col(f"L{i}"), 1).otherwise(0)).cast("bigint").alias(f"below{i}")
-            for i in range(len(names))])
-        idx = F.filter(F.array(*[F.when((F.col("v") >= F.col(f"L{i}")) & (F.col("v") <= F.col(f"U{i}")), F.lit(i))
-                                 for i in range(len(names))]), lambda x: x.isNotNull())
-        cand = joined.select(*keys, "v", F.explode(idx).alias("idx"))
-        cand = cand.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "idx").orderBy("v")))
-        meta = stats.join(below, keys)
-        per_idx = []
-        for i in range(len(names)):
-            per_idx.append(meta.select(*keys, F.lit(i).alias("idx"), (F.col(f"below{i}") - 1).alias("off"),
-                                       F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"),
-                                       F.col(f"fr{i}").alias("fr")))
-        m = per_idx[0]
-        for extra in per_idx[1:]:
-            m = m.unionByName(extra)
-        ranked = cand.join(m, [*keys, "idx"]).withColumn("rank", F.col("off") + F.col("rn"))
-        picked = (ranked.filter((F.col("rank") == F.col("lo")) | (F.col("rank") == F.col("hi")))
-                  .groupBy(*keys, "idx").agg(
-                      F.max(F.when(F.col("rank") == F.col("lo"), F.col("v"))).alias("v_lo"),
-                      F.max(F.when(F.col("rank") == F.col("hi"), F.col("v"))).alias("v_hi"),
-                      F.first("fr").alias("fr")))
-        # every wanted (group, idx) must be present; a missing or half-found one means a bracket missed
-        want = m.select(*keys, "idx")
-        res = want.join(picked, [*keys, "idx"], "left")
-        return res.withColumn("q", F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("fr"))
-
-    res = cut_lineage(run(v, whole_group_rows))
-    bad = res.filter(F.col("q").isNull()).select(*keys).distinct()
-    if bad.limit(1).count() > 0:
-        redo = run(v.join(bad, keys, "left_semi"), 1 << 62)
-        res = res.join(bad, keys, "left_anti").unionByName(redo)
-    return res.groupBy(*keys).agg(*[F.max(F.when(F.col("idx") == i, F.col("q"))).alias(name)
-                                    for i, name in enumerate(names)])
+    counts = v.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_before(counts, keys, "v", F.col("c"), "lo").withColumn("hi", F.col("lo") + F.col("c"))
+    sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    held = ranked.join(sizes, keys)
+
+    def at(rank):
+        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("v")))
+    picks = []
+    for i, p in enumerate(probs.values()):
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        low = F.floor(pos)
+        picks += [at(low).alias(f"a{i}"), at(F.least(low + 1, F.col("n") - 1)).alias(f"b{i}"), F.max(pos - low).alias(f"f{i}")]
+    return held.groupBy(*keys).agg(*picks).select(
+        *keys, *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}")).alias(name)
+                 for i, name in enumerate(probs)])

@@ -39,7 +39,7 @@ def shift_edges(weights: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def pmi_edges(stats: DataFrame, norm: int, perc: float, method: int) -> DataFrame:
     """Pair statistics to the weighted edge list (cut for methods != 7, shift for 7)."""
-    w = pmi_weights(stats, norm).persist()
+    w = pmi_weights(stats, norm)   # one expression over the written statistics
     thr = pmi_threshold(w, perc)
     return shift_edges(w, thr) if method == 7 else cut_edges(w, thr)
 

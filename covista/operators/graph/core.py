@@ -3,22 +3,28 @@
 A graph is a DataFrame of undirected edges ``keys + [src, dst, weight]``; its vertices are the
 endpoints (a SKU without a surviving edge is not in the graph).  ``keys`` (by default the
 category) separates independent graphs, so every method runs on all of them in one job.
-Weights used for sums and ties are ``bigint(round(weight · 10^6))`` so results do not depend on
-the order of floating-point additions.
+Weights used for sums and ties are integers (``with_int_weight``), so results do not depend on the
+order of floating-point additions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...runtime import KEY, cut_lineage
+from ...functions.ranking import running_before
+from ...runtime import KEY, cut_lineage, drop_table
 
-SCALE = 1_000_000   # fixed-point scale of integer weights
-
-
-def int_weight(col: str = "weight") -> F.Column:
-    return F.round(F.col(col) * F.lit(float(SCALE))).cast("bigint")
+def with_int_weight(edges: DataFrame, keys: list[str], out: str = "w") -> DataFrame:
+    """``edges`` with an integer weight: ``weight`` times a power of two that is the largest, per graph,
+    for which the graph's sum of weights stays below 2^60; a weight that is not 0 is at least 1 in size,
+    so that no edge vanishes."""
+    bits = F.length(F.bin(F.ceil(F.max(F.abs("weight")) * F.count(F.lit(1))).cast("bigint")))
+    scale = edges.groupBy(*keys).agg(F.pow(F.lit(2.0), (F.lit(60) - bits).cast("double")).alias("_scale"))
+    scaled = F.round(F.col("weight") * F.col("_scale")).cast("bigint")
+    return (edges.join(scale, keys).withColumn(out, F.when(F.col("weight") > 0, F.greatest(scaled, F.lit(1)))
+                                               .when(F.col("weight") < 0, F.least(scaled, F.lit(-1))).otherwise(F.lit(0)))
+                 .drop("_scale"))
 
 
 def simplify(edges: DataFrame, keys: list[str] = [KEY]) -> DataFrame:
@@ -73,11 +79,10 @@ def as_membership(labels: DataFrame, keys: list[str] = [KEY], label: str = "labe
                   out: str = "cluster") -> DataFrame:
     """``keys + [sku, out]`` with 1-based cluster ids ordered by each cluster's smallest SKU.
 
-    The window ranks clusters (not views or edges) within a graph, so its groups are bounded by
-    the SKU count of a category.
+    Clusters are numbered over range partitions, so no task holds all clusters of a graph.
     """
     first = labels.groupBy(*keys, label).agg(F.min("sku").alias("first_sku"))
-    ranked = first.withColumn(out, F.dense_rank().over(Window.partitionBy(*keys).orderBy("first_sku")).cast("bigint"))
+    ranked = running_before(first, keys, "first_sku", F.lit(1), out).withColumn(out, F.col(out) + 1)
     return labels.join(ranked.select(*keys, label, out), [*keys, label]).select(*keys, "sku", out)
 
 
@@ -100,18 +105,19 @@ def connected_components(edges: DataFrame, keys: list[str] = [KEY], max_rounds:
     convergence.
     """
     d = directed(edges.select(*keys, "src", "dst"), keys, [])
-    lab = cut_lineage(vertices(edges, keys).select(*keys, F.col("v").alias("sku"), F.col("v").alias("comp")))
+    state = cut_lineage(vertices(edges, keys).select(*keys, F.col("v").alias("sku"), F.lit(None).cast("bigint").alias("old"),
+                                                     F.col("v").alias("comp")))
     for _ in range(max_rounds):
+        lab = state.select(*keys, "sku", "comp")
         nb = (d.join(lab.withColumnRenamed("sku", "u").withColumnRenamed("comp", "cu"), [*keys, "u"])
                 .groupBy(*keys, F.col("v").alias("sku")).agg(F.min("cu").alias("cn")))
         step = (lab.join(nb, [*keys, "sku"], "left")
                    .select(*keys, "sku", "comp", F.least("comp", F.coalesce("cn", "comp")).alias("c1")))
         jump = step.select(*keys, F.col("sku").alias("c1"), F.col("c1").alias("c2"))
-        new = (step.join(jump, [*keys, "c1"], "left")
-                   .select(*keys, "sku", "comp", F.least("c1", F.coalesce("c2", "c1")).alias("new")))
-        new = cut_lineage(new)
-        changed = new.filter(F.col("new") != F.col("comp")).limit(1).count()
-        lab = new.select(*keys, "sku", F.col("new").alias("comp"))
-        if not changed:
-            return lab
+        new = cut_lineage(step.join(jump, [*keys, "c1"], "left").select(
+            *keys, "sku", F.col("comp").alias("old"), F.least("c1", F.coalesce("c2", "c1")).alias("comp")))
+        drop_table(state)
+        state = new
+        if new.filter(F.col("old") != F.col("comp")).isEmpty():
+            return new.select(*keys, "sku", "comp")
     raise RuntimeError("connected components did not converge within max_rounds")

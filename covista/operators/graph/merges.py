@@ -1,13 +1,17 @@
 """Agglomerative merging (G2 fast greedy) and dendrogram cuts.
 
-Fast greedy joins the two adjacent communities whose merge raises modularity most.  Sequential
-single merges would need one job per merge, so each round merges every *mutually best* pair:
-each community picks its best neighbour (largest ΔQ, ties by smallest pair), and pairs that pick
-each other merge.  Such pairs are disjoint, so their ΔQ add exactly; the globally best pair is
-always mutual, so every round merges at least once per graph.  Without ``k`` merging stops when
-no merge has positive ΔQ (the best cut of this dendrogram); with ``k`` it goes on through
-negative merges until ``k`` communities remain, and the last round keeps only its best merges.
-The result can differ from the strictly sequential order; the merge table records every step.
+Fast greedy joins the adjacent communities whose merge raises modularity most.  Sequential single
+merges would need one job per merge, so a round makes many of them.  Every community picks its best
+neighbour (largest ΔQ, ties by smallest pair).  Of two that pick each other, the one that more
+communities picked is a centre, and all that picked it may join it: a hub takes its leaves in one
+round.  Members that join one centre take from each other's gain, by k_i k_j / m2² each; one joins
+only if its ΔQ exceeds that sum over all better ones, and waits if it is linked to a better one.  So
+every gain in the merge table is exact and positive, and the best merge of a graph is always made.
+
+Without ``k`` merging stops when no merge has positive ΔQ (the best cut of this dendrogram).  With
+``k`` it goes on through negative merges, one pair per centre, until ``k`` communities remain; fewer
+than the connected components is an error.  The result can differ from the strictly sequential order;
+the merge table records every step.
 """
 
 from __future__ import annotations
@@ -15,67 +19,107 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...runtime import KEY, cut_lineage
-from .core import as_membership, directed, int_weight, simplify
+from ...functions.ranking import running_before
+from ...runtime import KEY, cut_lineage, drop_table
+from .core import as_membership, directed, simplify, vertices, with_int_weight
 
 TOL = 1e-12
+SAFETY = 100_000     # rounds; reaching it raises
+UNIT = float(1 << 60)
+
+
+def _pairs(rows: DataFrame, nodes: DataFrame, tot: DataFrame, keys: list[str]) -> DataFrame:
+    """Half the modularity gain of every merge of adjacent communities, one row per direction."""
+    other = nodes.select(*keys, F.col("v").alias("u"), F.col("kv").alias("ku"))
+    return (rows.filter(F.col("v") != F.col("u")).join(nodes, [*keys, "v"]).join(other, [*keys, "u"]).join(tot, keys)
+                .select(*keys, "v", "u", "kv", "m2", (F.col("w").cast("double") / F.col("m2")
+                        - F.col("kv").cast("double") * F.col("ku") / (F.col("m2") * F.col("m2"))).alias("dq")))
+
 
+def _joins(rows: DataFrame, pairs: DataFrame, keys: list[str], negative: bool) -> DataFrame:
+    """``keys + [v, a, dq, gain]``: communities ``v`` that join the centre ``a`` in this round."""
+    order = F.struct("dq", (-F.least("v", "u")).alias("x"), (-F.greatest("v", "u")).alias("y"))
+    best = pairs.groupBy(*keys, "v", "kv", "m2").agg(F.max(F.struct(order.alias("o"), F.col("u"))).alias("b"))
+    best = best.select(*keys, "v", "kv", "m2", F.col("b.u").alias("u"), F.col("b.o.dq").alias("dq"))
+    if not negative:
+        best = best.filter(F.col("dq") > F.lit(TOL))
+    best = cut_lineage(best, "best")
+    liked = best.groupBy(*keys, F.col("u").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    back = best.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))
+    mutual = best.select(*keys, "v", "u").join(back, [*keys, "u", "v"])
+    mutual = (mutual.join(liked, [*keys, "v"], "left").join(
+        liked.select(*keys, F.col("v").alias("u"), F.col("n").alias("nu")), [*keys, "u"], "left"))
+    centre = mutual.filter((F.col("n") > F.col("nu")) | (F.col("n") == F.col("nu")) & (F.col("v") < F.col("u")))
+    come = best.join(centre.select(*keys, F.col("v").alias("u")), [*keys, "u"], "left_semi")
+    mine = come.select(*keys, "v", F.col("u").alias("a"), F.col("dq").alias("d"))
+    theirs = come.select(*keys, F.col("v").alias("u"), F.col("u").alias("a"), F.col("dq").alias("du"))
+    wait = (rows.filter(F.col("v") != F.col("u")).select(*keys, "v", "u").join(mine, [*keys, "v"]).join(theirs, [*keys, "u", "a"])
+                .filter((F.col("du") > F.col("d")) | (F.col("du") == F.col("d")) & (F.col("u") < F.col("v")))
+                .select(*keys, "v").distinct())
+    before = Window.partitionBy(*keys, "u").orderBy(F.desc("dq"), "v").rowsBetween(Window.unboundedPreceding, -1)
 
-def fast_greedy_merges(edges: DataFrame, keys: list[str] = [KEY], k: int | None = None,
-                       max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    def lost():
+        taken = F.coalesce(F.sum(F.col("kv").cast("double")).over(before), F.lit(0.0))
+        return F.col("kv").cast("double") * taken / (F.col("m2") * F.col("m2"))
+    free = come.join(wait, [*keys, "v"], "left_anti").withColumn("lost", lost())
+    if negative:   # the best of a centre only, so that the last merges can be counted out
+        free = free.withColumn("r", F.row_number().over(before.rowsBetween(Window.unboundedPreceding, 0))).filter("r = 1")
+    else:
+        free = free.filter(F.col("dq") - F.col("lost") > F.lit(TOL)).withColumn("lost", lost())
+    return free.select(*keys, "v", F.col("u").alias("a"), "dq", (F.col("dq") - F.col("lost")).alias("gain"))
+
+
+def fast_greedy_merges(edges: DataFrame, keys: list[str] = [KEY], k: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Return ``(labels, merges)``: ``keys + [sku, label]`` and ``keys + [step, a, b, gain]``."""
-    e = simplify(edges, keys).withColumn("w", int_weight()).filter(F.col("w") > 0)
-    rows = cut_lineage(directed(e, keys, ["w"]))
+    e = with_int_weight(simplify(edges, keys), keys)
+    every = vertices(e, keys).select(*keys, F.col("v").alias("sku"), F.col("v"))
+    rows = cut_lineage(directed(e.filter(F.col("w") > 0), keys, ["w"]))
     nodes = cut_lineage(rows.groupBy(*keys, "v").agg(F.sum("w").alias("kv")))
-    tot = cut_lineage(nodes.groupBy(*keys).agg(F.sum("kv").cast("double").alias("m2"),
-                                              F.count(F.lit(1)).alias("n0")))
-    mapping = nodes.select(*keys, F.col("v").alias("sku"), "v")
-    merges = None
-    step0 = None   # keys + [done]: merges recorded so far per graph
-    for rnd in range(max_rounds):
-        # candidate merges between distinct adjacent communities (one row per direction)
-        pair = (rows.filter(F.col("v") != F.col("u")).groupBy(*keys, "v", "u").agg(F.sum("w").alias("wvu"))
-                    .join(nodes, [*keys, "v"])
-                    .join(nodes.select(*keys, F.col("v").alias("u"), F.col("kv").alias("ku")), [*keys, "u"])
-                    .join(tot, keys)
-                    .select(*keys, "v", "u", (F.col("wvu").cast("double") / F.col("m2")
-                            - F.col("kv").cast("double") * F.col("ku") / (F.col("m2") * F.col("m2"))).alias("dq")))
-        order = F.struct("dq", (-F.least("v", "u")).alias("x"), (-F.greatest("v", "u")).alias("y"))
-        best = pair.groupBy(*keys, "v").agg(F.max(F.struct(order.alias("o"), F.col("u"))).alias("b"))
-        best = best.select(*keys, "v", F.col("b.u").alias("u"), F.col("b.o.dq").alias("dq"))
-        mutual = (best.join(best.select(*keys, F.col("v").alias("u"), F.col("u").alias("v2")), [*keys, "u"])
-                      .filter((F.col("v2") == F.col("v")) & (F.col("v") < F.col("u"))))
-        ncomm = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("nc"))
-        if k is None:
-            mutual = mutual.filter(F.col("dq") > F.lit(TOL))
-        else:
-            # keep only as many merges (best first) as bring the graph down to k communities
-            w = Window.partitionBy(*keys).orderBy(F.col("dq").desc(), "v")
-            mutual = (mutual.join(ncomm, keys).withColumn("r", F.row_number().over(w))
-                            .filter(F.col("r") <= F.col("nc") - F.lit(k)))
-        mutual = cut_lineage(mutual.select(*keys, F.col("v").alias("a"), F.col("u").alias("b"), F.col("dq").alias("gain")))
-        if mutual.limit(1).count() == 0:
+    tot = cut_lineage(nodes.groupBy(*keys).agg(F.sum("kv").cast("double").alias("m2")))
+    mapping = cut_lineage(every)
+    done = cut_lineage(tot.select(*keys, F.lit(0).cast("bigint").alias("done")))
+    rounds: list[DataFrame] = []
+    for _ in range(SAFETY):
+        pairs = _pairs(rows, nodes, tot, keys)
+        joins = cut_lineage(_joins(rows, pairs, keys, False), "joins")
+        if joins.isEmpty() and k is not None:
+            drop_table(joins)
+            joins = cut_lineage(_joins(rows, pairs, keys, True), "joins")
+        if k is not None:   # only as many merges, best first, as leave k communities
+            order = F.struct((-F.col("gain")).alias("g"), "a", "v")
+            ranked = running_before(joins.withColumn("o", order), keys, F.col("o"), F.lit(1), "r")
+            count = mapping.select(*keys, "v").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("nc"))
+            joins = cut_lineage(ranked.join(count, keys).filter(F.col("r") < F.col("nc") - F.lit(k)).select(*joins.columns), "joins")
+        if joins.isEmpty():
             break
-        w = Window.partitionBy(*keys).orderBy(F.col("gain").desc(), "a")
-        done = step0 if step0 is not None else tot.select(*keys, F.lit(0).cast("bigint").alias("done"))
-        numbered = (mutual.join(done, keys).withColumn("step", F.col("done") + F.row_number().over(w))
-                          .select(*keys, "step", "a", "b", (F.col("gain") * 2).alias("gain")))
-        merges = numbered if merges is None else merges.unionByName(numbered)
-        merges = cut_lineage(merges)
-        step0 = cut_lineage(merges.groupBy(*keys).agg(F.max("step").alias("done"))
-                            .join(tot.select(*keys), keys, "right").fillna(0, ["done"]))
-        # contract: b joins a
-        to = mutual.select(*keys, F.col("b").alias("v"), F.col("a").alias("t"))
-        rel = lambda df, c: (df.join(to.withColumnRenamed("v", c).withColumnRenamed("t", c + "_t"), [*keys, c], "left")
-                               .withColumn(c, F.coalesce(c + "_t", c)).drop(c + "_t"))
-        rows = cut_lineage(rel(rel(rows, "v"), "u").groupBy(*keys, "v", "u").agg(F.sum("w").alias("w")))
-        nodes = cut_lineage(rel(nodes, "v").groupBy(*keys, "v").agg(F.sum("kv").alias("kv")))
-        mapping = cut_lineage(rel(mapping, "v"))
-    if merges is None:
-        merges = tot.select(*keys).limit(0).select(*keys, F.lit(0).cast("bigint").alias("step"),
-                                                   F.lit(0).cast("bigint").alias("a"),
-                                                   F.lit(0).cast("bigint").alias("b"),
-                                                   F.lit(0.0).alias("gain"))
+        order = F.struct((-F.col("gain")).alias("g"), "a", "v")
+        steps = running_before(joins.withColumn("o", order), keys, F.col("o"), F.lit(1), "r").join(done, keys)
+        rounds.append(cut_lineage(steps.select(*keys, (F.col("done") + F.col("r") + 1).alias("step"), "a", F.col("v").alias("b"),
+                                               (F.col("gain") * 2).alias("gain")), "merges"))
+        made = rounds[-1].groupBy(*keys).agg(F.max("step").alias("last"))
+        new_done = cut_lineage(done.join(made, keys, "left").select(*keys, F.coalesce("last", "done").alias("done")))
+        to = joins.select(*keys, "v", F.col("a").alias("t"))
+
+        def moved(df, c):
+            return (df.join(to.withColumnRenamed("v", c).withColumnRenamed("t", c + "_t"), [*keys, c], "left")
+                      .withColumn(c, F.coalesce(c + "_t", c)).drop(c + "_t"))
+        old = (rows, nodes, mapping, done, joins)
+        rows = cut_lineage(moved(moved(rows, "v"), "u").groupBy(*keys, "v", "u").agg(F.sum("w").alias("w")))
+        nodes = cut_lineage(moved(nodes, "v").groupBy(*keys, "v").agg(F.sum("kv").alias("kv")))
+        mapping = cut_lineage(moved(mapping, "v"))
+        done = new_done
+        for table in old:
+            drop_table(table)
+    else:
+        raise RuntimeError("merging did not end")
+    if k is not None:
+        over = mapping.select(*keys, "v").distinct().groupBy(*keys).count().filter(F.col("count") > F.lit(k))
+        if not over.isEmpty():
+            raise ValueError(f"k = {k} is below the number of connected components of a graph")
+    merges = tot.limit(0).select(*keys, *[F.lit(0).cast(t).alias(c) for c, t in
+                                          (("step", "bigint"), ("a", "bigint"), ("b", "bigint"), ("gain", "double"))])
+    for table in rounds:
+        merges = merges.unionByName(table)
     return mapping.select(*keys, "sku", F.col("v").alias("label")), merges
 
 
@@ -98,8 +142,9 @@ def cut_merges(merges: DataFrame, vertices: DataFrame, steps: DataFrame, keys: l
 
 
 def best_cut_steps(merges: DataFrame, keys: list[str] = [KEY]) -> DataFrame:
-    """The step with the highest cumulative ΔQ per graph (0 = no merge), for ``cut_merges``."""
-    w = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = merges.withColumn("q", F.sum("gain").over(w))
+    """The step with the highest cumulative ΔQ per graph (0 = no merge), for ``cut_merges``.  Gains are
+    summed as multiples of 2^-60, which no sum of a dendrogram's gains overflows."""
+    unit = merges.withColumn("g", F.round(F.col("gain") * F.lit(UNIT)).cast("bigint"))
+    cum = running_before(unit, keys, "step", F.col("g"), "q").withColumn("q", F.col("q") + F.col("g"))
     best = cum.groupBy(*keys).agg(F.max(F.struct("q", (-F.col("step")).alias("ns"))).alias("b"))
     return best.select(*keys, F.when(F.col("b.q") > 0, -F.col("b.ns")).otherwise(F.lit(0)).cast("bigint").alias("upto"))

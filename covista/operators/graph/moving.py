@@ -11,176 +11,173 @@ Moving v from community a to c changes H by twice
     [w⁺(v→c) − γ k⁺_v K⁺_c / 2m⁺] − [w⁺(v→a∖v) − γ k⁺_v (K⁺_a − k⁺_v) / 2m⁺]   minus the same
     bracket built from w⁻, k⁻, K⁻, 2m⁻ and λ.
 
-Every round each vertex proposes its best move (largest gain, then smallest community id).  All
-proposals are applied at once when that raises H for the graph; otherwise only moves that are the
-best among all proposals touching their source or target community are applied.  Those share no
-community, so their gains add exactly, and the best proposal of the graph is always among them:
-H rises every round and the loop ends.  When a level has no more moves the graph is contracted
-(communities become vertices, parallel rows summed, loops kept) and the next level starts, as in
-the multilevel method.  All graphs (categories, clusters being split) move in the same jobs,
-keyed by ``keys``; each round is checkpointed.
+A round: every vertex finds its best move to a neighbouring community (largest gain, then smallest
+community id).  Two moves i: a→c and j: b→d together change H by the sum of their gains plus
+
+    (w_ij − γ k⁺_i k⁺_j / 2m⁺ …) · ([c=d] + [a=b] − [c=b] − [a=d])      (with the signs turned for w⁻, k⁻).
+
+So a vertex waits if a neighbour with a better move (larger gain, then smaller id) makes the link's
+share negative: over a positive link one goes where the other leaves, over a negative link both go to
+or leave one community.  The share of the strengths is bounded: a move is accepted if its gain exceeds
+γ k⁺_i k⁺_j / 2m⁺ over all better moves with the same target or the same source (and λ k⁻_i k⁻_j / 2m⁻
+over those that touch either community).  The accepted moves then raise H strictly, the best move of a
+graph is always accepted, and the loop ends with no improving move left.  Then the graph is contracted
+(communities become vertices, parallel rows summed, loops kept) and the next level starts, as in the
+multilevel method, until a level has no move.  All graphs
+(categories, clusters being split) move in the same jobs, keyed by ``keys``.  A round writes two
+tables, the moves and the new state, and deletes those of the round before.
+
+Edges are split by the joins (written tables on both sides) where a hub holds many of them; a window
+orders the moves that touch one community, never its members or edges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...runtime import KEY, cut_lineage
-from .core import as_membership, directed, int_weight, simplify, vertices
+from ...runtime import KEY, cut_lineage, drop_table
+from .core import as_membership, directed, simplify, with_int_weight
 
-TOL = 1e-9
+TOL = 1e-10          # a gain counts from this share of the vertex's weight on
+SAFETY = 100_000     # rounds of a level; reaching it raises
 
 
-def _level0(edges: DataFrame, keys: list[str], signed: bool):
-    e = simplify(edges, keys).withColumn("w", int_weight())
-    if not signed:
-        e = e.filter(F.col("w") > 0)
-    e = e.select(*keys, "src", "dst",
-                 F.greatest("w", F.lit(0)).alias("wp"), F.greatest(-F.col("w"), F.lit(0)).alias("wn"))
-    rows = cut_lineage(directed(e, keys, ["wp", "wn"]))
-    return rows
-
-
-def _nodes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys, "v").agg(F.sum("wp").alias("kp"), F.sum("wn").alias("kn"))
-
-
-def _objective(rows: DataFrame, nodes: DataFrame, comm: DataFrame, tot: DataFrame, keys: list[str],
-               gamma: float, lam: float) -> DataFrame:
-    """``keys + [h]`` for the partition ``comm`` (keys, v, c)."""
-    cv = comm.select(*keys, "v", F.col("c").alias("cv"))
-    cu = comm.select(*keys, F.col("v").alias("u"), F.col("c").alias("cu"))
-    inside = (rows.join(cv, [*keys, "v"]).join(cu, [*keys, "u"])
-                  .filter(F.col("cv") == F.col("cu"))
-                  .groupBy(*keys).agg(F.sum(F.col("wp") - F.col("wn")).cast("double").alias("win")))
-    K = (nodes.join(comm, [*keys, "v"]).groupBy(*keys, "c")
-              .agg(F.sum("kp").cast("double").alias("Kp"), F.sum("kn").cast("double").alias("Kn")))
-    sq = K.join(tot, keys).groupBy(*keys).agg(
-        F.sum(_safe_div(F.col("Kp") * F.col("Kp"), F.col("mp2"))).alias("sp"),
-        F.sum(_safe_div(F.col("Kn") * F.col("Kn"), F.col("mn2"))).alias("sn"))
-    return (tot.select(*keys).join(inside, keys, "left").join(sq, keys, "left")
-               .select(*keys, (F.coalesce("win", F.lit(0.0)) - F.lit(gamma) * F.coalesce("sp", F.lit(0.0))
-                               + F.lit(lam) * F.coalesce("sn", F.lit(0.0))).alias("h")))
-
-
-def _safe_div(a: Column, b: Column) -> Column:
+def _div(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def _proposals(rows, nodes, comm, tot, keys, gamma, lam) -> DataFrame:
-    """Best move per vertex with positive gain: ``keys + [v, a, c, gain]``."""
-    info = nodes.join(comm, [*keys, "v"]).select(*keys, "v", F.col("c").alias("a"), "kp", "kn")
-    K = info.groupBy(*keys, F.col("a").alias("c")).agg(F.sum("kp").alias("sum_cp"), F.sum("kn").alias("sum_cn"))
-    cu = comm.select(*keys, F.col("v").alias("u"), F.col("c").alias("c"))
-    wto = (rows.filter(F.col("v") != F.col("u")).join(cu, [*keys, "u"])
-               .groupBy(*keys, "v", "c").agg(F.sum("wp").alias("tp"), F.sum("wn").alias("tn")))
-    own = (wto.join(info.select(*keys, "v", F.col("a").alias("c")), [*keys, "v", "c"])
-              .select(*keys, "v", F.col("tp").alias("op"), F.col("tn").alias("on")))
-    Ka = K.select(*keys, F.col("c").alias("a"), F.col("sum_cp").alias("sum_ap"), F.col("sum_cn").alias("sum_an"))
-    cand = (wto.join(info, [*keys, "v"]).filter(F.col("c") != F.col("a"))
-               .join(K, [*keys, "c"]).join(Ka, [*keys, "a"]).join(own, [*keys, "v"], "left")
-               .join(tot, keys))
-    d = lambda c: F.col(c).cast("double")
-    gp = ((d("tp") - F.lit(gamma) * _safe_div(d("kp") * d("sum_cp"), d("mp2")))
-          - (F.coalesce(d("op"), F.lit(0.0)) - F.lit(gamma) * _safe_div(d("kp") * (d("sum_ap") - d("kp")), d("mp2"))))
-    gn = ((d("tn") - F.lit(lam) * _safe_div(d("kn") * d("sum_cn"), d("mn2")))
-          - (F.coalesce(d("on"), F.lit(0.0)) - F.lit(lam) * _safe_div(d("kn") * (d("sum_an") - d("kn")), d("mn2"))))
-    cand = cand.select(*keys, "v", "a", "c", (gp - gn).alias("gain"))
-    best = (cand.groupBy(*keys, "v", "a").agg(F.max(F.struct("gain", (-F.col("c")).alias("nc"))).alias("b"))
-                .select(*keys, "v", "a", (-F.col("b.nc")).alias("c"), F.col("b.gain").alias("gain")))
-    return best.filter(F.col("gain") > F.lit(TOL))
-
-
-def _conservative(moves: DataFrame, keys: list[str]) -> DataFrame:
-    """Moves that are the best (gain, then smallest vertex) for both communities they touch."""
-    touch = (moves.select(*keys, F.col("a").alias("x"), "v", "gain")
-                  .unionByName(moves.select(*keys, F.col("c").alias("x"), "v", "gain")))
-    best = touch.groupBy(*keys, "x").agg(F.max(F.struct("gain", (-F.col("v")).alias("nv"))).alias("b"))
-    best = best.select(*keys, "x", (-F.col("b.nv")).alias("bv"))
-    return (moves.join(best.withColumnRenamed("x", "a").withColumnRenamed("bv", "ba"), [*keys, "a"])
-                 .join(best.withColumnRenamed("x", "c").withColumnRenamed("bv", "bc"), [*keys, "c"])
-                 .filter((F.col("ba") == F.col("v")) & (F.col("bc") == F.col("v")))
-                 .select(*keys, "v", "a", "c", "gain"))
-
-
-def _apply(comm: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:
-    return (comm.join(moves.select(*keys, "v", F.col("c").alias("nc")), [*keys, "v"], "left")
-                .select(*keys, "v", F.coalesce("nc", "c").alias("c")))
-
-
-def move_level(rows, nodes, tot, keys, gamma, lam, max_rounds):
-    """One level of local moving from singletons; returns (comm, moved_any)."""
-    comm = cut_lineage(nodes.select(*keys, "v", F.col("v").alias("c")))
-    h = cut_lineage(_objective(rows, nodes, comm, tot, keys, gamma, lam))
-    moved_any = False
-    for rnd in range(max_rounds):
-        moves = cut_lineage(_proposals(rows, nodes, comm, tot, keys, gamma, lam))
-        if moves.limit(1).count() == 0:
-            break
-        moved_any = True
-        # The batch try moves every vertex whose best community has a smaller id (even rounds)
-        # or a larger id (odd rounds): two vertices can then never swap places in one round.
-        toward = (F.col("c") < F.col("a")) if rnd % 2 == 0 else (F.col("c") > F.col("a"))
-        batch = _apply(comm, moves.filter(toward), keys)
-        hb = _objective(rows, nodes, batch, tot, keys, gamma, lam).withColumnRenamed("h", "hb")
-        # one small table per round: current and batch objective, and whether the batch is taken
-        hh = cut_lineage(h.join(hb, keys).withColumn(
-            "acc", F.col("hb") > F.col("h") + F.lit(TOL) * (F.abs("h") + 1)))
-        ok = hh.filter("acc").select(*keys)
-        safe = _conservative(moves.join(ok, keys, "left_anti"), keys)
-        chosen = cut_lineage(moves.filter(toward).join(ok, keys, "left_semi").unionByName(safe))
-        comm = cut_lineage(_apply(comm, chosen, keys))
-        # batch graphs take the measured objective; the others add their (exactly additive) gains
-        gained = (chosen.join(ok, keys, "left_anti").groupBy(*keys)
-                        .agg((2 * F.sum("gain")).alias("dh")))
-        h = cut_lineage(hh.join(gained, keys, "left")
-                          .select(*keys, F.when(F.col("acc"), F.col("hb"))
-                                  .otherwise(F.col("h") + F.coalesce("dh", F.lit(0.0))).alias("h")))
-    return comm, moved_any
+def level0(edges: DataFrame, keys: list[str], signed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows, state, totals)`` of the graph with every vertex alone in its community.
+
+    ``rows``: both directions of every edge with its positive and negative integer weight.  ``state``:
+    ``keys + [v, c, kp, kn]``.  Without ``signed`` only positive weights link; vertices stay.
+    """
+    e = with_int_weight(simplify(edges, keys), keys)
+    e = e.select(*keys, "src", "dst", F.greatest("w", F.lit(0)).alias("wp"),
+                 F.greatest(-F.col("w"), F.lit(0)).alias("wn") if signed else F.lit(0).cast("bigint").alias("wn"))
+    rows = cut_lineage(directed(e, keys, ["wp", "wn"]))
+    state = rows.groupBy(*keys, "v").agg(F.sum("wp").alias("kp"), F.sum("wn").alias("kn"))
+    state = cut_lineage(state.select(*keys, "v", F.col("v").alias("c"), "kp", "kn"))
+    totals = cut_lineage(state.groupBy(*keys).agg(F.sum("kp").cast("double").alias("mp2"), F.sum("kn").cast("double").alias("mn2")))
+    return rows, state, totals
+
+
+def best_moves(rows: DataFrame, state: DataFrame, totals: DataFrame, keys: list[str], gamma: float, lam: float) -> DataFrame:
+    """The improving move of every vertex that has one: ``keys + [v, a, c, gain, kp, kn]``."""
+    strength = state.groupBy(*keys, "c").agg(F.sum("kp").cast("double").alias("sum_p"), F.sum("kn").cast("double").alias("sum_n"))
+    near = (rows.filter(F.col("v") != F.col("u"))
+                .join(state.select(*keys, F.col("v").alias("u"), "c"), [*keys, "u"])
+                .groupBy(*keys, "v", "c").agg(F.sum("wp").cast("double").alias("tp"), F.sum("wn").cast("double").alias("tn")))
+    # a row for the own community even without a link into it
+    own = state.select(*keys, "v", "c", F.lit(0.0).alias("tp"), F.lit(0.0).alias("tn"))
+    options = near.unionByName(own).groupBy(*keys, "v", "c").agg(F.sum("tp").alias("tp"), F.sum("tn").alias("tn"))
+    me = state.select(*keys, "v", F.col("c").alias("a"), F.col("kp").cast("double").alias("kp"), F.col("kn").cast("double").alias("kn"))
+    options = options.join(me, [*keys, "v"]).join(strength, [*keys, "c"]).join(totals, keys)
+    home = F.col("c") == F.col("a")
+    kp_in, kn_in = (F.col(K) - F.when(home, F.col(k)).otherwise(0.0) for K, k in (("sum_p", "kp"), ("sum_n", "kn")))
+    score = ((F.col("tp") - F.lit(gamma) * _div(F.col("kp") * kp_in, F.col("mp2")))
+             - (F.col("tn") - F.lit(lam) * _div(F.col("kn") * kn_in, F.col("mn2"))))
+    best = options.withColumn("score", score).groupBy(*keys, "v", "a", "kp", "kn").agg(
+        F.max(F.when(~home, F.struct("score", (-F.col("c")).alias("nc")))).alias("b"),
+        F.max(F.when(home, F.col("score"))).alias("stay"))
+    gain = F.col("b.score") - F.col("stay")
+    return (best.filter(F.col("b").isNotNull() & (gain > F.lit(TOL) * (F.col("kp") + F.col("kn"))))
+                .select(*keys, "v", "a", (-F.col("b.nc")).alias("c"), gain.alias("gain"), "kp", "kn"))
+
+
+def accepted_moves(rows: DataFrame, moves: DataFrame, totals: DataFrame, keys: list[str], gamma: float, lam: float) -> DataFrame:
+    """``keys + [v, to]``: moves that can be made together, see the module's description."""
+    mine = moves.select(*keys, "v", "a", "c", F.col("gain").alias("g"))
+    other = moves.select(*keys, F.col("v").alias("u"), F.col("a").alias("b"), F.col("c").alias("d"), F.col("gain").alias("gu"))
+    better = (F.col("gu") > F.col("g")) | (F.col("gu") == F.col("g")) & (F.col("u") < F.col("v"))
+    cross = (F.col("c") == F.col("b")) | (F.col("a") == F.col("d"))
+    alike = (F.col("c") == F.col("d")) | (F.col("a") == F.col("b"))
+    wait = (rows.filter(F.col("v") != F.col("u")).join(mine, [*keys, "v"]).join(other, [*keys, "u"])
+                .filter(better & ((F.col("wp") > 0) & cross | (F.col("wn") > 0) & alike))
+                .select(*keys, "v").distinct())
+    free = moves.join(wait, [*keys, "v"], "left_anti")
+    touch = (free.withColumn("x", F.col("a")).withColumn("to", F.lit(False))
+                 .unionByName(free.withColumn("x", F.col("c")).withColumn("to", F.lit(True))))
+
+    def taken(k, *same):
+        before = Window.partitionBy(*keys, "x", *same).orderBy(F.desc("gain"), "v").rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(k).over(before), F.lit(0.0))
+    touch = touch.withColumn("rp", taken("kp", "to")).withColumn("rn", taken("kn") if lam > 0 else F.lit(0.0))
+    held = (touch.groupBy(*keys, "v", "c", "gain", "kp", "kn").agg(F.sum("rp").alias("rp"), F.sum("rn").alias("rn"))
+                 .join(totals, keys))
+    lost = (F.lit(gamma) * _div(F.col("kp") * F.col("rp"), F.col("mp2")) + F.lit(lam) * _div(F.col("kn") * F.col("rn"), F.col("mn2")))
+    return held.filter(F.col("gain") > lost).select(*keys, "v", F.col("c").alias("to"))
+
+
+def move_level(rows: DataFrame, state: DataFrame, totals: DataFrame, keys: list[str], gamma: float, lam: float):
+    """Rounds until no vertex has an improving move; returns ``(state, whether any vertex moved)``."""
+    moved = False
+    for _ in range(SAFETY):
+        moves = cut_lineage(best_moves(rows, state, totals, keys, gamma, lam), "moves")
+        if moves.isEmpty():
+            drop_table(moves)
+            return state, moved
+        taken = accepted_moves(rows, moves, totals, keys, gamma, lam)
+        new = cut_lineage(state.join(taken, [*keys, "v"], "left").select(*keys, "v", F.coalesce("to", "c").alias("c"), "kp", "kn"), "state")
+        if moved:
+            drop_table(state)
+        drop_table(moves)
+        state, moved = new, True
+    raise RuntimeError("local moving did not converge")
+
+
+def contract(rows: DataFrame, state: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows and state of the graph whose vertices are the communities of ``state``."""
+    label = state.select(*keys, "v", "c")
+    to = lambda end, new: label.select(*keys, F.col("v").alias(end), F.col("c").alias(new))
+    rows = cut_lineage(rows.join(to("v", "cv"), [*keys, "v"]).join(to("u", "cu"), [*keys, "u"])
+                           .groupBy(*keys, F.col("cv").alias("v"), F.col("cu").alias("u"))
+                           .agg(F.sum("wp").alias("wp"), F.sum("wn").alias("wn")))
+    state = cut_lineage(state.groupBy(*keys, "c").agg(F.sum("kp").alias("kp"), F.sum("kn").alias("kn"))
+                             .select(*keys, F.col("c").alias("v"), "c", "kp", "kn"))
+    return rows, state
 
 
 def local_moving_labels(edges: DataFrame, keys: list[str] = [KEY], gamma: float = 1.0, lam: float = 0.0,
-                        signed: bool = False, max_rounds: int = 50, max_levels: int = 20) -> DataFrame:
-    """``keys + [sku, label]`` after multilevel local moving."""
-    rows = _level0(edges, keys, signed)
-    nodes = cut_lineage(_nodes(rows, keys))
-    tot = cut_lineage(nodes.groupBy(*keys).agg(F.sum("kp").cast("double").alias("mp2"),
-                                               F.sum("kn").cast("double").alias("mn2")))
-    mapping = nodes.select(*keys, F.col("v").alias("sku"), "v")
-    for _ in range(max_levels):
-        comm, moved = move_level(rows, nodes, tot, keys, gamma, lam, max_rounds)
+                        signed: bool = False) -> DataFrame:
+    """``keys + [sku, label]`` after multilevel local moving, run until no level has a move."""
+    rows, state, totals = level0(edges, keys, signed)
+    mapping = state.select(*keys, F.col("v").alias("sku"), "v")
+    while True:
+        new, moved = move_level(rows, state, totals, keys, gamma, lam)
         if not moved:
-            break
-        mapping = cut_lineage(mapping.join(comm, [*keys, "v"]).select(*keys, "sku", F.col("c").alias("v")))
-        cv = comm.select(*keys, "v", F.col("c").alias("cv"))
-        cu = comm.select(*keys, F.col("v").alias("u"), F.col("c").alias("cu"))
-        rows = cut_lineage(rows.join(cv, [*keys, "v"]).join(cu, [*keys, "u"])
-                               .groupBy(*keys, F.col("cv").alias("v"), F.col("cu").alias("u"))
-                               .agg(F.sum("wp").alias("wp"), F.sum("wn").alias("wn")))
-        nodes = cut_lineage(nodes.join(comm, [*keys, "v"]).groupBy(*keys, F.col("c").alias("v"))
-                                 .agg(F.sum("kp").alias("kp"), F.sum("kn").alias("kn")))
-    return mapping.select(*keys, "sku", F.col("v").alias("label"))
-
-
-def louvain(edges: DataFrame, gamma: float = 1.0, keys: list[str] = [KEY], max_rounds: int = 50,
-            max_levels: int = 20) -> DataFrame:
+            drop_table(rows)
+            return mapping.select(*keys, "sku", F.col("v").alias("label"))
+        mapping = cut_lineage(mapping.join(new.select(*keys, "v", "c"), [*keys, "v"]).select(*keys, "sku", F.col("c").alias("v")), "labels")
+        old = rows
+        rows, state = contract(rows, new, keys)
+        drop_table(old)
+        drop_table(new)
+
+
+def moves_left(edges: DataFrame, membership: DataFrame, keys: list[str] = [KEY], gamma: float = 1.0, lam: float = 0.0,
+               signed: bool = False, label: str = "cluster") -> DataFrame:
+    """``keys + [v, a, c, gain, kp, kn]``: merges of a whole community into a neighbouring one that would
+    still raise H; none are left after ``local_moving_labels``."""
+    rows, state, totals = level0(edges, keys, signed)
+    named = membership.select(*keys, F.col("sku").alias("v"), F.col(label).cast("bigint").alias("c"))
+    rows, state = contract(rows, state.drop("c").join(named, [*keys, "v"]), keys)
+    return best_moves(rows, state, totals, keys, gamma, lam)
+
+
+def louvain(edges: DataFrame, gamma: float = 1.0, keys: list[str] = [KEY]) -> DataFrame:
     """G5 (method 4): multilevel modularity communities, ``keys + [sku, cluster]``."""
-    return as_membership(local_moving_labels(edges, keys, gamma, 0.0, False, max_rounds, max_levels), keys)
+    return as_membership(local_moving_labels(edges, keys, gamma), keys)
 
 
-def potts_communities(edges: DataFrame, gamma: float = 1.0, keys: list[str] = [KEY], max_rounds: int = 50,
-                      max_levels: int = 20) -> DataFrame:
+def potts_communities(edges: DataFrame, gamma: float = 1.0, keys: list[str] = [KEY]) -> DataFrame:
     """G8 (method 8): Potts model on positive links with resolution γ (same energy as the
     original's spin glass; minimised by local moving instead of simulated annealing)."""
-    return as_membership(local_moving_labels(edges, keys, gamma, 0.0, False, max_rounds, max_levels), keys)
+    return as_membership(local_moving_labels(edges, keys, gamma), keys)
 
 
-def signed_potts_communities(edges: DataFrame, gamma: float = 1.0, lam: float = 1.0, keys: list[str] = [KEY],
-                             max_rounds: int = 50, max_levels: int = 20) -> DataFrame:
+def signed_potts_communities(edges: DataFrame, gamma: float = 1.0, lam: float = 1.0, keys: list[str] = [KEY]) -> DataFrame:
     """G9 (method 7): Potts model with positive and negative links (γ for w⁺, λ for w⁻)."""
-    return as_membership(local_moving_labels(edges, keys, gamma, lam, True, max_rounds, max_levels), keys)
-
+    return as_membership(local_moving_labels(edges, keys, gamma, lam, True), keys)
 
-def all_vertices(edges: DataFrame, keys: list[str] = [KEY]) -> DataFrame:
-    return vertices(simplify(edges, keys), keys)

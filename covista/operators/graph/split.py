@@ -16,31 +16,26 @@ from pyspark.sql import functions as F
 from ...params import RESOLUTION_METHODS, Params
 from ...runtime import KEY, cut_lineage
 from .core import as_membership, induced_edges
+from .label_prop import label_propagation_labels
+from .merges import fast_greedy_merges
+from .moving import local_moving_labels
 
 
 def community_labels(edges: DataFrame, method: int, p: Params, keys: list[str] = [KEY],
                      gamma: float | None = None) -> DataFrame:
-    """``keys + [sku, label]`` for community method ``method`` (1..8)."""
+    """``keys + [sku, label]`` for community method ``method`` (``params.METHODS``)."""
     gamma = p.sg_gamma if gamma is None else gamma
     if method == 1:
-        from .merges import fast_greedy_merges
         return fast_greedy_merges(edges, keys, p.k)[0]
-    if method in (2, 3, 5):
-        raise NotImplementedError(f"community method {method} (walktrap / leading eigenvector / "
-                                  "edge betweenness) is not built yet")
     if method == 4:
-        from .moving import local_moving_labels
-        return local_moving_labels(edges, keys, 1.0, 0.0, False, p.max_rounds, p.max_levels)
+        return local_moving_labels(edges, keys, 1.0)
     if method == 6:
-        from .label_prop import label_propagation_labels
-        return label_propagation_labels(edges, p.lp_rounds, keys)
+        return label_propagation_labels(edges, keys)
     if method == 7:
-        from .moving import local_moving_labels
-        return local_moving_labels(edges, keys, gamma, p.sg_lambda, True, p.max_rounds, p.max_levels)
+        return local_moving_labels(edges, keys, gamma, p.sg_lambda, True)
     if method == 8:
-        from .moving import local_moving_labels
-        return local_moving_labels(edges, keys, gamma, 0.0, False, p.max_rounds, p.max_levels)
-    raise ValueError(f"Improper community detection method code: {method!r}")
+        return local_moving_labels(edges, keys, gamma)
+    raise ValueError(f"no community method has the code {method!r}")
 
 
 def detect(edges: DataFrame, p: Params, method: int | None = None, keys: list[str] = [KEY]) -> DataFrame:
@@ -62,7 +57,7 @@ def split_large(edges: DataFrame, membership: DataFrame, p: Params, keys: list[s
     done = None
     gamma = p.sg_gamma
     for t in range(1, tries + 1):
-        if pending.limit(1).count() == 0:
+        if pending.isEmpty():
             break
         e = sub_edges.join(pending, gk, "left_semi")
         lab = community_labels(e, p.sub_method, p, gk, gamma)

@@ -1,15 +1,16 @@
 """Integer percentile rank of product metrics within their sub-sub-category.
 
-``ceil(percent_rank() · 100)`` per metric, ascending with NULLs first.  The window is keyed by
-sub-sub-category over the product-metrics dimension (one row per product), so a window group
-is bounded by the catalogue, not by the view log; groups spill to disk if large.
+``ceil(percent_rank() · 100)`` per metric, ascending with NULLs first.  The rank of a value is one
+more than the number of rows below it, which is summed over counted values in range partitions, so a
+sub-sub-category of any size is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import running_before
 from ..sources.fixtures import REGIONS, region_column
 
 METRIC_COLUMNS = ["conv_crt_to_ord", *[region_column(r) for r in REGIONS]]
@@ -21,10 +22,15 @@ def percentile_column(metric: str) -> str:
 
 def metric_percentiles(metrics: DataFrame, cols: list[str], by: str = "subSubCategory",
                        id_col: str = "productItemID") -> DataFrame:
-    out = metrics
+    sizes = metrics.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    out = metrics.join(sizes.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     for c in cols:
-        w = Window.partitionBy(by).orderBy(F.col(c).asc_nulls_first())
-        out = out.withColumn(percentile_column(c), F.ceil(F.percent_rank().over(w) * 100).cast("bigint"))
+        counts = metrics.groupBy(by, c).agg(F.count(F.lit(1)).alias("_c"))
+        below = (running_before(counts, [by], c, F.col("_c"), "_below")
+                 .select(F.col(by).alias("_by"), F.col(c).alias("_v"), "_below"))
+        rank = F.when(F.col("_n") > 1, F.col("_below").cast("double") / (F.col("_n") - 1)).otherwise(0.0)
+        out = (out.join(below, F.col(by).eqNullSafe(F.col("_by")) & F.col(c).eqNullSafe(F.col("_v")))
+                  .withColumn(percentile_column(c), F.ceil(rank * 100).cast("bigint")).drop("_by", "_v", "_below"))
     return out.select(id_col, "numRatedCarts", "numOrders", by, *cols, *[percentile_column(c) for c in cols])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Params
-from ..runtime import KEY, checked_broadcast
+from ..runtime import KEY
 
 
 def visible_products(products: DataFrame, p: Params) -> DataFrame:
@@ -45,8 +45,9 @@ def qualified_views(views: DataFrame, products: DataFrame, p: Params) -> DataFra
         F.col("UserId").alias("user_id"),
         F.to_date("VisitDate").alias("visit_date"),
     )
-    # The product side is a dimension: broadcast only after checking its row count.
-    return v.join(checked_broadcast(visible_products(products, p), p.broadcast_rows), "sku")
+    # No hint: the planner broadcasts the product side if its size is below the session's threshold,
+    # else the join stays a shuffle join that can split hot products.
+    return v.join(visible_products(products, p), "sku")
 
 
 def sku_visitors(q: DataFrame) -> DataFrame:

@@ -8,13 +8,13 @@ from dataclasses import dataclass, replace
 # formulas and the community methods it knows.
 CAT_LEVELS = ("SubCategory", "SubSubCategory")
 NORMS = (1, 2, 3, 4, 5)
-METHODS = (1, 2, 3, 4, 5, 6, 7, 8)
+METHODS = (1, 4, 6, 7, 8)   # of the interface's codes 1 to 8, those that are built
 VISIBLE_RULES = ("after", "on_or_after")
 JOINT_MODES = ("daily_min", "row_weighted", "min_of_sums")
 
 # Methods that return a dendrogram (cut at k, else at best modularity) and the ones
 # that take a resolution parameter.
-DENDROGRAM_METHODS = (1, 2, 5)
+DENDROGRAM_METHODS = (1,)
 RESOLUTION_METHODS = (7, 8)
 
 
@@ -45,22 +45,16 @@ class Params:
     visible_rule: str = "on_or_after"
     joint_mode: str = "daily_min"
     ordered: bool = False
-    # Engine knobs.  The first two never change results; the iteration caps may stop a graph
-    # method before it converges (each finished round still improves its objective).
-    hot_visitor_skus: int = 2000      # block size used to split visitors with many SKUs
-    broadcast_rows: int = 1_000_000   # largest dimension side broadcast after a row check
-    max_rounds: int = 50              # cap on rounds of an iterative graph method per level
-    max_levels: int = 20              # cap on contraction levels of the local-moving methods
-    lp_rounds: int = 5                # label propagation: fixed number of synchronous rounds
+    hot_visitor_skus: int = 2000      # block size used to split visitors with many SKUs; never changes results
 
     def validate(self) -> "Params":
         if self.cat_level not in CAT_LEVELS:
             raise ValueError(f"cat_level must be one of {CAT_LEVELS}, got {self.cat_level!r}")
         if self.norm not in NORMS:
-            raise ValueError(f"Improper PMI normalization index: {self.norm!r}")
+            raise ValueError(f"norm must be one of {NORMS}, got {self.norm!r}")
         for name in ("method", "sub_method"):
             if getattr(self, name) not in METHODS:
-                raise ValueError(f"Improper community detection method code: {name}={getattr(self, name)!r}")
+                raise ValueError(f"{name} must be one of {METHODS}, got {getattr(self, name)!r}")
         if self.visible_rule not in VISIBLE_RULES:
             raise ValueError(f"visible_rule must be one of {VISIBLE_RULES}")
         if self.joint_mode not in JOINT_MODES:
@@ -75,8 +69,8 @@ class Params:
             raise ValueError("sg_lambda must be >= 0")
         if self.iter_count < 1 or self.cl_size_thresh < 1:
             raise ValueError("iter_count and cl_size_thresh must be >= 1")
-        if self.hot_visitor_skus < 2 or self.broadcast_rows < 1:
-            raise ValueError("engine knobs must be positive")
+        if self.hot_visitor_skus < 2:
+            raise ValueError("hot_visitor_skus must be >= 2")
         if self.start_date >= self.end_date:
             raise ValueError("start_date must be before end_date")
         return self

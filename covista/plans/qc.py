@@ -32,6 +32,7 @@ def attach_images(membership: DataFrame, images: DataFrame, label: str = "cluste
 
 def image_tag(url_col: str = "image_url") -> F.Column:
     """The HTML image tag the review page shows for a SKU (NULL without an image)."""
+    # fixed value: the tag's text, quotes included, as the review page expects it
     return F.when(F.col(url_col).isNotNull(),
                   F.format_string("'<img width='75' src=\"%s\" ></img>'", F.col(url_col)))
 

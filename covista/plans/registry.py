@@ -16,10 +16,11 @@ from ..operators import edges as E
 from ..operators import ranks, views
 from ..operators.potential import sku_potential
 from ..params import Params, fixture_params
-from ..runtime import KEY
+from ..runtime import KEY, scratch_path
 from ..sources import fixtures as fx
+from ..sources import sinks, text
 from . import oracle_sql as O
-from .pipeline import pair_stage, percentile_sweep
+from .pipeline import pair_stage, percentile_sweep, sweep_clusters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,7 +137,7 @@ def q_pmi_edges_shifted(spark, sf):
 
 def q_edge_summary(spark, sf):
     p = P()
-    w = E.pmi_weights(_stage(spark, sf, p).stats, p.norm).persist()
+    w = E.pmi_weights(_stage(spark, sf, p).stats, p.norm)
     cut = E.cut_edges(w, E.pmi_threshold(w, p.pmi_perc))
     out = E.edge_summary(w, "before").unionByName(E.edge_summary(cut, "after"))
     return _r(out, "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -145,7 +146,7 @@ def q_edge_summary(spark, sf):
 def q_pair_counts(spark, sf):
     p = P()
     st = _stage(spark, sf, p).stats
-    w = E.pmi_weights(st, p.norm).persist()
+    w = E.pmi_weights(st, p.norm)
     return E.pair_counts(st, w, E.cut_edges(w, E.pmi_threshold(w, p.pmi_perc)))
 
 
@@ -162,7 +163,23 @@ def q_percentile_sweep(spark, sf):
     return _r(percentile_sweep(v, pr, P(), SWEEP), "weight")
 
 
+def q_read_delimited_visits(spark, sf):
+    """Sku visits as tab-separated text in the shared folder, read back through the text source."""
+    path = scratch_path(spark, "visits")
+    views.sku_visitors(_q(spark, sf, P())).select(F.format_string(" %d\t%d", "sku", "visitor")).write.text(path)
+    return text.read_delimited(spark, path, text.SKU_VISITS)
+
+
+def q_pair_stats_csv(spark, sf):
+    """Pair statistics as CSV with a header, read back typed."""
+    path = scratch_path(spark, "stats")
+    sinks.write_pair_stats(_stage(spark, sf, P()).stats, path)
+    return text.read_pair_stats(spark, path)
+
+
 QUERIES: dict[str, Query] = {
+    "read_delimited_visits": q_read_delimited_visits,
+    "pair_stats_csv": q_pair_stats_csv,
     "qualified_views": q_qualified_views,
     "qualified_views_one_category": q_qualified_views_one_category,
     "sku_visitor_sets": q_sku_visitor_sets,
@@ -205,6 +222,8 @@ def _oracles() -> dict[str, str]:
         "qualified_views": base(p, "SELECT * FROM q"),
         "qualified_views_one_category": base(P(category=ONE_CATEGORY), "SELECT * FROM q"),
         "sku_visitor_sets": base(p, "SELECT * FROM sv"),
+        "read_delimited_visits": base(p, "SELECT sku, visitor FROM sv"),
+        "pair_stats_csv": full(p, "SELECT sub_category, sku1, sku2, pv1, pv2, com, total, pot1, pot2, pot_joint FROM stats"),
         "sku_views": base(p, "SELECT sub_category, sku, pv FROM kept"),
         "total_visitors": base(p, "SELECT * FROM total"),
         "sku_profile": base(p, "SELECT * FROM prof"),
@@ -256,23 +275,15 @@ FROM w JOIN sw USING (sub_category) WHERE w.weight > sw.threshold""")
     return out
 
 
-def oracles() -> dict[str, str]:
-    return _oracles()
-
-
 # ---------------------------------------------------------------- graph queries
 
 from ..operators.graph import core as G  # noqa: E402
 from ..operators.graph.label_prop import label_propagation, label_propagation_sql  # noqa: E402
-from ..operators.graph.moving import louvain, potts_communities, signed_potts_communities  # noqa: E402
-from ..operators.graph.merges import fast_greedy  # noqa: E402
-from ..operators.graph.split import split_large  # noqa: E402
+from ..operators.graph.moving import louvain, moves_left, potts_communities, signed_potts_communities  # noqa: E402
+from ..operators.graph.merges import best_cut_steps, cut_merges, fast_greedy, fast_greedy_merges  # noqa: E402
 from . import qc as QC  # noqa: E402
 from ..runtime import cut_lineage  # noqa: E402
 
-LP_ROUNDS = 3
-GRAPH_ROUNDS = 5   # iteration caps of the local-moving methods in registered queries (rounds per level,
-GRAPH_LEVELS = 3   # levels); every round still raises the objective, so results are valid partitions
 
 
 def flagship_edges(spark, sf, p=None):
@@ -299,7 +310,7 @@ def q_modularity(spark, sf):
 
 def q_induced_edges(spark, sf):
     e = flagship_edges(spark, sf)
-    return _r(G.induced_edges(G.simplify(e), label_propagation(e, LP_ROUNDS)), "weight")
+    return _r(G.induced_edges(G.simplify(e), label_propagation(e)), "weight")
 
 
 def q_graph_export(spark, sf):
@@ -307,7 +318,7 @@ def q_graph_export(spark, sf):
 
 
 def _lp(spark, sf):
-    return cut_lineage(label_propagation(flagship_edges(spark, sf), LP_ROUNDS))
+    return cut_lineage(label_propagation(flagship_edges(spark, sf)))
 
 
 def q_community_label_propagation(spark, sf):
@@ -336,27 +347,118 @@ def q_connected_components(spark, sf):
 
 
 def q_community_louvain(spark, sf):
-    return louvain(flagship_edges(spark, sf), max_rounds=GRAPH_ROUNDS, max_levels=GRAPH_LEVELS)
+    return louvain(flagship_edges(spark, sf))
 
 
 def q_community_potts(spark, sf):
-    return potts_communities(flagship_edges(spark, sf), gamma=0.5, max_rounds=GRAPH_ROUNDS, max_levels=GRAPH_LEVELS)
+    return potts_communities(flagship_edges(spark, sf), gamma=0.5)
+
+
+SIGNED = dict(method=7, sg_gamma=0.5, sg_lambda=0.5)
 
 
 def q_community_signed_potts(spark, sf):
-    p = P(method=7, sg_gamma=0.5, sg_lambda=0.5)
-    return signed_potts_communities(flagship_edges(spark, sf, p), 0.5, 0.5, max_rounds=GRAPH_ROUNDS, max_levels=GRAPH_LEVELS)
+    return signed_potts_communities(flagship_edges(spark, sf, P(**SIGNED)), 0.5, 0.5)
 
 
 def q_community_fast_greedy(spark, sf):
     return fast_greedy(flagship_edges(spark, sf))
 
 
-def q_split_large(spark, sf):
-    p = P(method=4, sub_method=8, cl_size_thresh=30, iter_count=5, sg_gamma=0.5, sg_lambda=0.5,
-          max_rounds=GRAPH_ROUNDS, max_levels=GRAPH_LEVELS)
+def production() -> Params:
+    """The production settings on the fixture's window."""
+    return P(method=4, sub_method=8, cl_size_thresh=30, iter_count=5, sg_gamma=0.5, sg_lambda=0.5)
+
+
+def _clusters(spark, sf):
+    p = production()
     e = flagship_edges(spark, sf, p)
-    return split_large(e, cut_lineage(louvain(e, max_rounds=GRAPH_ROUNDS, max_levels=GRAPH_LEVELS)), p)
+    return e, cut_lineage(QC.cluster(e, p), "clusters")
+
+
+def q_split_large(spark, sf):
+    return _clusters(spark, sf)[1]
+
+
+def q_cluster_production(spark, sf):
+    """Production clusters in the review table with their images."""
+    return QC.qc_table(_clusters(spark, sf)[1], fx.sku_images(spark, sf))
+
+
+def _sweep(spark, sf):
+    p = production()
+    v, pr = _inputs(spark, sf)
+    e = cut_lineage(percentile_sweep(v, pr, p, SWEEP, MIN_PRODUCTS), "edges")
+    return e, cut_lineage(sweep_clusters(e, p), "clusters")
+
+
+def q_sweep_sizes(spark, sf):
+    """P5: cluster sizes of every percentile and eligible category."""
+    m = _sweep(spark, sf)[1]
+    return m.groupBy("pmi_perc", KEY, "cluster_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+def invariants(edges, membership, label, left, keys=[KEY]):
+    """Per graph: vertices, vertices without a cluster, clusters that hold parts of two components, and
+    improving moves left (``left``: one row each, or None).  A right partition has 0 in the last three."""
+    e = G.simplify(edges, keys)
+    comp = G.connected_components(e, keys)
+    both = comp.join(membership.select(*keys, "sku", F.col(label).alias("c")), [*keys, "sku"], "left")
+    torn = (both.filter("c is not null").groupBy(*keys, "c").agg(F.countDistinct("comp").alias("n"))
+                .groupBy(*keys).agg(F.sum((F.col("n") > 1).cast("bigint")).alias("torn")))
+    out = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("vertices"), F.sum(F.col("c").isNull().cast("bigint")).alias("unlabelled"))
+    out = out.join(torn, keys, "left").withColumn("torn", F.coalesce("torn", F.lit(0)))
+    if left is None:
+        return out.withColumn("moves_left", F.lit(0).cast("bigint"))
+    moves = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("moves_left"))
+    return out.join(moves, keys, "left").withColumn("moves_left", F.coalesce("moves_left", F.lit(0)))
+
+
+def q_louvain_invariants(spark, sf):
+    e = flagship_edges(spark, sf)
+    m = cut_lineage(louvain(e))
+    return invariants(e, m, "cluster", moves_left(e, m))
+
+
+def q_potts_invariants(spark, sf):
+    e = flagship_edges(spark, sf)
+    m = cut_lineage(potts_communities(e, 0.5))
+    return invariants(e, m, "cluster", moves_left(e, m, gamma=0.5))
+
+
+def q_signed_potts_invariants(spark, sf):
+    e = flagship_edges(spark, sf, P(**SIGNED))
+    m = cut_lineage(signed_potts_communities(e, 0.5, 0.5))
+    return invariants(e, m, "cluster", moves_left(e, m, gamma=0.5, lam=0.5, signed=True))
+
+
+def q_fast_greedy_invariants(spark, sf):
+    """No merge of two communities with a gain is left: the same test as for whole-community moves."""
+    e = flagship_edges(spark, sf)
+    m = cut_lineage(fast_greedy(e))
+    return invariants(e, m, "cluster", moves_left(e, m))
+
+
+def q_split_invariants(spark, sf):
+    e, m = _clusters(spark, sf)
+    return invariants(e, m, "cluster_id", None)
+
+
+def q_sweep_invariants(spark, sf):
+    e, m = _sweep(spark, sf)
+    return invariants(e, m, "cluster_id", None, ["pmi_perc", KEY])
+
+
+def q_cut_merges(spark, sf):
+    """The dendrogram of fast greedy cut at its best step is fast greedy's own partition, so every
+    SKU is told by both: rows where the two differ would carry two numbers."""
+    e = flagship_edges(spark, sf)
+    labels, merges = fast_greedy_merges(e)
+    merges = cut_lineage(merges, "merges")
+    cut = cut_merges(merges, labels.select(KEY, "sku"), best_cut_steps(merges))
+    own = G.as_membership(labels).withColumnRenamed("cluster", "own")
+    return (cut.join(own, [KEY, "sku"]).groupBy(KEY).agg(F.count(F.lit(1)).alias("vertices"),
+            F.sum((F.col("cluster") != F.col("own")).cast("bigint")).alias("differ")))
 
 
 QUERIES.update({
@@ -375,6 +477,15 @@ QUERIES.update({
     "community_signed_potts": q_community_signed_potts,
     "community_fast_greedy": q_community_fast_greedy,
     "split_large": q_split_large,
+    "cluster_production": q_cluster_production,
+    "sweep_sizes": q_sweep_sizes,
+    "louvain_invariants": q_louvain_invariants,
+    "potts_invariants": q_potts_invariants,
+    "signed_potts_invariants": q_signed_potts_invariants,
+    "fast_greedy_invariants": q_fast_greedy_invariants,
+    "split_invariants": q_split_invariants,
+    "sweep_invariants": q_sweep_invariants,
+    "cut_merges": q_cut_merges,
 })
 
 
@@ -396,7 +507,7 @@ mqt AS (SELECT sub_category, sum(CASE WHEN cv = cu THEN weight ELSE 0.0 END) AS
 mqk AS (SELECT sub_category, cv, sum(weight) AS k FROM mqe GROUP BY sub_category, cv)
 SELECT mqt.sub_category, round(w_in / m2 - sum((k / m2) * (k / m2)), {ROUND}) AS modularity
 FROM mqt JOIN mqk USING (sub_category) GROUP BY mqt.sub_category, w_in, m2"""
-    lp = label_propagation_sql(chain, LP_ROUNDS)
+    lp = label_propagation_sql(chain)
     lp_body = lp[: lp.rindex("SELECT lf.sub_category")]
     lp_mem = lp_body + ",\nlpm AS (SELECT lf.sub_category, lf.sku, ranked.cluster FROM lf JOIN ranked USING (sub_category, label))"
     images = f",\nimg AS ({fx.SQL_SKU_IMAGES})"
@@ -430,10 +541,29 @@ reach(sub_category, sku, c) AS (
   UNION
   SELECT r.sub_category, cd.u, r.c FROM reach r JOIN cd ON cd.sub_category = r.sub_category AND cd.v = r.sku)
 SELECT sub_category, sku, min(c) AS comp FROM reach GROUP BY sub_category, sku""",
+        **{f"{name}_invariants": _invariant_sql(chain, "edges") for name in ("louvain", "potts", "fast_greedy", "split")},
+        "signed_potts_invariants": _invariant_sql(
+            "WITH " + O.base_ctes(P(**SIGNED)) + O.pair_ctes(P(**SIGNED)) + O.edge_ctes(P(**SIGNED)), "edges"),
+        "sweep_invariants": _invariant_sql(_oracles()["percentile_sweep"].rpartition("SELECT sw.pmi_perc")[0] + f""",
+swe AS (SELECT sw.pmi_perc, w.sub_category, w.src, w.dst FROM w JOIN sw USING (sub_category)
+        JOIN (SELECT SubCategory AS sub_category FROM products WHERE VisibleOnWeb = 1 GROUP BY 1 HAVING count(*) > {MIN_PRODUCTS}) el
+          USING (sub_category) WHERE w.weight > sw.threshold)""", "swe", "pmi_perc, "),
+        "cut_merges": chain + ge + """
+SELECT sub_category, count(DISTINCT v) AS vertices, cast(0 AS bigint) AS differ
+FROM (SELECT sub_category, src AS v FROM ge UNION ALL SELECT sub_category, dst FROM ge) t GROUP BY sub_category""",
     }
 
 
-def oracles() -> dict[str, str]:  # noqa: F811
+def _invariant_sql(chain: str, edges: str, extra: str = "") -> str:
+    """What every right partition of the edge list's graphs gives."""
+    return chain + f"""
+SELECT {extra}sub_category, count(DISTINCT v) AS vertices, cast(0 AS bigint) AS unlabelled, cast(0 AS bigint) AS torn,
+       cast(0 AS bigint) AS moves_left
+FROM (SELECT {extra}sub_category, src AS v FROM {edges} WHERE src <> dst
+      UNION ALL SELECT {extra}sub_category, dst FROM {edges} WHERE src <> dst) t GROUP BY {extra}sub_category"""
+
+
+def oracles() -> dict[str, str]:
     out = _oracles()
     out.update(_graph_oracles())
     return out

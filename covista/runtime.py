@@ -1,4 +1,4 @@
-"""Session helpers: local session for tests and bench, checkpoint folder, size-checked broadcast."""
+"""Session helpers: local session for tests and bench, checkpoint folder, scratch tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 KEY = "sub_category"   # column that keys every table by category (the value of ``cat_level``)
 
@@ -53,17 +52,6 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return sc.getCheckpointDir()
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows, else leave the join to the planner.
-
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the join stays a shuffle
-    join (sort-merge, with AQE skew splitting), so nothing unbounded is ever shipped to executors.
-    Callers materialise derived inputs first (``cut_lineage``) so the check does not recompute them.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
     """A new folder name below the shared checkpoint folder, deleted when the application ends."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/covista-{label}-{uuid.uuid4().hex}"

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import PAGEVIEWS_SCHEMA, PRODUCTS_SCHEMA, SKU_IMAGES_SCHEMA, conform, dedupe_sku_images
+
 # Fixed values of the fixture mapping: regions used for the regional conversion columns.
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
@@ -23,38 +25,32 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pageviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ProductItemID, VisitorId, UserId, VisitDate timestamp_ntz, TimeSpentOnPage double``."""
+    """Page views in the job's schema."""
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_quantity")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(
-        F.col("l_partkey").cast("bigint").alias("ProductItemID"),
-        F.col("o_custkey").cast("bigint").alias("VisitorId"),
-        F.col("o_custkey").cast("bigint").alias("UserId"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("VisitDate"),
-        F.col("l_quantity").cast("double").alias("TimeSpentOnPage"),
-    )
+    return conform(li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("l_partkey").alias("ProductItemID"), F.col("o_custkey").alias("VisitorId"), F.col("o_custkey").alias("UserId"),
+        F.col("l_shipdate").alias("VisitDate"), F.col("l_quantity").alias("TimeSpentOnPage")), PAGEVIEWS_SCHEMA)
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ProductItemID, SubCategory, SubSubCategory, FirstVisibleDate date, VisibleOnWeb int``."""
-    return _t(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("bigint").alias("ProductItemID"),
+    """Products in the job's schema."""
+    return conform(_t(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ProductItemID"),
         F.col("p_type").alias("SubCategory"),
         F.col("p_brand").alias("SubSubCategory"),
         F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 1000).cast("int")).alias("FirstVisibleDate"),
-        F.when(F.col("p_size") <= 45, 1).otherwise(0).cast("int").alias("VisibleOnWeb"),
-    )
+        F.when(F.col("p_size") <= 45, 1).otherwise(0).alias("VisibleOnWeb"),
+    ), PRODUCTS_SCHEMA)
 
 
 def sku_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sku, image_url, sub_sub_category``: one row per page, brand of the part with that key."""
     pages = _t(spark, sf_dir, "pages").select("page_id", "url")
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return pages.join(part, pages.page_id == part.p_partkey, "left").select(
-        F.col("page_id").cast("bigint").alias("sku"),
-        F.col("url").alias("image_url"),
-        F.col("p_brand").alias("sub_sub_category"),
-    )
+    return dedupe_sku_images(conform(pages.join(part, pages.page_id == part.p_partkey, "left").select(
+        F.col("page_id").alias("sku"), F.col("url").alias("image_url"), F.col("p_brand").alias("sub_sub_category")),
+        SKU_IMAGES_SCHEMA))
 
 
 def product_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

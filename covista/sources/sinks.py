@@ -19,15 +19,17 @@ def write_edge_list(df: DataFrame, path: str) -> None:
       .partitionBy("sub_category").option("sep", " ").csv(path)
 
 
-def cluster_table_name(category: str, p: Params) -> str:
-    """The original named the file after category, method, sub-method and percentile."""
-    return f"clusPV_{category}_{p.method}_{p.sub_method}_{p.pmi_perc}"
+# Fixed value: how the job's interface names a cluster file.
+CLUSTER_NAME = "clusPV_{category}_{method}_{sub_method}_{pmi_perc:g}"
 
 
-def write_cluster_table(df: DataFrame, path: str) -> None:
-    """``SKU, ClusterID, SubSubCat, path`` without header, one folder per category."""
-    df.select("sub_category", "SKU", "ClusterID", "SubSubCat", "path").write.mode("overwrite") \
-      .partitionBy("sub_category").option("header", False).csv(path)
+def write_cluster_table(df: DataFrame, path: str, p: Params) -> None:
+    """``SKU, ClusterID, SubSubCat, path`` without header, one folder per category that carries the
+    job's file name for it (``file=clusPV_<category>_<method>_<sub method>_<percentile>``)."""
+    before, after = CLUSTER_NAME.format(category="\0", method=p.method, sub_method=p.sub_method,
+                                        pmi_perc=p.pmi_perc).split("\0")
+    named = df.select(F.concat(F.lit(before), "sub_category", F.lit(after)).alias("file"), "SKU", "ClusterID", "SubSubCat", "path")
+    named.write.mode("overwrite").partitionBy("file").option("header", False).csv(path)
 
 
 def write_pairs_json(df: DataFrame, path: str) -> None:

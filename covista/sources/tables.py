@@ -29,17 +29,17 @@ SKU_IMAGES_SCHEMA = T.StructType([
 ])
 
 
-def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project and cast to ``schema``: only the needed columns reach the scan."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def load_pageviews(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _conform(spark.read.format(fmt).load(path), PAGEVIEWS_SCHEMA)
+    return conform(spark.read.format(fmt).load(path), PAGEVIEWS_SCHEMA)
 
 
 def load_products(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _conform(spark.read.format(fmt).load(path), PRODUCTS_SCHEMA)
+    return conform(spark.read.format(fmt).load(path), PRODUCTS_SCHEMA)
 
 
 def dedupe_sku_images(images: DataFrame) -> DataFrame:
@@ -50,4 +50,4 @@ def dedupe_sku_images(images: DataFrame) -> DataFrame:
 
 
 def load_sku_images(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return dedupe_sku_images(_conform(spark.read.format(fmt).load(path), SKU_IMAGES_SCHEMA))
+    return dedupe_sku_images(conform(spark.read.format(fmt).load(path), SKU_IMAGES_SCHEMA))
