@@ -69,6 +69,13 @@ def _joins(rows: DataFrame, pairs: DataFrame, keys: list[str], negative: bool) -
     return free.select(*keys, "v", F.col("u").alias("a"), "dq", (F.col("dq") - F.col("lost")).alias("gain"))
 
 
+def first_joins(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The joins of a round from single vertices, and the vertices' weights."""
+    nodes = cut_lineage(rows.groupBy(*keys, "v").agg(F.sum("w").alias("kv")))
+    tot = nodes.groupBy(*keys).agg(F.sum("kv").cast("double").alias("m2"))
+    return _joins(rows, _pairs(rows, nodes, tot, keys), keys, False), nodes
+
+
 def fast_greedy_merges(edges: DataFrame, keys: list[str] = [KEY], k: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Return ``(labels, merges)``: ``keys + [sku, label]`` and ``keys + [step, a, b, gain]``."""
     e = with_int_weight(simplify(edges, keys), keys)

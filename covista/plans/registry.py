@@ -279,8 +279,9 @@ FROM w JOIN sw USING (sub_category) WHERE w.weight > sw.threshold""")
 
 from ..operators.graph import core as G  # noqa: E402
 from ..operators.graph.label_prop import label_propagation, label_propagation_sql  # noqa: E402
-from ..operators.graph.moving import louvain, moves_left, potts_communities, signed_potts_communities  # noqa: E402
-from ..operators.graph.merges import best_cut_steps, cut_merges, fast_greedy, fast_greedy_merges  # noqa: E402
+from ..operators.graph.moving import (accepted_moves, best_moves, level0, louvain, moves_left,  # noqa: E402
+                                      potts_communities, signed_potts_communities)
+from ..operators.graph.merges import best_cut_steps, cut_merges, fast_greedy, fast_greedy_merges, first_joins  # noqa: E402
 from . import qc as QC  # noqa: E402
 from ..runtime import cut_lineage  # noqa: E402
 
@@ -449,6 +450,28 @@ def q_sweep_invariants(spark, sf):
     return invariants(e, m, "cluster_id", None, ["pmi_perc", KEY])
 
 
+def _round(gamma, lam, **kw):
+    """The first round of local moving from single vertices: every best move, its gain as a share of the
+    graph's weight, and whether the round makes it."""
+    def run(spark, sf):
+        signed = lam > 0
+        rows, state, totals = level0(flagship_edges(spark, sf, P(**kw)), [KEY], signed)
+        moves = cut_lineage(best_moves(rows, state, totals, [KEY], gamma, lam))
+        made = accepted_moves(rows, moves, totals, [KEY], gamma, lam).select(KEY, "v", F.lit(1).alias("made"))
+        return moves.join(totals, KEY).join(made, [KEY, "v"], "left").select(
+            KEY, F.col("v").alias("sku"), F.col("c").alias("target"), F.coalesce("made", F.lit(0)).alias("made"),
+            F.round(F.col("gain") / F.col("mp2"), ROUND).alias("gain"))
+    return run
+
+
+def q_merge_round(spark, sf):
+    """The first round of fast greedy: the communities that join a centre, and their exact gains."""
+    e = G.with_int_weight(G.simplify(flagship_edges(spark, sf)), [KEY])
+    rows = cut_lineage(G.directed(e.filter("w > 0"), [KEY], ["w"]))
+    joins, _ = first_joins(rows, [KEY])
+    return joins.select(KEY, F.col("v").alias("sku"), F.col("a").alias("centre"), F.round("gain", ROUND).alias("gain"))
+
+
 def q_cut_merges(spark, sf):
     """The dendrogram of fast greedy cut at its best step is fast greedy's own partition, so every
     SKU is told by both: rows where the two differ would carry two numbers."""
@@ -486,6 +509,10 @@ QUERIES.update({
     "split_invariants": q_split_invariants,
     "sweep_invariants": q_sweep_invariants,
     "cut_merges": q_cut_merges,
+    "louvain_round": _round(1.0, 0.0),
+    "potts_round": _round(0.5, 0.0),
+    "signed_potts_round": _round(0.5, 0.5, **SIGNED),
+    "merge_round": q_merge_round,
 })
 
 
@@ -542,6 +569,10 @@ reach(sub_category, sku, c) AS (
   SELECT r.sub_category, cd.u, r.c FROM reach r JOIN cd ON cd.sub_category = r.sub_category AND cd.v = r.sku)
 SELECT sub_category, sku, min(c) AS comp FROM reach GROUP BY sub_category, sku""",
         **{f"{name}_invariants": _invariant_sql(chain, "edges") for name in ("louvain", "potts", "fast_greedy", "split")},
+        "louvain_round": _round_sql(chain, 1.0, 0.0),
+        "potts_round": _round_sql(chain, 0.5, 0.0),
+        "signed_potts_round": _round_sql("WITH " + O.base_ctes(P(**SIGNED)) + O.pair_ctes(P(**SIGNED)) + O.edge_ctes(P(**SIGNED)), 0.5, 0.5),
+        "merge_round": _merge_sql(chain),
         "signed_potts_invariants": _invariant_sql(
             "WITH " + O.base_ctes(P(**SIGNED)) + O.pair_ctes(P(**SIGNED)) + O.edge_ctes(P(**SIGNED)), "edges"),
         "sweep_invariants": _invariant_sql(_oracles()["percentile_sweep"].rpartition("SELECT sw.pmi_perc")[0] + f""",
@@ -554,6 +585,72 @@ FROM (SELECT sub_category, src AS v FROM ge UNION ALL SELECT sub_category, dst F
     }
 
 
+INT_EDGES = """,
+le AS MATERIALIZED (SELECT sub_category, least(src, dst) AS src, greatest(src, dst) AS dst, max(weight) AS weight
+       FROM edges WHERE src <> dst GROUP BY sub_category, least(src, dst), greatest(src, dst)),
+lscale AS (SELECT sub_category, pow(2.0, 60 - length(bin(cast(ceil(max(abs(weight)) * count(*)) AS bigint)))) AS s
+       FROM le GROUP BY sub_category),
+lw AS (SELECT le.sub_category, src, dst, CASE WHEN weight > 0 THEN greatest(cast(round(weight * s) AS bigint), 1)
+              WHEN weight < 0 THEN least(cast(round(weight * s) AS bigint), -1) ELSE 0 END AS w
+       FROM le JOIN lscale USING (sub_category)),
+gd AS MATERIALIZED (SELECT sub_category, src AS v, dst AS u, greatest(w, 0) AS wp, greatest(-w, 0) AS wn FROM lw
+       UNION ALL SELECT sub_category, dst, src, greatest(w, 0), greatest(-w, 0) FROM lw)"""
+
+
+def _round_sql(chain: str, gamma: float, lam: float) -> str:
+    return chain + INT_EDGES + (f""",
+k AS MATERIALIZED (SELECT sub_category, v, cast(sum(wp) AS double) AS kp, cast(sum({'wn' if lam > 0 else '0'}) AS double) AS kn
+      FROM gd GROUP BY sub_category, v),
+tot AS (SELECT sub_category, sum(kp) AS mp2, sum(kn) AS mn2 FROM k GROUP BY sub_category),
+opt AS (SELECT gd.sub_category, gd.v, gd.u, a.kp, a.kn,
+          (gd.wp - {gamma} * CASE WHEN mp2 > 0 THEN a.kp * b.kp / mp2 ELSE 0.0 END)
+          - ({'gd.wn' if lam > 0 else '0'} - {lam} * CASE WHEN mn2 > 0 THEN a.kn * b.kn / mn2 ELSE 0.0 END) AS score
+        FROM gd JOIN k a ON a.sub_category = gd.sub_category AND a.v = gd.v
+        JOIN k b ON b.sub_category = gd.sub_category AND b.v = gd.u JOIN tot ON tot.sub_category = gd.sub_category),
+mv AS MATERIALIZED (SELECT sub_category, v, arg_max(u, (score, -u)) AS c, max(score) AS gain, any_value(kp) AS kp, any_value(kn) AS kn
+       FROM opt GROUP BY sub_category, v HAVING max(score) > 1e-10 * (any_value(kp) + any_value(kn))),
+wt AS (SELECT DISTINCT a.sub_category, a.v FROM gd JOIN mv a ON a.sub_category = gd.sub_category AND a.v = gd.v
+       JOIN mv b ON b.sub_category = gd.sub_category AND b.v = gd.u
+       WHERE (b.gain > a.gain OR (b.gain = a.gain AND b.v < a.v))
+         AND ((gd.wp > 0 AND (a.c = b.v OR a.v = b.c)) OR ({'gd.wn > 0' if lam > 0 else 'false'} AND a.c = b.c))),
+fr AS (SELECT * FROM mv ANTI JOIN wt ON wt.sub_category = mv.sub_category AND wt.v = mv.v),
+tc AS (SELECT *, v AS x, false AS toward FROM fr UNION ALL SELECT *, c AS x, true AS toward FROM fr),
+rt AS (SELECT *, coalesce(sum(kp) OVER (PARTITION BY sub_category, x, toward ORDER BY gain DESC, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rp,
+          coalesce(sum(kn) OVER (PARTITION BY sub_category, x ORDER BY gain DESC, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rn FROM tc),
+hd AS (SELECT sub_category, v, any_value(gain) AS gain, any_value(kp) AS kp, any_value(kn) AS kn, sum(rp) AS rp, sum(rn) AS rn
+       FROM rt GROUP BY sub_category, v),
+ok AS (SELECT hd.sub_category, hd.v FROM hd JOIN tot USING (sub_category)
+       WHERE gain > {gamma} * CASE WHEN mp2 > 0 THEN kp * rp / mp2 ELSE 0.0 END + {lam} * CASE WHEN mn2 > 0 THEN kn * rn / mn2 ELSE 0.0 END)
+SELECT mv.sub_category, mv.v AS sku, mv.c AS target, CASE WHEN ok.v IS NULL THEN 0 ELSE 1 END AS made,
+       round(mv.gain / mp2, {ROUND}) AS gain
+FROM mv JOIN tot USING (sub_category) LEFT JOIN ok ON ok.sub_category = mv.sub_category AND ok.v = mv.v""")
+
+
+def _merge_sql(chain: str) -> str:
+    return chain + INT_EDGES + f""",
+k AS MATERIALIZED (SELECT sub_category, v, cast(sum(wp) AS double) AS k FROM gd GROUP BY sub_category, v),
+tot AS (SELECT sub_category, sum(k) AS m2 FROM k GROUP BY sub_category),
+pr AS MATERIALIZED (SELECT gd.sub_category, gd.v, gd.u, a.k AS kv, m2, gd.wp / m2 - a.k * b.k / (m2 * m2) AS dq
+       FROM gd JOIN k a ON a.sub_category = gd.sub_category AND a.v = gd.v
+       JOIN k b ON b.sub_category = gd.sub_category AND b.v = gd.u JOIN tot ON tot.sub_category = gd.sub_category WHERE gd.wp > 0),
+bs AS MATERIALIZED (SELECT sub_category, v, any_value(kv) AS kv, any_value(m2) AS m2, arg_max(u, (dq, -least(v, u), -greatest(v, u))) AS u,
+       max(dq) AS dq FROM pr GROUP BY sub_category, v HAVING max(dq) > 1e-12),
+lk AS (SELECT sub_category, u AS v, count(*) AS n FROM bs GROUP BY sub_category, u),
+ct AS (SELECT a.sub_category, a.v FROM bs a JOIN bs b ON b.sub_category = a.sub_category AND b.v = a.u AND b.u = a.v
+       JOIN lk x ON x.sub_category = a.sub_category AND x.v = a.v JOIN lk y ON y.sub_category = a.sub_category AND y.v = a.u
+       WHERE x.n > y.n OR (x.n = y.n AND a.v < a.u)),
+cm AS MATERIALIZED (SELECT bs.* FROM bs SEMI JOIN ct ON ct.sub_category = bs.sub_category AND ct.v = bs.u),
+wt AS (SELECT DISTINCT a.sub_category, a.v FROM gd JOIN cm a ON a.sub_category = gd.sub_category AND a.v = gd.v
+       JOIN cm b ON b.sub_category = gd.sub_category AND b.v = gd.u AND b.u = a.u
+       WHERE gd.wp > 0 AND (b.dq > a.dq OR (b.dq = a.dq AND b.v < a.v))),
+fr AS (SELECT * FROM cm ANTI JOIN wt ON wt.sub_category = cm.sub_category AND wt.v = cm.v),
+l1 AS (SELECT *, kv * coalesce(sum(kv) OVER (PARTITION BY sub_category, u ORDER BY dq DESC, v
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (m2 * m2) AS lost FROM fr),
+l2 AS (SELECT sub_category, v, u, dq, kv * coalesce(sum(kv) OVER (PARTITION BY sub_category, u ORDER BY dq DESC, v
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (m2 * m2) AS lost FROM l1 WHERE dq - lost > 1e-12)
+SELECT sub_category, v AS sku, u AS centre, round(dq - lost, {ROUND}) AS gain FROM l2"""
+
+
 def _invariant_sql(chain: str, edges: str, extra: str = "") -> str:
     """What every right partition of the edge list's graphs gives."""
     return chain + f"""
