@@ -2,10 +2,11 @@
 
 Every vertex starts with its own id as label and wants the label with the largest total edge weight
 among its neighbours (ties: the smallest label), but only if that weight is strictly larger than its
-own label's.  In a round the vertices that want to change do so unless a neighbour that also wants to
-has a higher priority (a hash of id and round, then the smaller id): no two neighbours change at once,
-so the weight inside labels rises with every change and the loop ends.  The result is deterministic
-(the original's random order is not) and no vertex has a strictly better label left.
+own label's.  In a round the vertices that want to change do so, unless one takes the label that a
+neighbour of higher priority (a hash of id and round, then the smaller id) gives up, or gives up the
+label that this neighbour takes.  All other pairs of changes help each other or are independent, so the
+weight inside labels rises by the sum of the gains at least, and the loop ends.  The result is
+deterministic (the original's random order is not) and no vertex has a strictly better label left.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ MIX, STEP, PRIME = 1_000_003, 7_919, 2_147_483_647
 
 
 def wanted_labels(rows: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys + [v, want]`` of the vertices with a strictly better label."""
+    """``keys + [v, own, want]`` of the vertices with a strictly better label."""
     votes = (rows.join(labels.select(*keys, F.col("sku").alias("u"), "label"), [*keys, "u"])
                  .groupBy(*keys, "v", "label").agg(F.sum("w").alias("sw")))
     mine = labels.select(*keys, F.col("sku").alias("v"), F.col("label").alias("own"))
     best = votes.join(mine, [*keys, "v"]).groupBy(*keys, "v", "own").agg(
         F.max(F.struct("sw", (-F.col("label")).alias("nl"))).alias("b"),
         F.max(F.when(F.col("label") == F.col("own"), F.col("sw")).otherwise(F.lit(0))).alias("held"))
-    return best.filter(F.col("b.sw") > F.col("held")).select(*keys, "v", (-F.col("b.nl")).alias("want"))
+    return best.filter(F.col("b.sw") > F.col("held")).select(*keys, "v", "own", (-F.col("b.nl")).alias("want"))
 
 
 def label_propagation_labels(edges: DataFrame, keys: list[str] = [KEY]) -> DataFrame:
@@ -44,12 +45,13 @@ def label_propagation_labels(edges: DataFrame, keys: list[str] = [KEY]) -> DataF
             drop_table(rows)
             return labels
         ranked = wants.withColumn("pr", (F.col("v") * MIX + F.lit(r * STEP)) % PRIME)
-        other = ranked.select(*keys, F.col("v").alias("u"), F.col("pr").alias("pu"))
-        wait = (rows.select(*keys, "v", "u").join(ranked.select(*keys, "v", "pr"), [*keys, "v"]).join(other, [*keys, "u"])
+        other = ranked.select(*keys, F.col("v").alias("u"), F.col("pr").alias("pu"), F.col("own").alias("b"), F.col("want").alias("d"))
+        wait = (rows.select(*keys, "v", "u").join(ranked, [*keys, "v"]).join(other, [*keys, "u"])
+                    .filter((F.col("want") == F.col("b")) | (F.col("own") == F.col("d")))
                     .filter((F.col("pu") > F.col("pr")) | (F.col("pu") == F.col("pr")) & (F.col("u") < F.col("v")))
                     .select(*keys, "v").distinct())
         taken = wants.join(wait, [*keys, "v"], "left_anti").withColumnRenamed("v", "sku")
-        new = cut_lineage(labels.join(taken, [*keys, "sku"], "left").select(*keys, "sku", F.coalesce("want", "label").alias("label")))
+        new = cut_lineage(labels.join(taken.drop("own"), [*keys, "sku"], "left").select(*keys, "sku", F.coalesce("want", "label").alias("label")))
         drop_table(labels)
         drop_table(wants)
         labels = new
@@ -79,13 +81,13 @@ lps(r, changed, sub_category, sku, label) AS (
   (WITH cur AS (SELECT * FROM lps),
    votes AS (SELECT gd.sub_category, gd.v, c.label, sum(gd.w) AS sw FROM gd JOIN cur c
              ON c.sub_category = gd.sub_category AND c.sku = gd.u GROUP BY ALL),
-   best AS (SELECT x.sub_category, x.v, any_value(c.r) AS r, arg_max(x.label, (x.sw, -x.label)) AS want, max(x.sw) AS top,
+   best AS (SELECT x.sub_category, x.v, any_value(c.r) AS r, any_value(c.label) AS own, arg_max(x.label, (x.sw, -x.label)) AS want, max(x.sw) AS top,
                    coalesce(max(CASE WHEN x.label = c.label THEN x.sw END), 0) AS held
             FROM votes x JOIN cur c ON c.sub_category = x.sub_category AND c.sku = x.v GROUP BY x.sub_category, x.v),
    wants AS (SELECT *, (v * {MIX} + r * {STEP}) % {PRIME} AS pr FROM best WHERE top > held),
    wait AS (SELECT DISTINCT a.sub_category, a.v FROM gd JOIN wants a ON a.sub_category = gd.sub_category AND a.v = gd.v
             JOIN wants b ON b.sub_category = gd.sub_category AND b.v = gd.u
-            WHERE b.pr > a.pr OR (b.pr = a.pr AND b.v < a.v)),
+            WHERE (b.pr > a.pr OR (b.pr = a.pr AND b.v < a.v)) AND (a.want = b.own OR a.own = b.want)),
    taken AS (SELECT w.sub_category, w.v, w.want FROM wants w ANTI JOIN wait x ON x.sub_category = w.sub_category AND x.v = w.v)
    SELECT c.r + 1, (SELECT count(*) FROM taken), c.sub_category, c.sku, coalesce(t.want, c.label)
    FROM cur c LEFT JOIN taken t ON t.sub_category = c.sub_category AND t.v = c.sku
