@@ -13,12 +13,24 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage, drop_table, scratch_path
 
-__all__ = ["bounded_batches", "cut_lineage", "drop_table", "held_out", "map_batches", "scratch_path",
+__all__ = ["bounded_batches", "cut_lineage", "drop_table", "held_out", "kept", "map_batches", "scratch_path",
            "ship_package", "shuffle_partitions", "table", "texts"]
 
 BATCH_ROWS = 500   # rows per Arrow batch: a batch of long documents must fit a Python worker
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept in this Python worker until another key is asked for: workers outlive
+    their tasks, and the memories of several operators must not add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the session's Python workers, which may not have it installed."""
     sc = spark.sparkContext

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
 
-from .common import map_batches, texts
+from .common import kept, map_batches, texts
 
 MARK = "▁"          # fixed value: the space mark
 UNUSED = -1e8            # scores below this mark pieces that merges never make
-CACHE = 1_200_000
+CACHE = 800_000
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
 
@@ -128,14 +128,8 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-_CODEC: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODEC:
-        _CODEC.clear()
-        _CODEC[path] = Codec(path)
-    return _CODEC[path]
+    return kept(("pieces", path), lambda: Codec(path))
 
 
 def _encode(path: str, text_col: str):

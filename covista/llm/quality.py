@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, held_out, map_batches, texts
+from .common import cut_lineage, held_out, kept, map_batches, texts
 from .ftrl import Ftrl, sigmoid
 
 BITS = 18
@@ -51,7 +51,6 @@ class Hashes(dict):
         return h
 
 
-_HASH = Hashes()
 _UPPER = xxhash.xxh32_intdigest("\x00U")
 
 
@@ -64,7 +63,7 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and values of a text."""
     words = PIECE.findall(text)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("word hashes", Hashes).__getitem__, words), np.uint64, len(words))
     grams = [_bucket(h)]
     upper = sum(w.isupper() and len(w) > 1 for w in words)
     if upper:

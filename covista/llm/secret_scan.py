@@ -40,6 +40,7 @@ KINDS = ("assign", "access", "hex", "owned")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIN_ENTROPY = 3.5        # bits a character of a high-entropy word
 EXAMPLE_OWNERS = 3       # a value held by this many owners is an example
+BROADCAST_CUTS = 500_000 # spans and rows of the largest broadcast: about 20 MB
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -177,15 +178,23 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]", id_col:
            text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with the spans that are not examples replaced by ``mark``; other rows stay untouched.
     ``length_col``, if given, takes the new length of a changed text.
-    ``findings`` are ``scan``'s rows of the same documents.  Only texts that may hold a candidate
-    (``may_match``, which lets no candidate through) take part in the join."""
+
+    The rows to change are a small table; it is broadcast if it has at most ``BROADCAST_CUTS`` spans.
+    Beyond that the join is a shuffle join of the texts that may hold a candidate (``may_match``, which
+    lets no candidate through), and the other texts pass by."""
     live = F.transform(F.filter("found", lambda s: ~s.example), lambda s: F.array(s.start, s.end))
     cuts = (findings.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), live.alias("__spans"))
                     .filter(F.size("__spans") > 0).dropDuplicates(["__id", "__key"]))
-    possible = F.coalesce(may_match(F.col(text_col)), F.lit(False))
-    joined = docs.filter(possible).join(cuts, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
-                       & (F.xxhash64(text_col) == F.col("__key")), "left")
+    cuts = cut_lineage(cuts, "cuts")
+    size = cuts.agg(F.sum(F.size("__spans") + F.lit(1))).first()[0] or 0
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
+    if size <= BROADCAST_CUTS:
+        joined, rest = docs.join(F.broadcast(cuts), same, "left"), None
+    else:
+        possible = F.coalesce(may_match(F.col(text_col)), F.lit(False))
+        joined, rest = docs.filter(possible).join(cuts, same, "left"), docs.filter(~possible)
     plain = joined.filter(F.col("__spans").isNull()).select(*docs.columns)
     marked = map_batches(joined.filter(F.col("__spans").isNotNull()).select(*docs.columns, "__spans"),
                          _cut(mark, docs.columns, text_col, length_col), docs.schema)
-    return docs.filter(~possible).unionByName(plain).unionByName(marked)
+    out = plain.unionByName(marked)
+    return out if rest is None else rest.unionByName(out)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import map_batches, scratch_path, shuffle_partitions, texts
+from .common import kept, map_batches, scratch_path, shuffle_partitions, texts
 
 END_ID = 1
 BLOCK_IDS = 1 << 18      # a block is closed after this many ids; a longer document is one block
@@ -108,14 +108,8 @@ class WordIds:
         return list(map(b"".join, ids))
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS.clear()
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    return kept(("words", path), lambda: WordIds(path))
 
 
 def _pack(tokenizer: str, end_id: int, block_ids: int, id_col: str, text_col: str):

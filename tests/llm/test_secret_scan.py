@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from covista.llm import queries
+import pytest
+
+from covista.llm import queries, secret_scan
 from covista.llm.secret_scan import candidates, ownership, redact, report, scan
 
 A = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -58,7 +60,9 @@ def test_counts_equal_brute_force(spark):
     assert {r.value: (r.owners, r.repos) for r in ownership(found).collect()} == want
 
 
-def test_redaction(spark):
+@pytest.mark.parametrize("limit", [500_000, 0])       # by a broadcast, and by a shuffle join
+def test_redaction(spark, monkeypatch, limit):
+    monkeypatch.setattr(secret_scan, "BROADCAST_CUTS", limit)
     docs = odd(spark)
     out = redact(docs, scan(docs))
     assert out.columns == docs.columns and out.count() == len(ODD)
