@@ -16,7 +16,7 @@ from ..runtime import cut_lineage, drop_table, scratch_path
 __all__ = ["bounded_batches", "cut_lineage", "drop_table", "held_out", "kept", "map_batches", "scratch_path",
            "ship_package", "shuffle_partitions", "table", "texts"]
 
-BATCH_ROWS = 500   # rows per Arrow batch: a batch of long documents must fit a Python worker
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20    # of an Arrow batch
 
 
 _KEPT: dict[object, object] = {}
@@ -51,11 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the rows per Arrow batch of this session, because one row may hold a long document."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = spark.conf.get(key, None)
-    if now is None or not 0 < int(now) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and bytes of this session's Arrow batches: a row may hold a long document or a
+    whole block, and a batch must fit a Python worker."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now is None or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

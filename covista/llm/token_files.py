@@ -179,8 +179,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     unsigned crc32 of the ids as little-endian 32-bit integers (``ids_crc32``)."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     value = "bigint" if digest else "array<bigint>"
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")   # a row is a whole block
-    docs = blocks.mapInArrow(_unpack(digest), f"shard int, doc_id bigint, place bigint, n_tokens bigint, value {value}")
+    docs = map_batches(blocks, _unpack(digest), f"shard int, doc_id bigint, place bigint, n_tokens bigint, value {value}")
     # one row per shard: bounded by the number of partitions that wrote the files
     sizes = blocks.groupBy("shard").agg(F.sum(F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

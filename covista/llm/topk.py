@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, map_batches
 
 BLOCK_ROWS = 2048     # candidates a block: 16 KB of scores per query
 QUERY_ROWS = 1024     # queries a block: 16 MB of scores per block pair
@@ -85,7 +85,7 @@ def blocks(rows: DataFrame, n: int) -> DataFrame:
     """Rows dealt into ``n`` blocks by a hash of the id, one output row a block."""
     dealt = (rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
                  .repartition(n, "block").sortWithinPartitions("block"))
-    return cut_lineage(dealt.mapInArrow(_invert, BLOCK), "blocks")
+    return cut_lineage(map_batches(dealt, _invert, BLOCK), "blocks")
 
 
 def _arrays(row: dict, side: str):
@@ -142,7 +142,6 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
                vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest integer inner products of every query row
     (``is_query`` over ``vec_id``) with all other rows, ties to the smaller id."""
-    spark = vectors.sparkSession
     rows = cut_lineage(weights(vectors, id_col, vector_col, scale), "weights")
     picked = rows.filter(is_query)
     n_rows, n_queries = rows.count(), picked.count()
@@ -152,8 +151,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
         number = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
         return df.select(F.col("block").alias(own), number, *[F.col(f).alias(side + f) for f in FIELDS])
     pairs = pair("c_", "c", "q", n_query_blocks, c).join(pair("q_", "q", "c", n_blocks, q), ["q", "c"])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")   # a row is a block pair
-    found = pairs.mapInArrow(_score(k), "query_id bigint, vec_id bigint, score bigint")
+    found = map_batches(pairs, _score(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
                  .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
