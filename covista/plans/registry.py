@@ -541,7 +541,7 @@ FROM mqt JOIN mqk USING (sub_category) GROUP BY mqt.sub_category, w_in, m2"""
     return {
         "graph_simplify": chain + ge + f"\nSELECT sub_category, src, dst, {_rs('weight')} FROM ge",
         "modularity": chain + ge + modq("mem"),
-        "induced_edges": lp_mem + f"""
+        "induced_edges": lp_mem + ge + f"""
 SELECT ge.sub_category, a.cluster, ge.src, ge.dst, {_rs('weight', 'ge.weight')} FROM ge
 JOIN lpm a ON a.sub_category = ge.sub_category AND a.sku = ge.src
 JOIN lpm b ON b.sub_category = ge.sub_category AND b.sku = ge.dst WHERE a.cluster = b.cluster""",
@@ -560,7 +560,7 @@ SELECT lpm.sub_category, lpm.sku AS SKU, cast(lpm.cluster AS varchar) AS Cluster
        img.image_url AS path,
        CASE WHEN img.image_url IS NOT NULL THEN '''<img width=''75'' src="' || img.image_url || '" ></img>''' END AS img
 FROM lpm LEFT JOIN img ON img.sku = lpm.sku""",
-        "lp_modularity": lp_mem + modq("lpm"),
+        "lp_modularity": lp_mem + ge + modq("lpm"),
         "connected_components": chain.replace("WITH ", "WITH RECURSIVE ", 1) + ge + """,
 cd AS (SELECT sub_category, src AS v, dst AS u FROM ge UNION ALL SELECT sub_category, dst AS v, src AS u FROM ge),
 reach(sub_category, sku, c) AS (
