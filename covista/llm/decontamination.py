@@ -4,7 +4,9 @@ The benchmark's items are TF-IDF vectors over their vocabulary; the inverse freq
 counts of those words in the whole corpus.  A distributed randomised SVD (Halko and others 2011: range
 finder, power iterations, projection; every product with the matrix is a Spark job over the TF-IDF
 rows that returns summed blocks) gives ``dims`` latent directions, and items and passages are compared
-there.  Very common words have no weight, unless an item hardly has others; a word outside the
+there.  An item that keeps less than ``KEPT`` of its energy in those directions, as most do when there
+are many more items than directions, is compared by its whole sparse TF-IDF vector instead; the cosines
+of the others are divided by the share of the norm they keep.  Very common words have no weight, unless an item hardly has others; a word outside the
 benchmark's vocabulary only lengthens a passage's vector, by the median inverse frequency.  Documents
 are cut into blocks of 16 words; the projected blocks are compared with all items in one product, and
 the windows of 16, 32 and 64 words are sums of blocks.  Window and item pairs with a cosine of at least
@@ -36,7 +38,9 @@ from .common import cut_lineage, map_batches, texts
 DIMS, OVERSAMPLE, POWER = 160, 16, 2
 STRIDE = 16                          # words of a block; windows are 1, 2 and 4 blocks
 COMMON, RARE_SHARE = 0.003, 0.4      # share of a very common word; least share of other words in an item
+KEPT = 0.8                           # least share of an item's energy in the latent space
 SLICE = 1024                         # blocks projected at a time
+CELLS = 1 << 23                      # scores of blocks and items held at a time
 MIN_COSINE = 0.45
 STRONG, WEAK, ANSWER = 0.75, 0.65, 0.8
 BLOCK_BYTES = 1 << 20
@@ -102,14 +106,30 @@ class Benchmark:
         return at, n * self.idf[at]
 
     def project(self, directions: np.ndarray) -> None:
-        """Latent vectors of terms and items; items are scaled to unit length."""
+        """Latent vectors of terms and items, scaled so that products with an occurrence's vector sum to
+        the cosine times the window's norm; items that keep too little have sparse vectors (``posted``,
+        ``share`` from ``post`` on, by term) instead."""
         self.directions = (directions * self.idf[:-1, None]).astype(np.float32)   # of one occurrence
-        rows = np.zeros((len(self.words), directions.shape[1]), np.float32)
+        self.latent = np.zeros((len(self.words), directions.shape[1]), np.float32)
+        at, item, share = [], [], []
         for i, ws in enumerate(self.words):
-            if ws:
-                rows[i] = self.directions[self.terms(ws)].sum(axis=0)
-        norm = np.linalg.norm(rows, axis=1, keepdims=True)
-        self.latent = rows / np.where(norm > 0, norm, 1.0)
+            terms, x = self.vector(ws)
+            energy = float(x @ x)
+            if energy > 0:
+                row = x @ directions[terms]
+                kept = float(row @ row)
+                if kept >= KEPT * energy:
+                    self.latent[i] = row * (np.sqrt(energy) / kept)
+                else:
+                    terms, x = terms[x > 0], x[x > 0]
+                    at.append(terms)
+                    item.append(np.full(len(terms), i))
+                    share.append(x * self.idf[terms] / np.sqrt(energy))
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        order = np.argsort(at, kind="stable")
+        self.post = np.searchsorted(at[order], np.arange(len(self.term) + 1))
+        self.posted = np.concatenate(item)[order].astype(np.int32) if item else np.zeros(0, np.int32)
+        self.share = np.concatenate(share)[order].astype(np.float32) if share else np.zeros(0, np.float32)
 
 
 def _counts(shared):
@@ -198,8 +218,16 @@ def _tfidf(shared):
     return run
 
 
+def sparse_scores(bench: Benchmark, terms: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """Exact products of ``n`` blocks (of the occurrences ``terms``) with the items that are posted."""
+    size = (bench.post[1:] - bench.post[:-1])[terms]
+    at = np.repeat(bench.post[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    items = len(bench.latent)
+    return np.bincount(np.repeat(block, size) * items + bench.posted[at], bench.share[at], n * items).reshape(n, items)
+
+
 def block_scores(bench: Benchmark, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Products of the latent vectors of blocks (``terms`` cut at ``starts``) with all items."""
+    """Products of blocks (``terms`` cut at ``starts``) with all items."""
     out = np.zeros((len(starts), len(bench.latent)), np.float32)
     bounds = np.append(starts, len(terms))
     weighted = np.append(bench.idf[:-1] > 0, False)[terms]      # term -1 takes the last entry
@@ -209,38 +237,65 @@ def block_scores(bench: Benchmark, terms: np.ndarray, starts: np.ndarray) -> np.
         if len(keep):
             block = np.searchsorted(edge, keep + edge[0], side="right") - 1
             first = np.flatnonzero(np.diff(block, prepend=-1))
-            latent = np.add.reduceat(bench.directions[terms[edge[0]:edge[-1]][keep]], first, axis=0)
-            out[a + block[first]] = latent @ bench.latent.T
+            held = terms[edge[0]:edge[-1]][keep]
+            if bench.latent.any():
+                out[a + block[first]] = np.add.reduceat(bench.directions[held], first, axis=0) @ bench.latent.T
+            if len(bench.posted):
+                out[a:a + len(edge) - 1] += sparse_scores(bench, held, block, len(edge) - 1)
     return out
 
 
+def pieces(bench: Benchmark, docs: list[np.ndarray]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Lots of ``(document, first word, terms)`` whose scores fit ``CELLS``; the pieces of a long document
+    overlap by the widest window."""
+    wide = widths(bench)[-1]
+    most = max(CELLS // max(1, len(bench.latent)), 2 * wide)     # blocks of a lot
+    lot, blocks = [], 0
+    for d, terms in enumerate(docs):
+        for first in range(0, max(1, len(terms) - wide * STRIDE), (most - wide) * STRIDE):
+            part = terms[first:first + most * STRIDE]
+            n = -(-len(part) // STRIDE)
+            if lot and blocks + n > most:
+                yield lot
+                lot, blocks = [], 0
+            lot.append((d, first, part))
+            blocks += n
+    if lot:
+        yield lot
+
+
+def widths(bench: Benchmark) -> list[int]:
+    """Blocks of the windows."""
+    return [1, 2, 4]
+
+
 def candidates(bench: Benchmark, docs: list[np.ndarray], min_cosine: float) -> list[dict[int, list[tuple[float, int, int]]]]:
     """Per document and item the windows (cosine, first word, length) that reach the cosine, best first."""
-    blocks = np.array([-(-len(t) // STRIDE) for t in docs], np.int64)
-    owner = np.repeat(np.arange(len(docs)), blocks)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)     # block number in its document
-    size = np.array([len(t) for t in docs], np.int64)
-    base = np.cumsum(size) - size
-    terms = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-    starts = base[owner] + place * STRIDE
-    score = block_scores(bench, terms, starts)
-    energy = np.add.reduceat(bench.idf[terms] ** 2, starts) if len(starts) else np.zeros(0)
     out: list[dict[int, list[tuple[float, int, int]]]] = [{} for _ in docs]
-    for width in (1, 2, 4):
-        if width > 1:       # the sum with the half that follows in the same document
-            half = width // 2
-            more = np.flatnonzero(owner[:-half] == owner[half:]) if len(owner) > half else np.zeros(0, np.int64)
-            grown, heat = score.copy(), energy.copy()
-            grown[more] += score[more + half]
-            heat[more] += energy[more + half]
-            score, energy = grown, heat
-        bar = (min_cosine * np.sqrt(np.maximum(energy, 1e-12))).astype(np.float32)
-        hot = np.flatnonzero((score >= bar[:, None]).any(axis=1))
-        for i in hot.tolist():
-            d, first = int(owner[i]), int(place[i]) * STRIDE
-            n = min(width * STRIDE, int(size[d]) - first)
-            for j in np.flatnonzero(score[i] >= bar[i]).tolist():
-                out[d].setdefault(j, []).append((float(score[i, j] / bar[i] * min_cosine), first, n))
+    for lot in pieces(bench, docs):
+        size = np.array([len(t) for _, _, t in lot], np.int64)
+        blocks = -(-size // STRIDE)
+        owner = np.repeat(np.arange(len(lot)), blocks)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)     # block number in its piece
+        base = np.cumsum(size) - size
+        terms = np.concatenate([t for _, _, t in lot])
+        starts = base[owner] + place * STRIDE
+        score = block_scores(bench, terms, starts)
+        energy = np.add.reduceat(bench.idf[terms] ** 2, starts) if len(starts) else np.zeros(0)
+        for width in widths(bench):
+            if width > 1:       # the sum with the half that follows in the same piece
+                half = width // 2
+                more = np.flatnonzero(owner[:-half] == owner[half:]) if len(owner) > half else np.zeros(0, np.int64)
+                grown, heat = score.copy(), energy.copy()
+                grown[more] += score[more + half]
+                heat[more] += energy[more + half]
+                score, energy = grown, heat
+            bar = (min_cosine * np.sqrt(np.maximum(energy, 1e-12))).astype(np.float32)
+            for i, j in zip(*(x.tolist() for x in np.nonzero(score >= bar[:, None]))):
+                d, before, part = lot[owner[i]]
+                first = int(place[i]) * STRIDE
+                n = min(width * STRIDE, len(part) - first)
+                out[d].setdefault(j, []).append((min(1.0, float(score[i, j] / bar[i] * min_cosine)), before + first, n))
     for found in out:
         for windows in found.values():
             windows.sort(key=lambda c: (-c[0], c[1], c[2]))

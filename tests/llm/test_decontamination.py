@@ -109,3 +109,26 @@ def test_odd_rows(spark):
     given = items.limit(1).withColumn("key", items.text.substr(1, 9))
     assert all(r.answer == (r.doc_id != 6) for r in contaminated(docs, given, answer_col="key").collect())
     assert STRIDE == 16
+
+
+def words_like_text(seed):
+    """A vocabulary with frequent and rare words, and prose of it."""
+    rng = random.Random(seed)
+    vocab = sorted({"".join(rng.choices("abcdefghijkl", k=rng.randint(2, 8))) for _ in range(12_000)})
+    rng.shuffle(vocab)
+    share = list(np.cumsum([1 / (i + 3) for i in range(len(vocab))]))
+    return rng, lambda n: rng.choices(vocab, cum_weights=share, k=n)
+
+
+def lost(spark, items, copies, prose, rng):
+    """The planted pairs that are not found, of one item a document between other words."""
+    docs = [(d, " ".join(prose(rng.randint(20, 60)) + part + prose(rng.randint(20, 60)))) for d, (_, part) in enumerate(copies)]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4),
+                                                       spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    return sorted({(d, i) for d, (i, _) in enumerate(copies)} - got)
+
+
+def test_exact_copies_with_more_items_than_directions(spark):
+    rng, prose = words_like_text(8)
+    items = [(i, " ".join(prose(rng.randint(16, 59)))) for i in range(1200)]
+    assert len(lost(spark, items, [(i, x.split()) for i, x in items], prose, rng)) == 0
