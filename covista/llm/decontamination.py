@@ -41,7 +41,7 @@ COMMON, RARE_SHARE = 0.003, 0.4      # share of a very common word; least share
 KEPT = 0.8                           # least share of an item's energy in the latent space
 SLICE = 1024                         # blocks projected at a time
 CELLS = 1 << 23                      # scores of blocks and items held at a time
-MIN_COSINE = 0.45
+MIN_COSINE = 0.35
 STRONG, WEAK, ANSWER = 0.75, 0.65, 0.8
 BLOCK_BYTES = 1 << 20
 TERM_BLOCK = 1024                    # rows of a matrix block

@@ -132,3 +132,18 @@ def test_exact_copies_with_more_items_than_directions(spark):
     rng, prose = words_like_text(8)
     items = [(i, " ".join(prose(rng.randint(16, 59)))) for i in range(1200)]
     assert len(lost(spark, items, [(i, x.split()) for i, x in items], prose, rng)) == 0
+
+
+def test_edits_up_to_the_limits_of_the_subsequence(spark):
+    """Near the limits of ``strong`` and of ``weak``, at every offset to the blocks."""
+    rng, prose = words_like_text(9)
+    items = [(i, " ".join(prose(rng.randint(20, 53))) + ". " + " ".join(prose(6))) for i in range(400)]
+    copies = []
+    for i, text in items:
+        for least, free in ((STRONG, 0), (WEAK, 6)):         # the answer stays whole in the second
+            part = text.split()
+            for at in rng.sample(range(len(part) - free), int((1 - least) * len(part))):
+                part[at] = "edited" + "".join(rng.choices("mnopqr", k=4))
+            assert lcs(words_of(text), words_of(" ".join(part))) >= least * len(part)
+            copies.append((i, part))
+    assert len(lost(spark, items, copies, prose, rng)) <= 0.01 * len(copies)
