@@ -9,7 +9,8 @@ are many more items than directions, is compared by its whole sparse TF-IDF vect
 of the others are divided by the share of the norm they keep.  Very common words have no weight, unless an item hardly has others; a word outside the
 benchmark's vocabulary only lengthens a passage's vector, by the median inverse frequency.  Documents
 are cut into blocks of 16 words; the projected blocks are compared with all items in one product, and
-the windows of 16, 32 and 64 words are sums of blocks.  Window and item pairs with a cosine of at least
+the windows of 16, 32 and 64 words, and for longer items of twice the words until they hold the longest
+one, are sums of blocks.  Window and item pairs with a cosine of at least
 ``min_cosine`` are candidates; each is decided by the longest common subsequence of words between the
 item and the window's surroundings: ``strong`` of the item's words, or ``weak`` of them with the item's
 answer found too.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, map_batches, texts
 
 DIMS, OVERSAMPLE, POWER = 160, 16, 2
-STRIDE = 16                          # words of a block; windows are 1, 2 and 4 blocks
+STRIDE = 16                          # words of a block; windows are 1, 2, 4 blocks, more for long items
 COMMON, RARE_SHARE = 0.003, 0.4      # share of a very common word; least share of other words in an item
 KEPT = 0.8                           # least share of an item's energy in the latent space
 SLICE = 1024                         # blocks projected at a time
@@ -265,8 +266,11 @@ def pieces(bench: Benchmark, docs: list[np.ndarray]) -> Iterator[list[tuple[int,
 
 
 def widths(bench: Benchmark) -> list[int]:
-    """Blocks of the windows."""
-    return [1, 2, 4]
+    """Blocks of the windows: up to 4, and on until a window holds the longest item."""
+    out = [1, 2, 4]
+    while out[-1] * STRIDE < max(map(len, bench.words), default=0):
+        out.append(2 * out[-1])
+    return out
 
 
 def candidates(bench: Benchmark, docs: list[np.ndarray], min_cosine: float) -> list[dict[int, list[tuple[float, int, int]]]]:
@@ -282,7 +286,11 @@ def candidates(bench: Benchmark, docs: list[np.ndarray], min_cosine: float) -> l
         starts = base[owner] + place * STRIDE
         score = block_scores(bench, terms, starts)
         energy = np.add.reduceat(bench.idf[terms] ** 2, starts) if len(starts) else np.zeros(0)
+        items = np.arange(len(bench.words))
         for width in widths(bench):
+            if width > 4:       # only items that a window of half the width does not hold
+                long = np.array([len(bench.words[j]) > width // 2 * STRIDE for j in items], bool)
+                items, score = items[long], score[:, long]
             if width > 1:       # the sum with the half that follows in the same piece
                 half = width // 2
                 more = np.flatnonzero(owner[:-half] == owner[half:]) if len(owner) > half else np.zeros(0, np.int64)
@@ -291,11 +299,11 @@ def candidates(bench: Benchmark, docs: list[np.ndarray], min_cosine: float) -> l
                 heat[more] += energy[more + half]
                 score, energy = grown, heat
             bar = (min_cosine * np.sqrt(np.maximum(energy, 1e-12))).astype(np.float32)
-            for i, j in zip(*(x.tolist() for x in np.nonzero(score >= bar[:, None]))):
+            for i, k in zip(*(x.tolist() for x in np.nonzero(score >= bar[:, None]))):
                 d, before, part = lot[owner[i]]
                 first = int(place[i]) * STRIDE
                 n = min(width * STRIDE, len(part) - first)
-                out[d].setdefault(j, []).append((min(1.0, float(score[i, j] / bar[i] * min_cosine)), before + first, n))
+                out[d].setdefault(int(items[k]), []).append((min(1.0, float(score[i, k] / bar[i] * min_cosine)), before + first, n))
     for found in out:
         for windows in found.values():
             windows.sort(key=lambda c: (-c[0], c[1], c[2]))

@@ -147,3 +147,9 @@ def test_edits_up_to_the_limits_of_the_subsequence(spark):
             assert lcs(words_of(text), words_of(" ".join(part))) >= least * len(part)
             copies.append((i, part))
     assert len(lost(spark, items, copies, prose, rng)) <= 0.01 * len(copies)
+
+
+def test_exact_copies_of_long_items(spark):
+    rng, prose = words_like_text(10)
+    items = [(i, " ".join(prose(rng.choice([30, 130, 400, 900, 2500])))) for i in range(60)]
+    assert len(lost(spark, items, [(i, x.split()) for i, x in items], prose, rng)) == 0
