@@ -8,7 +8,9 @@ parent.  The minimum cut separates content from boilerplate.
 The classifier is trained here by FTRL, on the blocks of a hashed sample of about ``sample_pages``
 pages whose containers name their role (``role``); it learns the weight of text length, links,
 punctuation, tags and class names, which then score the blocks of pages whose containers say nothing.
-A named role adds a fixed score that outweighs the classifier and the smoothness.
+A named role adds a score no larger than the classifier's bound, so that the classifier and the
+smoothness together can outweigh it.  A form, or an element that only its class or id calls
+boilerplate, says nothing if it holds most of the page's text and no named content lies outside it.
 
 Defined results: a null or empty page has empty text, as has one without text blocks; markup that is
 not closed ends with its parent; scripts, styles and hidden elements are never text; a null id or url
@@ -52,8 +54,9 @@ NAME_CONTENT = frozenset("article articlebody post entry content story main body
 
 SIZE = 1 << 12
 SAMPLE_PAGES = 2000
-NAMED = 8.0        # score of a block whose container names its role
+NAMED = 2.0        # score of a block whose container names its role
 LEARNED = 2.0      # bound of the classifier's score
+WRAPPER = 0.5      # share of the page's text from which a form or a class name may be the page's wrapper
 NEXT, SAME_PARENT = 0.6, 0.4
 WORDS = re.compile(r"[a-z]+")
 
@@ -175,21 +178,50 @@ def chain(e: Element) -> Iterator[Element]:
         e = e.parent
 
 
-def role(block: Block) -> int:
+def content(e: Element) -> bool:
+    """Named as content."""
+    return e.tag in ("article", "main") or e.role in ("main", "article") or e.tag not in ("body", "html") and bool(e.names & NAME_CONTENT)
+
+
+def wrappers(blocks: list[Block]) -> set[Element]:
+    """Elements that hold most of the page's text, with no named content outside them."""
+    inside: dict[Element, int] = {}
+    named: dict[Element, int] = {}
+    total = 0
+    for b in blocks:
+        above = list(chain(b.element))
+        says = any(map(content, above))
+        total += says
+        for e in above:
+            inside[e] = inside.get(e, 0) + len(b.text)
+            named[e] = named.get(e, 0) + says
+    most = WRAPPER * sum(len(b.text) for b in blocks)
+    return {e for e, n in inside.items() if n > most and named[e] == total}
+
+
+def roles(blocks: list[Block]) -> list[int]:
+    wide = wrappers(blocks)
+    return [role(b, wide) for b in blocks]
+
+
+def role(block: Block, wide: set[Element] = frozenset()) -> int:
     """1 content, -1 boilerplate, 0 not said, by the names of the block's containers: elements made for
-    page parts decide first, then the innermost container whose name says something."""
+    page parts decide first, then the innermost container whose name says something.  Forms and names of
+    the page's wrappers (``wide``) are not boilerplate."""
     above = list(chain(block.element))
     article = any(e.tag in ("article", "main") for e in above)
     for e in above:
+        if e in wide and (e.tag == "form" or e.role == "form") and e.role in ("", "form"):
+            continue
         if e.tag in APART or e.role in ROLE_APART or e.tag == "header" and not (article and above[0].tag in HEADING):
             return -1
     for e in above:
         if e.tag in ("body", "html"):
             break
-        apart = e.names & NAME_APART
+        apart = e.names & NAME_APART if e not in wide else frozenset()
         if apart and not (apart <= {"header", "banner"} and article and above[0].tag in HEADING):
             return -1
-        if e.tag in ("article", "main") or e.role in ("main", "article") or e.names & NAME_CONTENT:
+        if content(e):
             return 1
     return 0
 
@@ -230,9 +262,9 @@ def main_text(html: str, weights: np.ndarray) -> str:
     if not blocks:
         return ""
     scores = []
-    for b in blocks:
+    for b, r in zip(blocks, roles(blocks)):
         learned = float(weights[features(b)].sum())
-        scores.append(max(-LEARNED, min(LEARNED, learned)) + NAMED * role(b))
+        scores.append(max(-LEARNED, min(LEARNED, learned)) + NAMED * r)
     keep = mincut.labels(scores, edges(blocks))
     return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
 
@@ -241,7 +273,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
         for html in texts(batch, "html"):
-            rows += [(features(b), int(r > 0)) for b in blocks_of(html) if (r := role(b))]
+            blocks = blocks_of(html)
+            rows += [(features(b), int(r > 0)) for b, r in zip(blocks, roles(blocks)) if r]
     w = Ftrl(SIZE).fit([(at, np.ones(len(at)), y) for at, y in rows], 2).weights()
     at = np.flatnonzero(w)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["bucket", "w"])

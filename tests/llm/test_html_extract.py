@@ -92,3 +92,19 @@ def test_odd_rows(spark):
     assert got.count() == len(ROWS) and rows[(1, "u")].text == "" and rows[(2, None)].n_chars == 0 and rows[(5, "u")].text == ""
     assert rows[(3, "w")].text.count("word < word") == 20_000
     assert extract(df.limit(0)).collect() == []
+
+
+def test_wrappers_of_a_whole_page_are_not_boilerplate():
+    text = "".join(f"<p>Sentence number {i} of the article, which goes on for a while.</p>" for i in range(8))
+    form = f"<body><form id=aspnetform><nav><a href=x>Home</a></nav><article>{text}</article><footer>me</footer></form>"
+    assert main_text(form, W).count("Sentence") == 8 and "Home" not in main_text(form, W) and "me" not in main_text(form, W).split()
+    assert main_text(f'<body><div class="content no-sidebar">{text}</div><div class=footer>me</div>', W).count("\n\n") == 7
+    comments = f"<article><p>Short.</p></article><section class=comments>{text}</section><form><p>Your name</p></form>"
+    assert main_text(comments, W) == "Short."
+
+
+def test_evidence_outweighs_a_name():
+    w = W.copy()
+    w[0] = 2.0      # the classifier finds content in every block
+    page = "<div><p>One.</p><div class=notice><p>Two.</p></div><p>Three.</p></div>"
+    assert main_text(page, w) == "One.\n\nTwo.\n\nThree." and "Two" not in main_text(page, W)
