@@ -10,10 +10,14 @@ and largest document and a count, combined before the shuffle, so a passage held
 documents is one row per task; the repeated digests are written and joined back to the chunks, both as
 plain shuffles that the join can split.  Adjoining repeated chunks of a document are merged into runs.
 
-A run of at least ``min_words`` words is a passage.  As the chunks at both ends of a passage are lost,
-runs of ``seed_words`` or more are looked at exactly: wherever their chunks occur, every stretch of
-``min_words`` words that touches one is hashed, and stretches that two documents share are passages
-too.  Passages of a document that overlap are reported as one.
+A run of at least ``min_words`` words is a passage.  Shorter passages may hold no whole shared chunk, so
+they are looked for exactly, whatever chunks they have: each stretch of ``min_words`` words is known by
+its anchor, the least gear hash of ``ANCHOR`` bytes at the ends of its words (white space as one blank),
+and equal stretches have equal anchors.  Wherever an anchor occurs that two documents have, the
+stretches known by it are hashed, and stretches that two documents share are passages too; anchors that
+all lie in runs of ``min_words`` words are left out.  A stretch that touches such a run counts only if two
+documents have it at a chunk of a shorter run; else the ends of long runs are whole chunks.  Passages of a document
+that overlap are reported as one.
 
 Defined results: null and empty texts have no chunks; all rows without an id count as one document;
 rows that repeat an id are one document for counting, and rows of one id with different texts keep
@@ -38,8 +42,10 @@ from .common import cut_lineage, map_batches, texts
 WINDOW = 16
 BITS = 4                 # a border every 2^4 bytes, after MIN_CHUNK bytes without one
 MIN_CHUNK, MAX_CHUNK = 24, 256
-MIN_WORDS, SEED_WORDS = 50, 18
+MIN_WORDS, SEED_WORDS = 50, 0
+ANCHOR = 32              # bytes of an anchor
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
+GEAR64 = np.random.default_rng(20240301).integers(0, 1 << 64, 256, dtype=np.uint64)
 NO_ID = -(1 << 63)
 WORD = re.compile(r"[^ \t-\r]+")
 
@@ -146,53 +152,124 @@ def _numbered(spans: DataFrame) -> DataFrame:
     return spans.withColumn("run", F.sum("new").over(by_text.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def stretches(text: str, spans: list[tuple[int, int]], n: int) -> Iterator[tuple[int, int, int]]:
-    """``(hash, first and last code point)`` of the stretches of ``n`` words with a word that lies in
-    one of the spans, in order."""
+def anchors(text: str, n: int) -> tuple[np.ndarray, ...]:
+    """Arrays over the runs of stretches of ``n`` words with the same anchor: the anchor, the numbers of the
+    first and last stretch, first and last code point."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    after = np.append(True, space[:-1])
+    at = np.flatnonzero(~(space & after))              # bytes without repeated blanks
+    line = np.where(space[at], np.uint8(32), data[at])
+    begins, ends = np.flatnonzero(~space & after), np.flatnonzero(~space & np.append(space[1:], True))
+    if len(begins) < n:
+        return (np.zeros(0, np.int64),) * 5
+    most = ANCHOR
+    while most // 2 >= n:
+        most //= 2
+    h, width = GEAR64[line], 1
+    while width < most:     # h covers the last ``width`` bytes; double that
+        longer = h.copy()
+        longer[width:] += h[:-width] << np.uint64(width)
+        h = longer
+        width *= 2
+    skip = most // 2        # so many words and one more hold the bytes of an anchor
+    least, size = h[np.searchsorted(at, ends)][skip:], 1
+    while size < n - skip:  # least covers the next ``size`` words
+        step = min(size, n - skip - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    last = np.append(first[1:], len(least)) - 1
+    points = np.cumsum((data & 0xC0) != 0x80)
+    return least[first].view(np.int64), first, last, points[begins[first]] - 1, points[ends[last + n - 1]]
+
+
+def _anchor_rows(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, key, text in zip(batch.column("doc").to_numpy(), batch.column("text_key").to_numpy(), texts(batch, "text")):
+                if text:
+                    anchor, first, last, start, end = anchors(text, n)
+                    out.append((np.full(len(anchor), doc), np.full(len(anchor), key), anchor, first << 32 | last, start << 32 | end))
+            if out:
+                names = ["doc", "text_key", "anchor", "numbers", "span"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int32() if k == "text_key" else pa.int64())
+                                                  for k, c in zip(names, zip(*out))], names=names)
+
+    return run
+
+
+def stretches(text: str, numbers: list[tuple[int, int]], short: list[tuple[int, int]], long: list[tuple[int, int]],
+              n: int) -> Iterator[tuple[int, int, int, bool, bool]]:
+    """``(hash, first and last code point, touches short, touches long)`` of the numbered stretches of ``n`` words;
+    ``short`` and ``long`` are the chunks of shorter runs and the long runs."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     parts = [text[a:b].encode() for a, b in words]
     line = b" ".join(parts)
     ends = np.cumsum(np.array([len(p) + 1 for p in parts], np.int64)).tolist()
-    at = 0
-    for start, end in sorted(spans):
-        first = bisect_left(words, (start, 0))
-        if first and words[first - 1][1] > start:
-            first -= 1
-        last = bisect_left(words, (end, 0)) - 1
-        for i in range(max(at, first - n + 1), min(last, len(words) - n) + 1):
+    touches = np.zeros((2, len(words)), bool)
+    for row, spans in zip(touches, (short, long)):
+        for start, end in spans:
+            first = bisect_left(words, (start, 0))
+            if first and words[first - 1][1] > start:
+                first -= 1
+            row[max(0, first - n + 1):bisect_left(words, (end, 0))] = True
+    at_short, at_long = touches.tolist()
+    for first, last in numbers:
+        for i in range(first, last + 1):
             head = ends[i - 1] if i else 0
-            yield xxhash.xxh3_64_intdigest(line[head:ends[i + n - 1] - 1]), words[i][0], words[i + n - 1][1]
-            at = i + 1
+            yield xxhash.xxh3_64_intdigest(line[head:ends[i + n - 1] - 1]), words[i][0], words[i + n - 1][1], at_short[i], at_long[i]
 
 
 def _stretch_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "text_key", "hash", "start", "end", "at_short", "at_long"]
+        types = {"text_key": pa.int32(), "at_short": pa.bool_(), "at_long": pa.bool_()}
         for batch in batches:
             out = []
-            for doc, key, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text_key", "text", "spans"))):
-                out += [(doc, key, h - (1 << 64) if h >> 63 else h, a, b)
-                        for h, a, b in stretches(text, [(x["start"], x["end"]) for x in spans], n)]
+            for doc, key, text, numbers, short, long in zip(*(batch.column(c).to_pylist() for c in
+                                                              ("doc", "text_key", "text", "numbers", "short", "long"))):
+                spans = [[(x["start"], x["end"]) for x in xs or []] for xs in (short, long)]
+                out += [(doc, key, h - (1 << 64) if h >> 63 else h, *rest)
+                        for h, *rest in stretches(text, [(x >> 32, x & 0xFFFFFFFF) for x in numbers], *spans, n)]
             if out:
-                names = ["doc", "text_key", "hash", "start", "end"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "text_key" else pa.int64())
-                                                  for k, c in zip(names, zip(*out))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, types.get(k, pa.int64())) for k, c in zip(names, zip(*out))], names=names)
 
     return run
 
 
-def _around(rows: DataFrame, hits: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+def _shared(found: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` that two or more documents have (``by_short``: at chunks of shorter runs), as a
+    written table."""
+    more = []
+    if "at_short" in found.columns:
+        at_short = F.when(F.col("at_short"), F.col("doc"))
+        more = [F.coalesce(F.min(at_short) < F.max(at_short), F.lit(False)).alias("by_short")]
+    return cut_lineage(found.groupBy(key).agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n_docs"), *more)
+                            .filter("first_doc < last").drop("last"), "shared")
+
+
+def _exact(rows: DataFrame, short: DataFrame, long: DataFrame, n: int) -> DataFrame:
     """``doc, text_key, start, end, n_words, first_doc, n_docs``: stretches of ``n`` words that documents
-    share, around the chunks with an ``asked`` digest in all documents that have them."""
-    held = (hits.join(asked, "digest", "left_semi").groupBy(F.col("doc").alias("_d"), F.col("text_key").alias("_k"))
-                .agg(F.collect_list(F.struct("start", "end")).alias("spans")))     # one document's chunks
-    near = rows.join(held, (F.col("doc") == F.col("_d")) & (F.col("text_key") == F.col("_k")))
-    found = cut_lineage(map_batches(near.select("doc", "text_key", "text", "spans"), _stretch_rows(n),
-                                    "doc bigint, text_key int, hash bigint, start bigint, end bigint").distinct(), "stretches")
-    shared = cut_lineage(found.groupBy("hash").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last"),
-                                                   F.count(F.lit(1)).alias("n_docs"))
-                              .filter("first_doc < last").drop("last"), "shared")
-    return found.join(shared, "hash").select("doc", "text_key", "start", "end", F.lit(n).cast("bigint").alias("n_words"),
-                                             "first_doc", "n_docs")
+    share.  ``short`` are chunks of shorter runs, ``long`` the long runs."""
+    def listed(spans: DataFrame, name: str) -> DataFrame:     # one document's spans
+        return spans.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "end")).alias(name))
+    held = cut_lineage(map_batches(rows, _anchor_rows(n), "doc bigint, text_key int, anchor bigint, numbers bigint, span bigint"), "anchors")
+    some = held.join(_shared(held, "anchor").select("anchor"), "anchor")
+    runs = cut_lineage(listed(long, "long"), "long")
+    inside = F.exists("long", lambda x: (x["start"] <= F.shiftright("span", 32)) & (F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)) <= x["end"]))
+    some = cut_lineage(some.join(runs, ["doc", "text_key"], "left").withColumn("inside", F.coalesce(inside, F.lit(False)))
+                           .drop("long", "span"), "some")
+    asked = cut_lineage(some.filter(~F.col("inside")).select("anchor").distinct(), "asked")
+    numbers = some.join(asked, "anchor", "left_semi").groupBy("doc", "text_key").agg(F.collect_set("numbers").alias("numbers"))
+    numbers = numbers.join(listed(short, "short"), ["doc", "text_key"], "left").join(runs, ["doc", "text_key"], "left")
+    near = rows.join(numbers.withColumnsRenamed({"doc": "_d", "text_key": "_k"}),
+                     (F.col("doc") == F.col("_d")) & (F.col("text_key") == F.col("_k")))
+    found = cut_lineage(map_batches(near.select("doc", "text_key", "text", "numbers", "short", "long"), _stretch_rows(n),
+                                    "doc bigint, text_key int, hash bigint, start bigint, end bigint, at_short boolean, at_long boolean"), "stretches")
+    return (found.join(_shared(found, "hash"), "hash").filter("not at_long or at_short and by_short")
+                 .select("doc", "text_key", "start", "end", F.lit(n).cast("bigint").alias("n_words"), "first_doc", "n_docs"))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, later_only: bool = False, seed_words: int = SEED_WORDS,
@@ -212,8 +289,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, later_only: b
     short = runs.filter(F.col("n_words") < F.lit(min_words))
     asked = cut_lineage(chosen.join(short.select("doc", "text_key", "run"), ["doc", "text_key", "run"], "left_semi")
                               .select("digest").distinct(), "asked")
+    chunks_of_short = hits.join(asked, "digest", "left_semi")
     long = runs.filter(F.col("n_words") >= F.lit(min_words)).drop("run")
-    more = _around(rows, hits, asked, min_words)
+    more = _exact(rows, chunks_of_short, long, min_words)
     if later_only:
         more = more.filter("first_doc < doc")
     found = _numbered(long.unionByName(more)).groupBy("doc", "text_key", "run").agg(

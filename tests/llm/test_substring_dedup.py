@@ -142,3 +142,17 @@ def test_odd_rows(spark):
     assert len(texts) == len(ODD) and sum(PASSAGE[60:-60] in (t or "") for _, t in texts) == 1
     assert all(f in "".join(t or "" for _, t in texts) for f in FILL)
     assert repeated_passages(df.limit(0)).collect() == [] and remove_repeats(df.limit(0)).collect() == []
+
+
+def test_every_planted_passage_is_found(spark):
+    """Passages of 50 words, of short words too, other white space between the words in one copy."""
+    rng = random.Random(12)
+    docs = []
+    for i in range(900):
+        most = (1, 3, 4)[i % 3]
+        prose = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, most))) for _ in range(n)]
+        shared = prose(50)
+        for d, blank in ((2 * i, " "), (2 * i + 1, " " if i % 10 else "\n ")):
+            docs.append((d, " ".join([*prose(rng.randint(20, 90)), blank.join(shared), *prose(rng.randint(20, 90))])))
+    got = {r.doc_id for r in repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert len(got) == len(docs)
