@@ -75,6 +75,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), _public("piece_bpe_32k.model"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 8 leading components of their whitening."""
+    from .whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of all documents, with a digest of its ids."""
+    from .packing import pack, report
+    return report(pack(table(spark, sf_dir, "documents"), _public("byte_bpe_50k.json")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; half of them are checked with a text that lost its line feeds."""
+    from .merkle import manifest
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(2) == F.lit(0)
+    return manifest(table(spark, sf_dir, "documents"), tampered, F.translate("text", "\n", ""))
+
+
 QUERIES = {
     "op1_repeated_passages": op1_repeated_passages,
     "op2_contaminated": op2_contaminated,
@@ -86,8 +105,22 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_token_files": op9_token_files,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_merkle": op13_merkle,
 }
 
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(cast({name} AS varchar)) || ':' || {name}, '-')"
+
+
+_FIELDS = ", ".join(f"{_field(c)} AS {a}" for c, a in zip(("doc_id", "source", "lang", "n_chars"), "abcd")) + ", text"
+# a run's digests with the folded one in its place, and those beside it
+_FOLD = "sha256(array_to_string(list_transform(hs, lambda h, i: CASE WHEN i = w.idx % 3 + 1 THEN folded ELSE h END), ''))"
+_BESIDE = "beside || array_to_string(list_filter(hs, lambda h, i: i <> w.idx % 3 + 1), '')"
+
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_topk": """
 WITH ok AS (
@@ -103,4 +136,46 @@ pair AS (
   WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair)
 SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op13_merkle": f"""
+WITH RECURSIVE
+row AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, {_FIELDS}, translate(text, chr(10), '') AS other,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id AS varchar), ''), lambda c: ascii(c))),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 2 = 0 AS tampered
+  FROM documents),
+leaf AS (
+  SELECT doc_id, tree, sha256(head || {_field("text")}) AS leaf,
+         CASE WHEN tampered THEN sha256(head || {_field("other")}) ELSE sha256(head || {_field("text")}) END AS other
+  FROM (SELECT *, a || b || c || d AS head FROM row)),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS key,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY tree) AS n
+  FROM leaf),
+nodes AS (
+  SELECT tree, 0 AS lvl, idx, leaf AS h, n FROM numbered
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM nodes
+  WHERE n > 1 GROUP BY tree, lvl, idx // 3, n),
+tops AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, idx, h, n FROM tops
+  UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM high
+  WHERE n > 1 GROUP BY lvl, idx // 3, n),
+runs AS (SELECT tree, lvl, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM nodes WHERE n > 1 GROUP BY ALL),
+high_runs AS (SELECT lvl, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM high WHERE n > 1 GROUP BY ALL),
+way AS (
+  SELECT key, tree, 0 AS lvl, idx, n, other AS folded, '' AS beside FROM numbered
+  UNION ALL
+  SELECT key, w.tree, w.lvl + 1, w.idx // 3, (n + 2) // 3, {_FOLD}, {_BESIDE}
+  FROM way w JOIN runs r ON r.tree = w.tree AND r.lvl = w.lvl AND r.run = w.idx // 3 WHERE n > 1),
+high_way AS (
+  SELECT key, 0 AS lvl, t.idx, t.n, folded, beside, t.h AS subroot FROM way w JOIN tops t ON t.tree = w.tree WHERE w.n = 1
+  UNION ALL
+  SELECT key, w.lvl + 1, w.idx // 3, (n + 2) // 3, {_FOLD}, {_BESIDE}, subroot
+  FROM high_way w JOIN high_runs r ON r.lvl = w.lvl AND r.run = w.idx // 3 WHERE n > 1)
+SELECT doc_id, leaf, subroot, h AS root, sha256(beside) AS proof_sha256, folded AS folded_root, folded = h AS verified
+FROM numbered JOIN high_way w USING (key) JOIN high ON high.n = 1 WHERE w.n = 1""",
 }
