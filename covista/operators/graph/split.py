@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ...params import RESOLUTION_METHODS, Params
 from ...runtime import KEY, cut_lineage
 from .core import as_membership, induced_edges
+from .eigen import leading_eigenvector_labels
 from .label_prop import label_propagation_labels
 from .merges import fast_greedy_merges
 from .moving import local_moving_labels
@@ -27,6 +28,8 @@ def community_labels(edges: DataFrame, method: int, p: Params, keys: list[str] =
     gamma = p.sg_gamma if gamma is None else gamma
     if method == 1:
         return fast_greedy_merges(edges, keys, p.k)[0]
+    if method == 3:
+        return leading_eigenvector_labels(edges, keys)
     if method == 4:
         return local_moving_labels(edges, keys, 1.0)
     if method == 6:

@@ -282,6 +282,7 @@ from ..operators.graph.label_prop import label_propagation, label_propagation_sq
 from ..operators.graph.moving import (accepted_moves, best_moves, level0, louvain, moves_left,  # noqa: E402
                                       potts_communities, signed_potts_communities)
 from ..operators.graph.merges import best_cut_steps, cut_merges, fast_greedy, fast_greedy_merges, first_joins  # noqa: E402
+from ..operators.graph.eigen import leading_eigenvector, modularity_product, possible_splits  # noqa: E402
 from . import qc as QC  # noqa: E402
 from ..runtime import cut_lineage  # noqa: E402
 
@@ -484,7 +485,29 @@ def q_cut_merges(spark, sf):
             F.sum((F.col("cluster") != F.col("own")).cast("bigint")).alias("differ")))
 
 
+def q_community_leading_eigenvector(spark, sf):
+    return leading_eigenvector(flagship_edges(spark, sf))
+
+
+def q_leading_eigenvector_invariants(spark, sf):
+    """``moves_left`` counts the clusters that their leading eigenvector would still split with a gain."""
+    e = flagship_edges(spark, sf)
+    m = cut_lineage(leading_eigenvector(e))
+    return invariants(e, m, "cluster", possible_splits(e, m))
+
+
+def q_modularity_product(spark, sf):
+    """The modularity matrix of every sub-sub-category's SKUs times a fixed vector."""
+    e = flagship_edges(spark, sf)
+    mem = _ssc_membership(spark, sf).select(KEY, F.col("sku").alias("v"), F.col("cluster").alias("c"))
+    x = mem.select(KEY, "v", (F.col("v") % 7 - 3).cast("double").alias("x"))
+    return modularity_product(e, mem, x).select(KEY, F.col("v").alias("sku"), F.round("y", 9).alias("y"))
+
+
 QUERIES.update({
+    "community_leading_eigenvector": q_community_leading_eigenvector,
+    "leading_eigenvector_invariants": q_leading_eigenvector_invariants,
+    "modularity_product": q_modularity_product,
     "graph_simplify": q_graph_simplify,
     "modularity": q_modularity,
     "induced_edges": q_induced_edges,
@@ -568,7 +591,7 @@ reach(sub_category, sku, c) AS (
   UNION
   SELECT r.sub_category, cd.u, r.c FROM reach r JOIN cd ON cd.sub_category = r.sub_category AND cd.v = r.sku)
 SELECT sub_category, sku, min(c) AS comp FROM reach GROUP BY sub_category, sku""",
-        **{f"{name}_invariants": _invariant_sql(chain, "edges") for name in ("louvain", "potts", "fast_greedy", "split")},
+        **{f"{name}_invariants": _invariant_sql(chain, "edges") for name in ("louvain", "potts", "fast_greedy", "leading_eigenvector", "split")},
         "louvain_round": _round_sql(chain, 1.0, 0.0),
         "potts_round": _round_sql(chain, 0.5, 0.0),
         "signed_potts_round": _round_sql("WITH " + O.base_ctes(P(**SIGNED)) + O.pair_ctes(P(**SIGNED)) + O.edge_ctes(P(**SIGNED)), 0.5, 0.5),
@@ -579,6 +602,19 @@ SELECT sub_category, sku, min(c) AS comp FROM reach GROUP BY sub_category, sku""
 swe AS (SELECT sw.pmi_perc, w.sub_category, w.src, w.dst FROM w JOIN sw USING (sub_category)
         JOIN (SELECT SubCategory AS sub_category FROM products WHERE VisibleOnWeb = 1 GROUP BY 1 HAVING count(*) > {MIN_PRODUCTS}) el
           USING (sub_category) WHERE w.weight > sw.threshold)""", "swe", "pmi_perc, "),
+        "modularity_product": chain + ge + """,
+sh AS (SELECT sub_category, 2 * sum(weight) AS m2 FROM ge WHERE weight > 0 GROUP BY sub_category),
+sd AS (SELECT sub_category, src AS v, dst AS u, weight / m2 AS w FROM ge JOIN sh USING (sub_category) WHERE weight > 0
+       UNION ALL SELECT sub_category, dst, src, weight / m2 FROM ge JOIN sh USING (sub_category) WHERE weight > 0),
+sk AS (SELECT sd.sub_category, sd.v, mem.cluster, sum(w) AS k, cast(sd.v % 7 - 3 AS double) AS x
+       FROM sd JOIN mem ON mem.sub_category = sd.sub_category AND mem.sku = sd.v GROUP BY sd.sub_category, sd.v, mem.cluster),
+sc AS (SELECT sub_category, cluster, sum(k) AS kc, sum(k * x) AS kx FROM sk GROUP BY sub_category, cluster),
+si AS (SELECT a.sub_category, a.v, sum(sd.w) AS kin, sum(sd.w * b.x) AS wx
+       FROM sd JOIN sk a ON a.sub_category = sd.sub_category AND a.v = sd.v
+       JOIN sk b ON b.sub_category = sd.sub_category AND b.v = sd.u AND b.cluster = a.cluster GROUP BY a.sub_category, a.v)
+SELECT sk.sub_category, sk.v AS sku,
+       round(coalesce(wx, 0) - (coalesce(kin, 0) - k * kc) * x - k * kx, 9) AS y
+FROM sk JOIN sc USING (sub_category, cluster) LEFT JOIN si ON si.sub_category = sk.sub_category AND si.v = sk.v""",
         "cut_merges": chain + ge + """
 SELECT sub_category, count(DISTINCT v) AS vertices, cast(0 AS bigint) AS differ
 FROM (SELECT sub_category, src AS v FROM ge UNION ALL SELECT sub_category, dst FROM ge) t GROUP BY sub_category""",
