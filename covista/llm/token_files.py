@@ -30,6 +30,7 @@ BLOCK_IDS = 1 << 18      # a block is closed after this many ids; a longer docum
 CACHE_WORDS = 2_500_000  # words remembered by a Python worker
 LINE_WORDS = 64          # new words encoded as one text
 PUNCTUATION = ".,|!*$#%&"
+DOTTED = "\u0130"        # the capital I with a dot
 BLOCKS = "shard int, ids_before bigint, doc_ids array<bigint>, lens array<bigint>, payload binary"
 
 
@@ -74,7 +75,8 @@ class WordIds:
         derived, plain, other = [], set(), set()
         for word in words:
             core = word.rstrip(PUNCTUATION)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0180"):   # composed, with a lower case of its own
+            # composed letters whose lower case is one letter; that of a dotted capital I is two
+            if core.isalpha() and (core.isascii() or max(core) < "\u0180" and DOTTED not in core):
                 low = core.lower()
                 if low not in known:
                     plain.add(low)

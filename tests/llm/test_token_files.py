@@ -38,6 +38,25 @@ def test_query_matches_the_library(spark, sf):
     assert got == sorted((d, s, n, zlib.crc32(np.array(i, "<u4").tobytes())) for d, s, n, i in brute(rows))
 
 
+LETTERS = "aZéÄßİıſKΣσςжЖ中ấ"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(LETTERS + "'’.,|!*$#%&-5½\n\t \u0301\u00a0"), max_size=25), min_size=1, max_size=40))
+def test_words_give_the_library_ids(texts):
+    from covista.llm.token_files import word_ids
+    coder = word_ids(PATH)
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == want
+
+
+def test_dotted_capital_before_punctuation():
+    from covista.llm.token_files import word_ids
+    coder = word_ids(PATH)
+    for text in ("İ,", "SALİ. a", "İİ!!", "aİ% İ"):
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(3, None), (1, "It's 'THE ΣΑΣ' café don't \x1cx ½ <|endoftext|> a.b,,"), (None, "x"), (1, "again."), (1, "again."),
             (2, ""), (9, "Long words " * 30_000), (8, "é ́   İ\nK's\t!!")]
