@@ -123,18 +123,18 @@ _BESIDE = "beside || array_to_string(list_filter(hs, lambda h, i: i <> w.idx % 3
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_topk": """
-WITH ok AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint))) AS w
+WITH ok AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS w
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id),
-term AS (SELECT vec_id, unnest(w) AS weight, unnest(range(len(w))) AS term FROM ok),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+term AS (SELECT row, vec_id, unnest(w) AS weight, unnest(range(len(w))) AS term FROM ok),
 pair AS (
-  SELECT q.vec_id AS query_id, c.vec_id, cast(sum(q.weight * c.weight) AS bigint) AS score
-  FROM term q JOIN term c ON c.term = q.term AND c.vec_id <> q.vec_id
-  WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, cast(sum(q.weight * c.weight) AS bigint) AS score
+  FROM term q JOIN term c ON c.term = q.term AND c.row <> q.row
+  WHERE q.vec_id % 50 = 0 GROUP BY q.row, c.row, q.vec_id, c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM pair)
 SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op13_merkle": f"""
 WITH RECURSIVE

@@ -9,16 +9,13 @@ from covista.llm.topk import best, exact_topk
 
 
 def brute(rows, k, every):
-    ok = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        w = [math.floor(256 * x) for x in v]
-        ok[i] = min(ok.get(i, w), w)
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+          if i is not None and v is not None and not any(x is None or not math.isfinite(x) for x in v)]
     out = []
-    for q in (i for i in ok if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q)
-        out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
+    for at, (q, w) in enumerate(ok):
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(w, x)), c) for j, (c, x) in enumerate(ok) if j != at)
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -32,7 +29,7 @@ def test_query_matches_oracle(spark, sf):
 
 ODD = ([(i, [float((i * 7 + j) % 5 - 2) for j in range(3)]) for i in range(40)]       # many ties
        + [(40, None), (41, [1.0, None, 2.0]), (42, [float("nan"), 1.0, 1.0]), (43, [float("inf"), 0.0, 0.0]),
-          (None, [9.0, 9.0, 9.0]), (44, []), (50, [3.0]), (45, [0.0, 0.0, 0.0]), (10, [0.5, 0.5, 0.5]), (10, [0.5, 0.5, 0.5]),
+          (None, [9.0, 9.0, 9.0]), (44, []), (50, [3.0]), (45, [0.0, 0.0, 0.0]), (10, [0.5, 0.5, 0.5]), (10, [0.5, 0.5, 0.5]), (11, [7.0, 7.0, 7.0]),
           (46, [1e6, -1e6, 1.0, 4.0])])
 
 
@@ -43,6 +40,13 @@ def test_odd_rows_and_blocks(spark):
         assert sorted(map(tuple, got.collect())) == brute(ODD, 5, 10)
 
 
+def test_rows_that_repeat_an_id_are_all_candidates(spark):
+    rows = [(0, [1.0, 1.0]), (1, [5.0, 1.0]), (1, [9.0, 1.0]), (2, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(map(tuple, exact_topk(df, F.col("vec_id") == 0).collect()))
+    assert got == [(0, 1, 1, 655360), (0, 2, 1, 393216), (0, 3, 2, 262144)]
+
+
 def test_fewer_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert list(map(tuple, exact_topk(df, F.col("vec_id") == 0).collect())) == [(0, 1, 1, 256 * 512)]
