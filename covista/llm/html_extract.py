@@ -6,11 +6,16 @@ other, the stronger the nearer they are in the DOM, and each block to the next o
 parent.  The minimum cut separates content from boilerplate.
 
 The classifier is trained here by FTRL, on the blocks of a hashed sample of about ``sample_pages``
-pages whose containers name their role (``role``); it learns the weight of text length, links,
-punctuation, tags and class names, which then score the blocks of pages whose containers say nothing.
-A named role adds a score no larger than the classifier's bound, so that the classifier and the
-smoothness together can outweigh it.  A form, or an element that only its class or id calls
-boilerplate, says nothing if it holds most of the page's text and no named content lies outside it.
+pages whose containers name their role (``roles``).  Half of the examples are shown with all names taken
+away (classes dropped, elements made for page parts as plain ``div``), so it learns the weight of text
+length, links, punctuation and plain tags for pages whose containers say nothing; there the classifier and
+the smoothness, thus the cut, decide.
+
+A container made for page parts (``footer``, ``aside``, ``nav``, ``form`` ..., by element, role or class)
+gives its blocks a capacity to the sink that is larger than all that could pull them the other way; named
+content gets a capacity to the source above the classifier's bound.  A form, or an element that only its
+class or id calls boilerplate, says nothing if it is the page's wrapper: if it holds the page's first
+heading outside such parts, all named content and other blocks (of a page without a heading: every block).
 
 Defined results: a null or empty page has empty text, as has one without text blocks; markup that is
 not closed ends with its parent; scripts, styles and hidden elements are never text; a null id or url
@@ -22,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 from html.parser import HTMLParser
 
 import numpy as np
@@ -51,16 +57,28 @@ NAME_APART = frozenset("""ad ads adv advert advertisement advertising sponsor sp
     search social share sharing related recommended recommendations comment comments reply replies respond disqus
     pagination pager toolbar skip""".split())
 NAME_CONTENT = frozenset("article articlebody post entry content story main body text".split())
+NEGATES = frozenset("no not has have with without hide hides".split())     # before a part's name in a class
+PLAIN = frozenset("article main section".split()) | APART | {"header"}     # shown as div without names
 
 SIZE = 1 << 12
 SAMPLE_PAGES = 2000
-NAMED = 2.0        # score of a block whose container names its role
 LEARNED = 2.0      # bound of the classifier's score
-WRAPPER = 0.5      # share of the page's text from which a form or a class name may be the page's wrapper
-NEXT, SAME_PARENT = 0.6, 0.4
+SLOPE = 8.0        # log odds for which the score is about three quarters of the bound 
+CONTENT = 3.0      # score of named content; named boilerplate gets what outweighs the bound and its edges
+NEXT, SAME_PARENT = 1.2, 0.8
 WORDS = re.compile(r"[a-z]+")
 
 
+def words(value: str) -> set[str]:
+    """The words of class or id names, without those that a name negates, like no-sidebar."""
+    out: set[str] = set()
+    for name in value.split():
+        parts = WORDS.findall(name)
+        if parts and parts[0] not in NEGATES:
+            out.update(parts)
+    return out
+
+
 class Element:
     __slots__ = ("tag", "parent", "depth", "names", "role", "hidden", "number")
 
@@ -68,7 +86,7 @@ class Element:
         given = {k: (v or "").lower() for k, v in attrs}
         self.tag, self.parent, self.number = tag, parent, number
         self.depth = parent.depth + 1 if parent else 0
-        self.names = frozenset(WORDS.findall(f"{given.get('class', '')} {given.get('id', '')} {given.get('itemprop', '')}"))
+        self.names = frozenset(words(f"{given.get('class', '')} {given.get('id', '')} {given.get('itemprop', '')}"))
         self.role = given.get("role", "")
         self.hidden = ("hidden" in given or given.get("aria-hidden") == "true"
                        or "display:none" in given.get("style", "").replace(" ", ""))
@@ -89,6 +107,8 @@ class Parser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.stack = [Element("#page", [], None, 0)]
+        self.elements = list(self.stack)      # in page order, so parents come first
+        self.open: dict[str, int] = {}
         self.silent = 0
         self.links = 0
         self.parts: list[str] = []
@@ -107,9 +127,12 @@ class Parser(HTMLParser):
         for e in self.stack[at:]:
             self.silent -= e.tag in SILENT or e.hidden
             self.links -= e.tag == "a"
+            self.open[e.tag] -= 1
         del self.stack[at:]
 
     def find(self, tags, stop=frozenset()) -> int:
+        if not any(self.open.get(t) for t in tags):
+            return 0
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
                 return i
@@ -134,6 +157,8 @@ class Parser(HTMLParser):
         self.count += 1
         e = Element(tag, attrs, self.stack[-1], self.count)
         self.stack.append(e)
+        self.elements.append(e)
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.silent += tag in SILENT or e.hidden
         self.links += tag == "a"
 
@@ -146,6 +171,7 @@ class Parser(HTMLParser):
             at = self.find({tag}, BLOCK)
             if at:
                 e = self.stack.pop(at)
+                self.open[tag] -= 1
                 self.silent -= e.hidden
                 self.links -= tag == "a"
 
@@ -161,7 +187,7 @@ class Parser(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def blocks_of(html: str) -> list[Block]:
+def parse(html: str) -> Parser:
     parser = Parser()
     try:
         parser.feed(html)
@@ -169,7 +195,11 @@ def blocks_of(html: str) -> list[Block]:
     except AssertionError:   # the parser's own check of broken declarations: keep what was read
         pass
     parser.flush()
-    return parser.blocks
+    return parser
+
+
+def blocks_of(html: str) -> list[Block]:
+    return parse(html).blocks
 
 
 def chain(e: Element) -> Iterator[Element]:
@@ -183,58 +213,74 @@ def content(e: Element) -> bool:
     return e.tag in ("article", "main") or e.role in ("main", "article") or e.tag not in ("body", "html") and bool(e.names & NAME_CONTENT)
 
 
-def wrappers(blocks: list[Block]) -> set[Element]:
-    """Elements that hold most of the page's text, with no named content outside them."""
-    inside: dict[Element, int] = {}
-    named: dict[Element, int] = {}
-    total = 0
-    for b in blocks:
-        above = list(chain(b.element))
-        says = any(map(content, above))
-        total += says
-        for e in above:
-            inside[e] = inside.get(e, 0) + len(b.text)
-            named[e] = named.get(e, 0) + says
-    most = WRAPPER * sum(len(b.text) for b in blocks)
-    return {e for e, n in inside.items() if n > most and named[e] == total}
-
-
-def roles(blocks: list[Block]) -> list[int]:
-    wide = wrappers(blocks)
-    return [role(b, wide) for b in blocks]
-
-
-def role(block: Block, wide: set[Element] = frozenset()) -> int:
-    """1 content, -1 boilerplate, 0 not said, by the names of the block's containers: elements made for
-    page parts decide first, then the innermost container whose name says something.  Forms and names of
-    the page's wrappers (``wide``) are not boilerplate."""
-    above = list(chain(block.element))
-    article = any(e.tag in ("article", "main") for e in above)
-    for e in above:
-        if e in wide and (e.tag == "form" or e.role == "form") and e.role in ("", "form"):
-            continue
-        if e.tag in APART or e.role in ROLE_APART or e.tag == "header" and not (article and above[0].tag in HEADING):
-            return -1
-    for e in above:
-        if e.tag in ("body", "html"):
-            break
-        apart = e.names & NAME_APART if e not in wide else frozenset()
-        if apart and not (apart <= {"header", "banner"} and article and above[0].tag in HEADING):
-            return -1
-        if content(e):
-            return 1
-    return 0
-
-
-def features(block: Block) -> np.ndarray:
-    """Hashed features: sizes, links and sentence marks in steps, tags, names of the near containers."""
+def made_apart(e: Element) -> bool:
+    """An element made for page parts."""
+    return e.tag in APART or e.role in ROLE_APART or e.tag == "header"
+
+
+def wrappers(page: Parser) -> list[bool]:
+    """Per element: it holds the page's first heading outside page parts, all blocks in named content and
+    other blocks; of a page without a heading, every block."""
+    n = len(page.elements)
+    apart, says = [False] * n, [False] * n
+    for e in page.elements[1:]:
+        up = e.parent.number
+        apart[e.number] = apart[up] or made_apart(e) and e.tag != "form" and e.role != "form"
+        says[e.number] = says[up] or content(e)
+    held, named, headed = [0] * n, [0] * n, [0] * n
+    first = next((b for b in page.blocks if b.element.tag in HEADING and not apart[b.element.number]), None)
+    for b in page.blocks:
+        held[b.element.number] += 1
+        named[b.element.number] += says[b.element.number]
+        headed[b.element.number] += b is first
+    for e in reversed(page.elements[1:]):
+        for count in (held, named, headed):
+            count[e.parent.number] += count[e.number]
+    if first is None:
+        return [h == held[0] for h in held]
+    return [headed[i] > 0 and named[i] == named[0] and held[i] > 1 for i in range(n)]
+
+
+def roles(page: Parser) -> list[int]:
+    """Per block 1 content, -1 boilerplate, 0 not said, by the names of its containers: elements made for
+    page parts decide first, then the innermost container whose name says something.  The heading of named
+    content may stand in a header.  One pass over the elements, parents first."""
+    wide, n = wrappers(page), len(page.elements)
+    # each for all blocks, and for headings
+    hard, near, inside = [(False, False)] * n, [(0, 0)] * n, [False] * n
+    for e in page.elements[1:]:
+        i, up = e.number, e.parent.number
+        inside[i] = inside[up] or content(e)
+        form = (e.tag == "form" or e.role == "form") and e.role in ("", "form")
+        own = made_apart(e) and not (form and wide[i])
+        lenient = e.tag == "header" and inside[i] and e.role not in ROLE_APART
+        hard[i] = (hard[up][0] or own, hard[up][1] or own and not lenient)
+        near[i] = near[up]
+        if e.tag not in ("body", "html"):
+            apart = frozenset() if wide[i] else e.names & NAME_APART
+            says = 1 if content(e) else 0
+            title = apart <= {"header", "banner"} and inside[i]
+            plain = -1 if apart else says or near[up][0]
+            near[i] = (plain, (says or near[up][1]) if title else plain)
+    out = []
+    for b in page.blocks:
+        i, heading = b.element.number, b.element.tag in HEADING
+        out.append(-1 if hard[i][heading] else near[i][heading])
+    return out
+
+
+def features(block: Block, named: bool = True) -> np.ndarray:
+    """Hashed features: sizes, links and sentence marks in steps, tags, and the names of the near
+    containers unless these are to be left out."""
     text, n = block.text, len(block.text)
     marks = sum(text.count(c) for c in ".!?;,")
+    tag = lambda e: "div" if not named and e.tag in PLAIN else e.tag
     names = [f"n{int(math.log2(n + 1))}", f"l{int(4 * min(1.0, block.linked / n))}", f"m{min(8, marks)}",
-             f"t{block.element.tag}", f"e{text[-1] in '.!?'}", f"w{min(12, text.count(' ') // 4)}"]
-    for e in list(chain(block.element))[:4]:
-        names.append("a" + e.tag)
-        names += ["c" + name for name in e.names]
+             f"t{tag(block.element)}", f"e{text[-1] in '.!?'}", f"w{min(12, text.count(' ') // 4)}"]
+    for e in islice(chain(block.element), 4):
+        names.append("a" + tag(e))
+        if named:
+            names += ["c" + name for name in e.names]
     return np.unique(np.array([0] + [1 + xxhash.xxh32_intdigest(x) % (SIZE - 1) for x in names]))
 
 
@@ -257,34 +303,45 @@ def edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
     return out
 
 
+def scores_of(page: Parser, weights: np.ndarray, links: list[tuple[int, int, float]]) -> list[float]:
+    """Terminal capacities: positive to the source (content), negative to the sink."""
+    pull = [0.0] * len(page.blocks)
+    for a, b, cap in links:
+        pull[a] += cap
+        pull[b] += cap
+    out = []
+    for b, r, p in zip(page.blocks, roles(page), pull):
+        learned = LEARNED * math.tanh(float(weights[features(b, bool(r))].sum()) / SLOPE)
+        out.append(learned + (CONTENT if r > 0 else 0.0) if r >= 0 else -(LEARNED + p + 1.0))
+    return out
+
+
 def main_text(html: str, weights: np.ndarray) -> str:
-    blocks = blocks_of(html)
-    if not blocks:
+    page = parse(html)
+    if not page.blocks:
         return ""
-    scores = []
-    for b, r in zip(blocks, roles(blocks)):
-        learned = float(weights[features(b)].sum())
-        scores.append(max(-LEARNED, min(LEARNED, learned)) + NAMED * r)
-    keep = mincut.labels(scores, edges(blocks))
-    return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
+    links = edges(page.blocks)
+    keep = mincut.labels(scores_of(page, weights, links), links)
+    return "\n\n".join(b.text for b, k in zip(page.blocks, keep) if k)
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
         for html in texts(batch, "html"):
-            blocks = blocks_of(html)
-            rows += [(features(b), int(r > 0)) for b, r in zip(blocks, roles(blocks)) if r]
+            page = parse(html)
+            rows += [(features(b, len(rows) + i & 1), int(r > 0)) for i, (b, r) in enumerate(zip(page.blocks, roles(page))) if r]
     w = Ftrl(SIZE).fit([(at, np.ones(len(at)), y) for at, y in rows], 2).weights()
     at = np.flatnonzero(w)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["bucket", "w"])
 
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
-    """Weights of the block classifier, from a hashed sample of about ``sample_pages`` pages."""
+    """Weights of the block classifier, from a hashed sample of about ``sample_pages`` different pages."""
     share = min(1.0, sample_pages / max(1, pages.count()))
-    sample = (pages.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-                   .select(F.xxhash64(id_col, html_col).alias("order"), F.col(html_col).alias("html")))
+    drawn = pages.select(F.xxhash64(id_col, html_col).alias("order"), F.col(html_col).alias("html"))
+    sample = (drawn.filter(F.pmod("order", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+                   .groupBy("order").agg(F.min("html").alias("html")))       # copies of a page count once
     rows = map_batches(sample.repartition(1).sortWithinPartitions("order").select("html"), _train, "bucket bigint, w double")
     model = np.zeros(SIZE)
     got = rows.toArrow()          # one task's weights: at most SIZE rows

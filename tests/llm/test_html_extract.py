@@ -103,8 +103,64 @@ def test_wrappers_of_a_whole_page_are_not_boilerplate():
     assert main_text(comments, W) == "Short."
 
 
-def test_evidence_outweighs_a_name():
-    w = W.copy()
-    w[0] = 2.0      # the classifier finds content in every block
-    page = "<div><p>One.</p><div class=notice><p>Two.</p></div><p>Three.</p></div>"
-    assert main_text(page, w) == "One.\n\nTwo.\n\nThree." and "Two" not in main_text(page, W)
+SENTENCE = "This is a long sentence, which says something, and it goes on for a while. It ends here."
+STORY = "".join(f"<p>{SENTENCE} {i}.</p>" for i in range(5))
+KEPT = [f"{SENTENCE} {i}." for i in range(5)]
+BAD = f"<p>Not this: {SENTENCE}</p>"
+
+
+@pytest.fixture(scope="module")
+def weights(spark, sf):
+    from covista.llm.html_extract import train
+    return train(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<article>{STORY}<div class="ad">{BAD}</div></article>', KEPT),
+    (f"<article>{STORY}<aside>{BAD}</aside></article>", KEPT),
+    (f"<article>{STORY}<section id=comments>{BAD}</section></article>", KEPT),
+    (f"<article>{STORY}</article><footer>{BAD}</footer>", KEPT),
+    (f"<main>{STORY}<form>{BAD}</form></main>", KEPT),
+    (f'<div class="post"><div class="post-header"><h1>Ti</h1></div>{STORY}</div>', ["Ti", *KEPT]),
+    (f"<h1>Ti</h1>{STORY}<div class=comments>" + f"<div><h4>Bob</h4>{BAD}</div>" * 12 + "</div>", ["Ti", *KEPT]),
+    (f'<div class="content has-sidebar"><h1>Ti</h1>{STORY}</div><div class=sidebar>{BAD}</div>', ["Ti", *KEPT]),
+    (f"<form id=f><nav>{BAD}</nav><h1>Ti</h1>{STORY}<div role=search>{BAD}</div></form>", ["Ti", *KEPT]),
+])
+def test_named_boilerplate_never_stays(weights, page, want):
+    assert main_text(page, weights).split("\n\n") == want
+
+
+def test_the_cut_finds_the_article_without_names(spark, sf, weights, monkeypatch):
+    """The driver's pages with class, id and role taken away and page parts turned into div."""
+    flows, real = [], mincut.max_flow
+    monkeypatch.setattr(mincut, "max_flow", lambda *a: flows.append(1) or real(*a))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    found = 0
+    for r in pages:
+        page = re.sub(r'\s(class|id|role)="[^"]*"', "", r.html)
+        page = re.sub(r"<(/?)(article|nav|aside|footer|header|form)\b", r"<\1div", page)
+        found += main_text(page, weights) == main_text(r.html, weights)
+    assert found >= 0.9 * len(pages) and len(flows) >= 0.9 * len(pages)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    start = time.time()
+    assert main_text("<div>x " * 10_000, W) == "" and main_text("<div>x </p></section>" * 10_000, W) == ""
+    assert main_text("<article>" + "<div>x " * 10_000, W).count("x") == 10_000
+    assert time.time() - start < 10
+
+
+def test_pages_without_an_id_do_not_fill_the_sample(spark, monkeypatch):
+    from covista.llm import html_extract
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+        yield from ()
+
+    monkeypatch.setattr(html_extract, "_train", count)
+    df = spark.range(20_000).selectExpr("cast(null as bigint) page_id", "concat('<p>', if(id % 3 = 0, 0, id), '</p>') html")
+    html_extract.train(df, sample_pages=500)
+    assert 0 < seen.value < 1000
