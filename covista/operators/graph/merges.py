@@ -26,6 +26,7 @@ from .core import as_membership, directed, simplify, vertices, with_int_weight
 TOL = 1e-12
 SAFETY = 100_000     # rounds; reaching it raises
 UNIT = float(1 << 60)
+WINDOW_ROWS = 50_000 # members of one centre that one task orders; beyond that range partitions do
 
 
 def _pairs(rows: DataFrame, nodes: DataFrame, tot: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,16 +57,24 @@ def _joins(rows: DataFrame, pairs: DataFrame, keys: list[str], negative: bool) -
     wait = (rows.filter(F.col("v") != F.col("u")).select(*keys, "v", "u").join(mine, [*keys, "v"]).join(theirs, [*keys, "u", "a"])
                 .filter((F.col("du") > F.col("d")) | (F.col("du") == F.col("d")) & (F.col("u") < F.col("v")))
                 .select(*keys, "v").distinct())
+    hub = (liked.agg(F.max("n")).first()[0] or 0) > WINDOW_ROWS
     before = Window.partitionBy(*keys, "u").orderBy(F.desc("dq"), "v").rowsBetween(Window.unboundedPreceding, -1)
 
-    def lost():
-        taken = F.coalesce(F.sum(F.col("kv").cast("double")).over(before), F.lit(0.0))
-        return F.col("kv").cast("double") * taken / (F.col("m2") * F.col("m2"))
-    free = come.join(wait, [*keys, "v"], "left_anti").withColumn("lost", lost())
+    def earlier(df, amount, out):
+        """``df`` with the sum of ``amount`` over the better members of the same centre."""
+        if hub:
+            order = F.struct((-F.col("dq")).alias("g"), "v")
+            return running_before(df.withColumn("o", order), [*keys, "u"], F.col("o"), amount, out).drop("o")
+        return df.withColumn(out, F.coalesce(F.sum(amount.cast("double")).over(before), F.lit(0.0)))
+
+    def with_lost(df):
+        taken = earlier(df.drop("lost"), F.col("kv"), "taken")
+        return taken.withColumn("lost", F.col("kv").cast("double") * F.col("taken") / (F.col("m2") * F.col("m2"))).drop("taken")
+    free = with_lost(come.join(wait, [*keys, "v"], "left_anti"))
     if negative:   # the best of a centre only, so that the last merges can be counted out
-        free = free.withColumn("r", F.row_number().over(before.rowsBetween(Window.unboundedPreceding, 0))).filter("r = 1")
+        free = earlier(free, F.lit(1), "r").filter("r = 0")
     else:
-        free = free.filter(F.col("dq") - F.col("lost") > F.lit(TOL)).withColumn("lost", lost())
+        free = with_lost(free.filter(F.col("dq") - F.col("lost") > F.lit(TOL)))
     return free.select(*keys, "v", F.col("u").alias("a"), "dq", (F.col("dq") - F.col("lost")).alias("gain"))
 
 

@@ -27,8 +27,9 @@ multilevel method, until a level has no move.  All graphs
 (categories, clusters being split) move in the same jobs, keyed by ``keys``.  A round writes two
 tables, the moves and the new state, and deletes those of the round before.
 
-Edges are split by the joins (written tables on both sides) where a hub holds many of them; a window
-orders the moves that touch one community, never its members or edges.
+Edges are split by the joins (written tables on both sides) where a hub holds many of them.  The moves
+that touch one community are ordered by a window while no community has more than ``WINDOW_ROWS`` of them;
+beyond that, running sums over range partitions give the same sums.
 """
 
 from __future__ import annotations
@@ -36,11 +37,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...functions.ranking import running_before
 from ...runtime import KEY, cut_lineage, drop_table
 from .core import as_membership, directed, simplify, with_int_weight
 
 TOL = 1e-10          # a gain counts from this share of the vertex's weight on
 SAFETY = 100_000     # rounds of a level; reaching it raises
+WINDOW_ROWS = 50_000 # moves of one community that one task orders
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -86,8 +89,21 @@ def best_moves(rows: DataFrame, state: DataFrame, totals: DataFrame, keys: list[
                 .select(*keys, "v", "a", (-F.col("b.nc")).alias("c"), gain.alias("gain"), "kp", "kn"))
 
 
-def accepted_moves(rows: DataFrame, moves: DataFrame, totals: DataFrame, keys: list[str], gamma: float, lam: float) -> DataFrame:
-    """``keys + [v, to]``: moves that can be made together, see the module's description."""
+def _touching(moves: DataFrame) -> DataFrame:
+    """Every move once for the community it leaves and once for the one it goes to: ``x``, ``to``."""
+    return (moves.withColumn("x", F.col("a")).withColumn("to", F.lit(False))
+                 .unionByName(moves.withColumn("x", F.col("c")).withColumn("to", F.lit(True))))
+
+
+def most_moves(moves: DataFrame, keys: list[str]) -> int:
+    """The number of moves that touch the most touched community; 0 without a move."""
+    return _touching(moves).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def accepted_moves(rows: DataFrame, moves: DataFrame, totals: DataFrame, keys: list[str], gamma: float, lam: float,
+                   hub: bool = False) -> DataFrame:
+    """``keys + [v, to]``: moves that can be made together, see the module's description; ``hub``: a
+    community may be touched by more moves than one task should order."""
     mine = moves.select(*keys, "v", "a", "c", F.col("gain").alias("g"))
     other = moves.select(*keys, F.col("v").alias("u"), F.col("a").alias("b"), F.col("c").alias("d"), F.col("gain").alias("gu"))
     better = (F.col("gu") > F.col("g")) | (F.col("gu") == F.col("g")) & (F.col("u") < F.col("v"))
@@ -97,13 +113,16 @@ def accepted_moves(rows: DataFrame, moves: DataFrame, totals: DataFrame, keys: l
                 .filter(better & ((F.col("wp") > 0) & cross | (F.col("wn") > 0) & alike))
                 .select(*keys, "v").distinct())
     free = moves.join(wait, [*keys, "v"], "left_anti")
-    touch = (free.withColumn("x", F.col("a")).withColumn("to", F.lit(False))
-                 .unionByName(free.withColumn("x", F.col("c")).withColumn("to", F.lit(True))))
-
-    def taken(k, *same):
-        before = Window.partitionBy(*keys, "x", *same).orderBy(F.desc("gain"), "v").rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(k).over(before), F.lit(0.0))
-    touch = touch.withColumn("rp", taken("kp", "to")).withColumn("rn", taken("kn") if lam > 0 else F.lit(0.0))
+    touch = _touching(free)
+
+    def taken(df, k, out, *same):
+        if hub:
+            order = F.struct((-F.col("gain")).alias("g"), "v", "to")
+            return running_before(df.withColumn("o", order), [*keys, "x", *same], F.col("o"), F.col(k), out).drop("o")
+        before = Window.partitionBy(*keys, "x", *same).orderBy(F.desc("gain"), "v", "to").rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(k).over(before), F.lit(0.0)))
+    touch = taken(touch, "kp", "rp", "to")
+    touch = taken(touch, "kn", "rn") if lam > 0 else touch.withColumn("rn", F.lit(0.0))
     held = (touch.groupBy(*keys, "v", "c", "gain", "kp", "kn").agg(F.sum("rp").alias("rp"), F.sum("rn").alias("rn"))
                  .join(totals, keys))
     lost = (F.lit(gamma) * _div(F.col("kp") * F.col("rp"), F.col("mp2")) + F.lit(lam) * _div(F.col("kn") * F.col("rn"), F.col("mn2")))
@@ -115,10 +134,11 @@ def move_level(rows: DataFrame, state: DataFrame, totals: DataFrame, keys: list[
     moved = False
     for _ in range(SAFETY):
         moves = cut_lineage(best_moves(rows, state, totals, keys, gamma, lam), "moves")
-        if moves.isEmpty():
+        most = most_moves(moves, keys)
+        if not most:
             drop_table(moves)
             return state, moved
-        taken = accepted_moves(rows, moves, totals, keys, gamma, lam)
+        taken = accepted_moves(rows, moves, totals, keys, gamma, lam, most > WINDOW_ROWS)
         new = cut_lineage(state.join(taken, [*keys, "v"], "left").select(*keys, "v", F.coalesce("to", "c").alias("c"), "kp", "kn"), "state")
         if moved:
             drop_table(state)

@@ -131,3 +131,24 @@ def test_cluster_numbers_follow_the_smallest_sku(spark):
     lab = spark.createDataFrame([(c, s, s % 17) for c in "AB" for s in range(200)], "sub_category string, sku long, label long")
     got = {(r.sub_category, r.sku): r.cluster for r in core.as_membership(lab.repartition(5)).collect()}
     assert got == {(c, s): s % 17 + 1 for c in "AB" for s in range(200)}
+
+
+def test_hubs_are_ordered_over_range_partitions(spark, monkeypatch):
+    """A star larger than a window may hold is one community, and a round is the same both ways."""
+    import random
+    star = spark.range(1, 60_001).selectExpr("'A' sub_category", "0L src", "id dst", "1.0D weight")
+    assert moving.WINDOW_ROWS < 60_000
+    m = moving.louvain(star)
+    assert m.agg(F.count("sku"), F.countDistinct("cluster")).first()[:] == (60_001, 1)
+    rng = random.Random(8)
+    e = spark.createDataFrame([("A", rng.randrange(40), rng.randrange(40), rng.random() - 0.2) for _ in range(260)], SCHEMA)
+    K = ["sub_category"]
+    rows, state, totals = moving.level0(e, K, True)
+    moves = moving.best_moves(rows, state, totals, K, 1.0, 1.0)
+    one, two = (sorted(moving.accepted_moves(rows, moves, totals, K, 1.0, 1.0, hub).collect()) for hub in (False, True))
+    assert one == two and one
+    links = core.with_int_weight(core.simplify(e.filter("weight > 0")), K)
+    links = core.directed(links, K, ["w"])
+    joins = sorted(merges.first_joins(links, K)[0].collect())
+    monkeypatch.setattr(merges, "WINDOW_ROWS", 0)
+    assert sorted(merges.first_joins(links, K)[0].collect()) == joins and joins
