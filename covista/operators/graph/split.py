@@ -19,7 +19,7 @@ from .core import as_membership, induced_edges
 from .eigen import leading_eigenvector_labels
 from .label_prop import label_propagation_labels
 from .merges import fast_greedy_merges
-from .moving import local_moving_labels
+from .moving import local_moving_labels, moves_left
 
 
 def community_labels(edges: DataFrame, method: int, p: Params, keys: list[str] = [KEY],
@@ -46,8 +46,9 @@ def detect(edges: DataFrame, p: Params, method: int | None = None, keys: list[st
     return as_membership(community_labels(edges, p.method if method is None else method, p, keys), keys)
 
 
-def split_large(edges: DataFrame, membership: DataFrame, p: Params, keys: list[str] = [KEY]) -> DataFrame:
-    """``keys + [sku, cluster, sub, cluster_id]`` with ``cluster_id = "cluster-sub"``."""
+def split_parts(edges: DataFrame, membership: DataFrame, p: Params, keys: list[str] = [KEY]) -> DataFrame | None:
+    """The parts of every cluster that is too large, ``keys + [parent, sku, sub, gamma]`` with the γ of the
+    cluster's last try, or None if none is."""
     sizes = membership.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("size"))
     big = sizes.filter(F.col("size") > F.lit(p.cl_size_thresh)).select(*keys, F.col("cluster").alias("parent"))
     gk = [*keys, "parent"]
@@ -67,19 +68,43 @@ def split_large(edges: DataFrame, membership: DataFrame, p: Params, keys: list[s
         # members without an internal edge form their own part, as isolated vertices do
         lab = (members.join(pending, gk, "left_semi").join(lab, [*gk, "sku"], "left")
                       .select(*gk, "sku", F.coalesce("label", "sku").alias("label")))
-        sub = cut_lineage(as_membership(lab, gk, out="sub"))
+        sub = cut_lineage(as_membership(lab, gk, out="sub").withColumn("gamma", F.lit(float(gamma))))
         biggest = sub.groupBy(*gk, "sub").count().groupBy(*gk).agg(F.max("count").alias("mx"))
         fits = biggest.filter(F.col("mx") <= F.lit(p.cl_size_thresh)).select(*gk)
         finished = sub if t == tries else sub.join(fits, gk, "left_semi")
-        done = finished if done is None else done.unionByName(finished)
-        done = cut_lineage(done)
+        done = cut_lineage(finished if done is None else done.unionByName(finished))
         pending = cut_lineage(pending.join(finished.select(*gk).distinct(), gk, "left_anti"))
         gamma += 0.5
-    out = membership
-    if done is not None:
-        out = out.join(done.withColumnRenamed("parent", "cluster"), [*keys, "cluster", "sku"], "left")
+    return done
+
+
+def split_large(edges: DataFrame, membership: DataFrame, p: Params, keys: list[str] = [KEY],
+                parts: DataFrame | None = None) -> DataFrame:
+    """``keys + [sku, cluster, sub, cluster_id]`` with ``cluster_id = "cluster-sub"``; ``parts`` may be
+    given, as ``split_parts`` returns them."""
+    parts = split_parts(edges, membership, p, keys) if parts is None else parts
+    if parts is not None:
+        out = membership.join(parts.drop("gamma").withColumnRenamed("parent", "cluster"), [*keys, "cluster", "sku"], "left")
     else:
-        out = out.withColumn("sub", F.lit(None).cast("bigint"))
+        out = membership.withColumn("sub", F.lit(None).cast("bigint"))
     out = out.withColumn("sub", F.coalesce("sub", F.lit(0)).cast("bigint"))
     return out.select(*keys, "sku", "cluster", "sub",
                       F.concat_ws("-", F.col("cluster").cast("string"), F.col("sub").cast("string")).alias("cluster_id"))
+
+
+def split_moves_left(edges: DataFrame, membership: DataFrame, parts: DataFrame | None, p: Params,
+                     keys: list[str] = [KEY]) -> DataFrame:
+    """A row of ``keys`` for every merge of two communities that would still raise the objective: of the top
+    clusters (method 4), and within every split cluster (method 8) with the γ of its last try."""
+    if (p.method, p.sub_method) != (4, 8):
+        raise ValueError("only methods 4 and 8 are checked")
+    left = moves_left(edges, membership, keys).select(*keys)
+    if parts is None:
+        return left
+    gk = [*keys, "parent"]
+    inner = cut_lineage(induced_edges(edges, membership, keys).withColumnRenamed("cluster", "parent"))
+    for gamma in sorted(r[0] for r in parts.select("gamma").distinct().collect()):     # at most one a try
+        mine = parts.filter(F.col("gamma") == F.lit(gamma))
+        own = inner.join(mine.select(*gk).distinct(), gk, "left_semi")
+        left = left.unionByName(moves_left(own, mine, gk, gamma=gamma, label="sub").select(*keys))
+    return left

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph.split import detect, split_large
+from ..operators.graph.split import detect, split_large, split_moves_left, split_parts  # noqa: F401
 from ..params import Params
 from ..runtime import KEY
 

@@ -402,7 +402,7 @@ def q_sweep_sizes(spark, sf):
 
 def invariants(edges, membership, label, left, keys=[KEY]):
     """Per graph: vertices, vertices without a cluster, clusters that hold parts of two components, and
-    improving moves left (``left``: one row each, or None).  A right partition has 0 in the last three."""
+    improving moves left (``left``: one row each).  A right partition has 0 in the last three."""
     e = G.simplify(edges, keys)
     comp = G.connected_components(e, keys)
     both = comp.join(membership.select(*keys, "sku", F.col(label).alias("c")), [*keys, "sku"], "left")
@@ -410,8 +410,6 @@ def invariants(edges, membership, label, left, keys=[KEY]):
                 .groupBy(*keys).agg(F.sum((F.col("n") > 1).cast("bigint")).alias("torn")))
     out = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("vertices"), F.sum(F.col("c").isNull().cast("bigint")).alias("unlabelled"))
     out = out.join(torn, keys, "left").withColumn("torn", F.coalesce("torn", F.lit(0)))
-    if left is None:
-        return out.withColumn("moves_left", F.lit(0).cast("bigint"))
     moves = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("moves_left"))
     return out.join(moves, keys, "left").withColumn("moves_left", F.coalesce("moves_left", F.lit(0)))
 
@@ -441,14 +439,22 @@ def q_fast_greedy_invariants(spark, sf):
     return invariants(e, m, "cluster", moves_left(e, m))
 
 
+def _split_invariants(e, p, keys):
+    top = cut_lineage(QC.detect(e, p, keys=keys), "clusters")
+    parts = QC.split_parts(e, top, p, keys)
+    m = cut_lineage(QC.split_large(e, top, p, keys, parts), "clusters")
+    return invariants(e, m, "cluster_id", QC.split_moves_left(e, top, parts, p, keys), keys)
+
+
 def q_split_invariants(spark, sf):
-    e, m = _clusters(spark, sf)
-    return invariants(e, m, "cluster_id", None)
+    p = production()
+    return _split_invariants(flagship_edges(spark, sf, p), p, [KEY])
 
 
 def q_sweep_invariants(spark, sf):
-    e, m = _sweep(spark, sf)
-    return invariants(e, m, "cluster_id", None, ["pmi_perc", KEY])
+    p = production()
+    v, pr = _inputs(spark, sf)
+    return _split_invariants(cut_lineage(percentile_sweep(v, pr, p, SWEEP, MIN_PRODUCTS), "edges"), p, ["pmi_perc", KEY])
 
 
 def _round(gamma, lam, **kw):
