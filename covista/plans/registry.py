@@ -283,6 +283,9 @@ from ..operators.graph.moving import (accepted_moves, best_moves, level0, louvai
                                       potts_communities, signed_potts_communities)
 from ..operators.graph.merges import best_cut_steps, cut_merges, fast_greedy, fast_greedy_merges, first_joins  # noqa: E402
 from ..operators.graph.eigen import leading_eigenvector, modularity_product, possible_splits  # noqa: E402
+from ..operators.graph.betweenness import edge_betweenness  # noqa: E402
+from ..operators import overlap  # noqa: E402
+from ..operators.pairs import shared_visitor_counts  # noqa: E402
 from . import qc as QC  # noqa: E402
 from ..runtime import cut_lineage  # noqa: E402
 
@@ -491,6 +494,29 @@ def q_cut_merges(spark, sf):
             F.sum((F.col("cluster") != F.col("own")).cast("bigint")).alias("differ")))
 
 
+def q_pair_overlap_arrays(spark, sf):
+    """O3: the visitor sets of all pairs that share a visitor, intersected as bitmaps; F6 as in the pairs."""
+    p = P()
+    st = _stage(spark, sf, p)
+    sv = cut_lineage(st.sv.join(st.kept.select(KEY, "sku"), [KEY, "sku"], "left_semi"), "visitors")
+    found = overlap.pair_overlap(cut_lineage(overlap.visitor_words(sv), "words"), shared_visitor_counts(sv, p.hot_visitor_skus))
+    return found.filter(F.col("com") > F.lit(p.joint_view_thresh))
+
+
+def q_sku_views_sketched(spark, sf):
+    """A2 from daily sketches: per category the SKUs, and those whose estimate is off by more than four
+    standard errors and one visitor."""
+    q = cut_lineage(_q(spark, sf, P()), "views")
+    exact = views.sku_view_counts(views.sku_visitors(q))
+    both = exact.join(overlap.sku_views_estimate(overlap.daily_visitor_sketches(q)).withColumnRenamed("pv", "guess"), [KEY, "sku"], "left")
+    off = F.abs(F.coalesce("guess", F.lit(0)) - F.col("pv")) > F.lit(4 * overlap.ERROR) * F.col("pv") + 1
+    return both.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_skus"), F.sum(off.cast("bigint")).alias("n_off"))
+
+
+def q_edge_betweenness(spark, sf):
+    return _r(edge_betweenness(flagship_edges(spark, sf)), "score")
+
+
 def q_community_leading_eigenvector(spark, sf):
     return leading_eigenvector(flagship_edges(spark, sf))
 
@@ -511,6 +537,9 @@ def q_modularity_product(spark, sf):
 
 
 QUERIES.update({
+    "pair_overlap_arrays": q_pair_overlap_arrays,
+    "sku_views_sketched": q_sku_views_sketched,
+    "edge_betweenness": q_edge_betweenness,
     "community_leading_eigenvector": q_community_leading_eigenvector,
     "leading_eigenvector_invariants": q_leading_eigenvector_invariants,
     "modularity_product": q_modularity_product,
@@ -608,6 +637,14 @@ SELECT sub_category, sku, min(c) AS comp FROM reach GROUP BY sub_category, sku""
 swe AS (SELECT sw.pmi_perc, w.sub_category, w.src, w.dst FROM w JOIN sw USING (sub_category)
         JOIN (SELECT SubCategory AS sub_category FROM products WHERE VisibleOnWeb = 1 GROUP BY 1 HAVING count(*) > {MIN_PRODUCTS}) el
           USING (sub_category) WHERE w.weight > sw.threshold)""", "swe", "pmi_perc, "),
+        "pair_overlap_arrays": chain + f""",
+sets AS (SELECT sub_category, sku, list(visitor) AS visitors FROM svk GROUP BY sub_category, sku)
+SELECT a.sub_category, a.sku AS sku1, b.sku AS sku2, cast(len(list_intersect(a.visitors, b.visitors)) AS bigint) AS com
+FROM sets a JOIN sets b ON a.sub_category = b.sub_category AND a.sku < b.sku
+WHERE len(list_intersect(a.visitors, b.visitors)) > {p.joint_view_thresh}""",
+        "sku_views_sketched": chain + """
+SELECT sub_category, count(*) AS n_skus, cast(0 AS bigint) AS n_off FROM allpv GROUP BY sub_category""",
+        "edge_betweenness": _betweenness_sql(chain.replace("WITH ", "WITH RECURSIVE ", 1) + ge),
         "modularity_product": chain + ge + """,
 sh AS (SELECT sub_category, 2 * sum(weight) AS m2 FROM ge WHERE weight > 0 GROUP BY sub_category),
 sd AS (SELECT sub_category, src AS v, dst AS u, weight / m2 AS w FROM ge JOIN sh USING (sub_category) WHERE weight > 0
@@ -693,6 +730,40 @@ l2 AS (SELECT sub_category, v, u, dq, kv * coalesce(sum(kv) OVER (PARTITION BY s
 SELECT sub_category, v AS sku, u AS centre, round(dq - lost, {ROUND}) AS gain FROM l2"""
 
 
+def _betweenness_sql(graph: str) -> str:
+    """All breadth-first searches level by level (``front``: the last level, kept with the one before), then
+    the dependencies level by level back."""
+    return graph + f""",
+bd AS MATERIALIZED (SELECT sub_category, src AS v, dst AS u FROM ge UNION ALL SELECT sub_category, dst, src FROM ge),
+lv(sub_category, s, v, d, n, front) AS (
+  SELECT DISTINCT sub_category, v, v, 0, cast(1 AS double), true FROM bd
+  UNION ALL
+  (WITH c AS (SELECT * FROM lv),
+   nx AS (SELECT c.sub_category, c.s, bd.u AS v, min(c.d) + 1 AS d, sum(c.n) AS n FROM c
+          JOIN bd ON bd.sub_category = c.sub_category AND bd.v = c.v WHERE c.front GROUP BY c.sub_category, c.s, bd.u),
+   fresh AS (SELECT nx.* FROM nx ANTI JOIN c ON c.sub_category = nx.sub_category AND c.s = nx.s AND c.v = nx.v)
+   SELECT sub_category, s, v, d, n, true FROM fresh
+   UNION ALL SELECT sub_category, s, v, d, n, false FROM c WHERE front AND EXISTS (SELECT 1 FROM fresh))
+),
+dist AS MATERIALIZED (SELECT sub_category, s, v, d, n FROM lv WHERE front),
+arc AS MATERIALIZED (SELECT a.sub_category, a.s, a.v, bd.u, a.d, a.n / b.n AS share FROM dist a
+        JOIN bd ON bd.sub_category = a.sub_category AND bd.v = a.v
+        JOIN dist b ON b.sub_category = a.sub_category AND b.s = a.s AND b.v = bd.u AND b.d = a.d + 1),
+dep(lvl, sub_category, s, v, dep) AS (
+  SELECT d, sub_category, s, v, cast(0 AS double) FROM dist WHERE d = (SELECT max(d) FROM dist)
+  UNION ALL
+  (WITH c AS (SELECT * FROM dep)
+   SELECT x.d, x.sub_category, x.s, x.v, coalesce(sum(arc.share * (1 + c.dep)), 0) FROM dist x
+   LEFT JOIN arc ON arc.sub_category = x.sub_category AND arc.s = x.s AND arc.v = x.v
+   LEFT JOIN c ON c.sub_category = arc.sub_category AND c.s = arc.s AND c.v = arc.u
+   WHERE x.d = (SELECT max(lvl) FROM c) - 1 GROUP BY x.d, x.sub_category, x.s, x.v)
+)
+SELECT arc.sub_category, least(arc.v, arc.u) AS src, greatest(arc.v, arc.u) AS dst,
+       round(sum(arc.share * (1 + dep.dep)) / 2, {ROUND}) AS score
+FROM arc JOIN dep ON dep.sub_category = arc.sub_category AND dep.s = arc.s AND dep.v = arc.u
+GROUP BY arc.sub_category, least(arc.v, arc.u), greatest(arc.v, arc.u)"""
+
+
 def _invariant_sql(chain: str, edges: str, extra: str = "") -> str:
     """What every right partition of the edge list's graphs gives."""
     return chain + f"""
