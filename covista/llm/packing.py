@@ -92,16 +92,26 @@ class ByteLevelIds:
         whole = [any(s in t for s in self.special) for t in texts]
         words = [[] if w else t.split(" ") for t, w in zip(texts, whole)]
         ids = [list(map(self.known.get, w[1:])) for w in words]
-        gaps = [i for i, got in enumerate(ids) if None in got]
-        for i in gaps:                 # a word with odd white space is never known by itself
-            words[i] = self._words(texts[i])
-        new = {w for i in gaps for w in words[i][1:] if w not in self.known}
+        gaps, new = [], set()
+        for i, got in enumerate(ids):
+            if None in got:
+                at = [j for j, x in enumerate(got, 1) if x is None]
+                lost = [words[i][j] for j in at]
+                if any(not w or w[0].isspace() for w in lost):     # such a word is never known by itself
+                    words[i] = self._words(texts[i])
+                    lost, at = words[i][1:], None
+                new.update(lost)
+                gaps.append((i, at))
         if new:
-            self._learn(list(new))
+            self._learn([w for w in new if w not in self.known])
         starts = list({w[0] for w in words if w and w[0] not in self.first})
         self.first.update(zip(starts, self._ids(starts)))
-        for i in gaps:
-            ids[i] = [self.known[w] for w in words[i][1:]]
+        for i, at in gaps:
+            if at is None:
+                ids[i] = list(map(self.known.get, words[i][1:]))
+            else:
+                for j in at:
+                    ids[i][j - 1] = self.known[words[i][j]]
         return [self._ids([t])[0] if alone else self.first[w[0]] + b"".join(got)
                 for t, alone, w, got in zip(texts, whole, words, ids)]
 
