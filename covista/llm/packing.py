@@ -32,7 +32,7 @@ from .common import cut_lineage, kept, map_batches, texts
 END_ID = 2
 LENGTH = 1024                 # tokens of a sequence
 SHARD_PIECES = 1 << 14
-CACHE_WORDS = 1_500_000       # words remembered by a Python worker
+CACHE_WORDS = 1_000_000       # words remembered by a Python worker
 LINE_WORDS = 64               # new words encoded as one text
 SPACE = "Ġ"              # how the vocabulary writes a space
 PIECES = "key bigint, doc_id bigint, piece int, start bigint, ids binary"
