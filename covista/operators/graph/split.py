@@ -20,6 +20,7 @@ from .eigen import leading_eigenvector_labels
 from .label_prop import label_propagation_labels
 from .merges import fast_greedy_merges
 from .moving import local_moving_labels, moves_left
+from .walktrap import walktrap_labels
 
 
 def community_labels(edges: DataFrame, method: int, p: Params, keys: list[str] = [KEY],
@@ -28,6 +29,8 @@ def community_labels(edges: DataFrame, method: int, p: Params, keys: list[str] =
     gamma = p.sg_gamma if gamma is None else gamma
     if method == 1:
         return fast_greedy_merges(edges, keys, p.k)[0]
+    if method == 2:
+        return walktrap_labels(edges, keys, p.k)
     if method == 3:
         return leading_eigenvector_labels(edges, keys)
     if method == 4:

@@ -8,13 +8,13 @@ from dataclasses import dataclass, replace
 # formulas and the community methods it knows.
 CAT_LEVELS = ("SubCategory", "SubSubCategory")
 NORMS = (1, 2, 3, 4, 5)
-METHODS = (1, 3, 4, 6, 7, 8)   # of the interface's codes 1 to 8, those that are built
+METHODS = (1, 2, 3, 4, 6, 7, 8)   # of the interface's codes 1 to 8, those that are built
 VISIBLE_RULES = ("after", "on_or_after")
 JOINT_MODES = ("daily_min", "row_weighted", "min_of_sums")
 
 # Methods that return a dendrogram (cut at k, else at best modularity) and the ones
 # that take a resolution parameter.
-DENDROGRAM_METHODS = (1,)
+DENDROGRAM_METHODS = (1, 2)
 RESOLUTION_METHODS = (7, 8)
 
 
