@@ -53,6 +53,11 @@ def _with_loop() -> F.Column:
     return F.col("kv").cast("double") * (F.col("deg") + 1) / F.col("deg")
 
 
+def strengths(edges: DataFrame, keys: list[str] = [KEY]) -> DataFrame:
+    """``keys + [v, k]``: every vertex's strength with its loop, in integer weight units."""
+    return _links(edges, keys)[1].select(*keys, "v", _with_loop().alias("k"))
+
+
 def _shares(rows: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """The step matrix P: ``keys + [v, u, share]``, loops included."""
     out = rows.join(nodes, [*keys, "v"]).select(*keys, "v", "u", (F.col("w").cast("double") / _with_loop()).alias("share"))

@@ -284,6 +284,7 @@ from ..operators.graph.moving import (accepted_moves, best_moves, level0, louvai
 from ..operators.graph.merges import best_cut_steps, cut_merges, fast_greedy, fast_greedy_merges, first_joins  # noqa: E402
 from ..operators.graph.eigen import leading_eigenvector, modularity_product, possible_splits  # noqa: E402
 from ..operators.graph.betweenness import edge_betweenness  # noqa: E402
+from ..operators.graph import walktrap as W  # noqa: E402
 from ..operators import overlap  # noqa: E402
 from ..operators.pairs import shared_visitor_counts  # noqa: E402
 from . import qc as QC  # noqa: E402
@@ -536,7 +537,49 @@ def q_modularity_product(spark, sf):
     return modularity_product(e, mem, x).select(KEY, F.col("v").alias("sku"), F.round("y", 9).alias("y"))
 
 
+def q_walk_probabilities(spark, sf):
+    return _r(W.walk_probabilities(flagship_edges(spark, sf), 2), "p")
+
+
+def q_walk_distances(spark, sf):
+    """Per category the linked pairs, and those whose projected walk distance is off the exact one, from whole
+    rows of ``W.STEPS`` steps, by more than six standard errors."""
+    e = flagship_edges(spark, sf)
+    g = cut_lineage(G.simplify(e).filter("weight > 0").select(KEY, "src", "dst"), "edges")
+    vec = cut_lineage(W.walk_vectors(e), "walks")
+    on = lambda t, end: (F.col(f"g.{KEY}") == F.col(f"{t}.{KEY}")) & (F.col(f"g.{end}") == F.col(f"{t}.v"))
+    guess = (g.alias("g").join(vec.alias("a"), on("a", "src")).join(vec.alias("b"), on("b", "dst"))
+              .select(F.col(f"g.{KEY}").alias(KEY), "src", "dst", F.expr(W.walk_distance(W.DIMS)).alias("guess")))
+    p = W.walk_probabilities(e, W.STEPS)
+    k = W.strengths(e)
+    mean = k.groupBy(KEY).agg(F.avg("k").alias("mean"))
+    to = lambda end, sign: (g.join(p.withColumnRenamed("s", end), [KEY, end])
+                             .select(KEY, "src", "dst", "v", (F.lit(sign) * F.col("p")).alias("p")))
+    apart = to("src", 1.0).unionByName(to("dst", -1.0)).groupBy(KEY, "src", "dst", "v").agg(F.sum("p").alias("d"))
+    exact = (apart.join(k, [KEY, "v"]).join(mean, KEY).groupBy(KEY, "src", "dst")
+                  .agg(F.sum(F.col("d") * F.col("d") * F.col("mean") / F.col("k")).alias("exact")))
+    off = F.abs(F.col("guess") - F.col("exact")) > F.lit(6 * (2.0 / W.DIMS) ** 0.5) * F.col("exact") + F.lit(1e-9)
+    return (guess.join(exact, [KEY, "src", "dst"], "left").groupBy(KEY)
+                 .agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.coalesce(off, F.lit(True)).cast("bigint")).alias("n_off")))
+
+
+def q_community_walktrap(spark, sf):
+    return W.walktrap(flagship_edges(spark, sf))
+
+
+def q_walktrap_invariants(spark, sf):
+    """``moves_left`` counts the links between communities that the whole dendrogram leaves apart."""
+    e = flagship_edges(spark, sf)
+    every, merges = W.walktrap_merges(e)
+    merges = cut_lineage(merges, "merges")
+    return invariants(e, cut_lineage(W.cut_walks(every, merges)), "cluster", W.unmerged(e, merges))
+
+
 QUERIES.update({
+    "walk_probabilities": q_walk_probabilities,
+    "walk_distances": q_walk_distances,
+    "community_walktrap": q_community_walktrap,
+    "walktrap_invariants": q_walktrap_invariants,
     "pair_overlap_arrays": q_pair_overlap_arrays,
     "sku_views_sketched": q_sku_views_sketched,
     "edge_betweenness": q_edge_betweenness,
@@ -626,7 +669,7 @@ reach(sub_category, sku, c) AS (
   UNION
   SELECT r.sub_category, cd.u, r.c FROM reach r JOIN cd ON cd.sub_category = r.sub_category AND cd.v = r.sku)
 SELECT sub_category, sku, min(c) AS comp FROM reach GROUP BY sub_category, sku""",
-        **{f"{name}_invariants": _invariant_sql(chain, "edges") for name in ("louvain", "potts", "fast_greedy", "leading_eigenvector", "split")},
+        **{f"{name}_invariants": _invariant_sql(chain, "edges") for name in ("louvain", "potts", "fast_greedy", "leading_eigenvector", "walktrap", "split")},
         "louvain_round": _round_sql(chain, 1.0, 0.0),
         "potts_round": _round_sql(chain, 0.5, 0.0),
         "signed_potts_round": _round_sql("WITH " + O.base_ctes(P(**SIGNED)) + O.pair_ctes(P(**SIGNED)) + O.edge_ctes(P(**SIGNED)), 0.5, 0.5),
@@ -642,6 +685,16 @@ sets AS (SELECT sub_category, sku, list(visitor) AS visitors FROM svk GROUP BY s
 SELECT a.sub_category, a.sku AS sku1, b.sku AS sku2, cast(len(list_intersect(a.visitors, b.visitors)) AS bigint) AS com
 FROM sets a JOIN sets b ON a.sub_category = b.sub_category AND a.sku < b.sku
 WHERE len(list_intersect(a.visitors, b.visitors)) > {p.joint_view_thresh}""",
+        "walk_probabilities": chain + ge + f""",
+wd AS (SELECT sub_category, src AS v, dst AS u, weight FROM ge WHERE weight > 0
+       UNION ALL SELECT sub_category, dst, src, weight FROM ge WHERE weight > 0),
+wk AS (SELECT sub_category, v, sum(weight) AS k, count(*) AS deg FROM wd GROUP BY sub_category, v),
+ws AS (SELECT wd.sub_category, v, u, weight / (k * (deg + 1) / deg) AS share FROM wd JOIN wk USING (sub_category, v)
+       UNION ALL SELECT sub_category, v, v, 1.0 / (deg + 1) FROM wk)
+SELECT a.sub_category, a.v AS s, b.u AS v, {_rs('p', 'sum(a.share * b.share)')}
+FROM ws a JOIN ws b ON b.sub_category = a.sub_category AND b.v = a.u GROUP BY a.sub_category, a.v, b.u""",
+        "walk_distances": chain + ge + """
+SELECT sub_category, count(*) AS n_pairs, cast(0 AS bigint) AS n_off FROM ge WHERE weight > 0 GROUP BY sub_category""",
         "sku_views_sketched": chain + """
 SELECT sub_category, count(*) AS n_skus, cast(0 AS bigint) AS n_off FROM allpv GROUP BY sub_category""",
         "edge_betweenness": _betweenness_sql(chain.replace("WITH ", "WITH RECURSIVE ", 1) + ge),
