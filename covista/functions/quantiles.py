@@ -38,3 +38,23 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     return held.groupBy(*keys).agg(*picks).select(
         *keys, *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}")).alias(name)
                  for i, name in enumerate(probs)])
+
+
+SKETCH_K = 400
+RANK_ERROR = 0.0133 * 200 / SKETCH_K   # of one quantile's rank, at 99 % confidence
+
+
+def quantile_sketches(df: DataFrame, keys: list[str], value: str, k: int = SKETCH_K) -> DataFrame:
+    """``keys + [sketch]``: a KLL sketch of the non-NULL values of every group.  Its size depends on ``k`` only
+    (a few kB), it is combined before the shuffle, and sketches of slices merge to that of the whole."""
+    v = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    return v.groupBy(*keys).agg(F.kll_sketch_agg_double("v", F.lit(k)).alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, keys: list[str], probs: dict[str, float], k: int = SKETCH_K) -> DataFrame:
+    """``keys + list(probs)``: percentiles of the merged sketches, each a value of the data whose rank is off by
+    about 1.33 % · 200 / k of the group's size at most (99 % of the time); ``exact_percentiles`` interpolates."""
+    if not all(0.0 <= p <= 1.0 for p in probs.values()):
+        raise ValueError("percentile probabilities must be within [0, 1]")
+    whole = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    return whole.select(*keys, *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(name) for name, p in probs.items()])

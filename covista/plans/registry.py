@@ -286,7 +286,8 @@ from ..operators.graph.eigen import leading_eigenvector, modularity_product, pos
 from ..operators.graph.betweenness import edge_betweenness  # noqa: E402
 from ..operators.graph import walktrap as W  # noqa: E402
 from ..operators import overlap  # noqa: E402
-from ..operators.pairs import shared_visitor_counts  # noqa: E402
+from ..operators.pairs import shared_visitor_counts, sku_pairs_by_prefix  # noqa: E402
+from ..functions.quantiles import RANK_ERROR, quantile_sketches, sketched_percentiles  # noqa: E402
 from . import qc as QC  # noqa: E402
 from ..runtime import cut_lineage  # noqa: E402
 
@@ -537,6 +538,29 @@ def q_modularity_product(spark, sf):
     return modularity_product(e, mem, x).select(KEY, F.col("v").alias("sku"), F.round("y", 9).alias("y"))
 
 
+def q_sku_pairs_prefix(spark, sf):
+    """J2 and F6 by prefix filtering."""
+    p = P()
+    st = _stage(spark, sf, p)
+    return sku_pairs_by_prefix(st.sv, st.kept, p.joint_view_thresh, p.hot_visitor_skus)
+
+
+def q_pmi_threshold_sketched(spark, sf):
+    """A9 from mergeable sketches of (category, sub-sub-category of the first SKU): per category the positive
+    weights, and whether the threshold's rank among them is off by more than twice the sketch's error."""
+    p = P()
+    w = E.pmi_weights(_stage(spark, sf, p).stats, p.norm).filter("weight > 0").select(KEY, "src", "weight")
+    ssc = fx.products(spark, sf).select(F.col("SubCategory").alias(KEY), F.col("ProductItemID").alias("src"), F.col("SubSubCategory").alias("ssc"))
+    w = cut_lineage(w.join(ssc, [KEY, "src"]), "weights")
+    perc = p.pmi_perc / 100.0
+    t = sketched_percentiles(cut_lineage(quantile_sketches(w, [KEY, "ssc"], "weight"), "sketches"), [KEY], {"t": perc})
+    ranks_at = w.join(t, KEY).groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("n_weights"), F.avg((F.col("weight") < F.col("t")).cast("double")).alias("lo"),
+        F.avg((F.col("weight") <= F.col("t")).cast("double")).alias("hi"))
+    off = (F.col("lo") > F.lit(perc + 2 * RANK_ERROR)) | (F.col("hi") < F.lit(perc - 2 * RANK_ERROR))
+    return ranks_at.select(KEY, "n_weights", off.cast("bigint").alias("n_off"))
+
+
 def q_walk_probabilities(spark, sf):
     return _r(W.walk_probabilities(flagship_edges(spark, sf), 2), "p")
 
@@ -576,6 +600,8 @@ def q_walktrap_invariants(spark, sf):
 
 
 QUERIES.update({
+    "sku_pairs_prefix": q_sku_pairs_prefix,
+    "pmi_threshold_sketched": q_pmi_threshold_sketched,
     "walk_probabilities": q_walk_probabilities,
     "walk_distances": q_walk_distances,
     "community_walktrap": q_community_walktrap,
@@ -685,6 +711,9 @@ sets AS (SELECT sub_category, sku, list(visitor) AS visitors FROM svk GROUP BY s
 SELECT a.sub_category, a.sku AS sku1, b.sku AS sku2, cast(len(list_intersect(a.visitors, b.visitors)) AS bigint) AS com
 FROM sets a JOIN sets b ON a.sub_category = b.sub_category AND a.sku < b.sku
 WHERE len(list_intersect(a.visitors, b.visitors)) > {p.joint_view_thresh}""",
+        "sku_pairs_prefix": O.pipeline_sql(p, "SELECT sub_category, sku1, sku2, com FROM pairs"),
+        "pmi_threshold_sketched": chain + """
+SELECT sub_category, count(*) AS n_weights, cast(0 AS bigint) AS n_off FROM w WHERE weight > 0 GROUP BY sub_category""",
         "walk_probabilities": chain + ge + f""",
 wd AS (SELECT sub_category, src AS v, dst AS u, weight FROM ge WHERE weight > 0
        UNION ALL SELECT sub_category, dst, src, weight FROM ge WHERE weight > 0),

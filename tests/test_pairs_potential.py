@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from covista.operators.pairs import shared_visitor_counts
+from covista.operators.pairs import shared_visitor_counts, sku_pairs_by_prefix, split_prefixes
 from covista.operators.potential import joint_potential_keys, sku_potential
 from micro import D
 
@@ -33,6 +33,23 @@ def test_blocked_self_join_equals_brute_force(spark):
     assert got == brute_pairs(rows)
 
 
+def test_prefix_filter_equals_brute_force_and_spares_a_bot(spark):
+    rnd = random.Random(9)
+    rows = {("A" if rnd.random() < 0.7 else "B", rnd.randrange(40), rnd.randrange(25)) for _ in range(700)}
+    rows |= {("A", sku, 999) for sku in range(38)}          # a bot that saw nearly all
+    rows |= {("A", 77, v) for v in range(200, 400)}         # a SKU with many visitors of its own
+    df = spark.createDataFrame(sorted(rows), "sub_category string, sku long, visitor long")
+    kept = df.select("sub_category", "sku").distinct()
+    want = brute_pairs(rows)
+    for t in (0, 1, 4):
+        got = {(r.sub_category, r.sku1, r.sku2): r.com for r in sku_pairs_by_prefix(df, kept, t, hot_visitor_skus=4).collect()}
+        assert got == {pair: n for pair, n in want.items() if n > t}
+    prefix, busy = split_prefixes(df, 1)
+    assert prefix.filter("visitor = 999").isEmpty() and busy.groupBy("sub_category", "sku").count().filter("count > 1").isEmpty()
+    assert prefix.count() + busy.count() == len(rows)
+    assert sku_pairs_by_prefix(df.limit(0), kept, 1).count() == 0
+
+
 def _traffic(spark, rows):
     return spark.createDataFrame(rows, "sub_category string, ssc string, visit_date date, visits long")
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from covista.functions.quantiles import exact_percentiles
+from covista.functions.quantiles import RANK_ERROR, exact_percentiles, quantile_sketches, sketched_percentiles
 from covista.operators.edges import pmi_edges, pmi_weights
 from covista.params import Params
 
@@ -22,7 +22,7 @@ def test_undefined_weights_are_null_and_dropped(spark):
 def test_bad_codes_raise():
     with pytest.raises(ValueError):
         Params(norm=6).validate()
-    for method in (2, 3, 5, 9):      # known codes without a method are refused before any work
+    for method in (0, 5, 9):      # known codes without a method are refused before any work
         with pytest.raises(ValueError):
             Params(method=method).validate()
         with pytest.raises(ValueError):
@@ -38,3 +38,19 @@ def test_exact_percentiles_match_numpy(spark):
     for k in "AB":
         vals = [v for c, v in rows if c == k]
         assert got[k] == pytest.approx(tuple(np.percentile(vals, [5, 50, 85])), rel=1e-12)
+
+
+def test_merged_sketches_are_within_their_rank_error(spark):
+    rnd = random.Random(4)
+    rows = [(g, rnd.randrange(20), rnd.gauss(0, 1) if g == "A" else float(rnd.randrange(3))) for g in "AB" for _ in range(30_000)]
+    rows += [("C", 0, 5.0), ("C", 1, None), ("D", 0, None)]
+    df = spark.createDataFrame(rows, "g string, day int, v double")
+    got = sketched_percentiles(quantile_sketches(df, ["g", "day"], "v"), ["g"], {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    got = {r.g: r for r in got.collect()}
+    assert set(got) == {"A", "B", "C"} and got["C"].p50 == 5.0
+    for g in "AB":
+        values = [v for h, _, v in rows if h == g]
+        for name, p in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)):
+            x = got[g][name]
+            below, upto = (sum(f) / len(values) for f in ([v < x for v in values], [v <= x for v in values]))
+            assert below - 2 * RANK_ERROR <= p <= upto + 2 * RANK_ERROR
