@@ -472,7 +472,7 @@ def _round(gamma, lam, **kw):
         made = accepted_moves(rows, moves, totals, [KEY], gamma, lam).select(KEY, "v", F.lit(1).alias("made"))
         return moves.join(totals, KEY).join(made, [KEY, "v"], "left").select(
             KEY, F.col("v").alias("sku"), F.col("c").alias("target"), F.coalesce("made", F.lit(0)).alias("made"),
-            F.round(F.col("gain") / F.col("mp2"), ROUND).alias("gain"))
+            F.round(F.try_divide("gain", "mp2"), ROUND).alias("gain"))   # NULL in a graph without positive links
     return run
 
 
@@ -783,7 +783,7 @@ hd AS (SELECT sub_category, v, any_value(gain) AS gain, any_value(kp) AS kp, any
 ok AS (SELECT hd.sub_category, hd.v FROM hd JOIN tot USING (sub_category)
        WHERE gain > {gamma} * CASE WHEN mp2 > 0 THEN kp * rp / mp2 ELSE 0.0 END + {lam} * CASE WHEN mn2 > 0 THEN kn * rn / mn2 ELSE 0.0 END)
 SELECT mv.sub_category, mv.v AS sku, mv.c AS target, CASE WHEN ok.v IS NULL THEN 0 ELSE 1 END AS made,
-       round(mv.gain / mp2, {ROUND}) AS gain
+       round(mv.gain / nullif(mp2, 0), {ROUND}) AS gain
 FROM mv JOIN tot USING (sub_category) LEFT JOIN ok ON ok.sub_category = mv.sub_category AND ok.v = mv.v""")
 
 
