@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import running_before
+from ..runtime import cut_lineage
 from ..sources.fixtures import REGIONS, region_column
 
 METRIC_COLUMNS = ["conv_crt_to_ord", *[region_column(r) for r in REGIONS]]
@@ -22,6 +23,7 @@ def percentile_column(metric: str) -> str:
 
 def metric_percentiles(metrics: DataFrame, cols: list[str], by: str = "subSubCategory",
                        id_col: str = "productItemID") -> DataFrame:
+    metrics = cut_lineage(metrics, "metrics")     # read by every rank
     sizes = metrics.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     out = metrics.join(sizes.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     for c in cols:

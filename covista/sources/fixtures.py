@@ -16,6 +16,9 @@ from .tables import PAGEVIEWS_SCHEMA, PRODUCTS_SCHEMA, SKU_IMAGES_SCHEMA, confor
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
+TASK_ROWS = 250_000     # rows that a task groups by product and order, about
+
+
 def region_column(name: str) -> str:
     return "conv_crt_to_ord_" + name.lower().replace(" ", "_")
 
@@ -56,7 +59,9 @@ def sku_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def product_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per product: cart rows, distinct orders, overall and per-region conversion, brand.
 
-    One aggregation pass: the regional columns are conditional averages, not a pivot.
+    One aggregation pass: the regional columns are conditional averages, not a pivot.  The rows are dealt by
+    product and order before they are grouped: nearly every row is a group of its own, so grouping the
+    rows of a whole file split would hold them all in one task's memory.
     """
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -68,6 +73,7 @@ def product_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
               .join(c, o.o_custkey == c.c_custkey, "left")
               .join(n, c.c_nationkey == n.n_nationkey, "left")
               .join(r, n.n_regionkey == r.r_regionkey, "left"))
+    rows = rows.repartition(max(1, -(-li.count() // TASK_ROWS)), "l_partkey", "l_orderkey")
     flag = F.when(F.col("l_returnflag") == "N", F.lit(1.0)).otherwise(F.lit(0.0))
     aggs = [F.count(F.lit(1)).alias("numRatedCarts"),
             F.countDistinct("l_orderkey").alias("numOrders"),

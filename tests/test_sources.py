@@ -2,8 +2,9 @@ import pytest
 
 from covista.params import Params
 from covista.runtime import cut_lineage, drop_table, ensure_checkpoint_dir
-from covista.sources import sinks, tables, text
+from covista.sources import fixtures, sinks, tables, text
 
+SF = "/root/testdata/sf0.001"
 STATS = "sub_category string, sku1 long, sku2 long, pv1 long, pv2 long, com long, total long, pot1 long, pot2 long, pot_joint long"
 
 
@@ -82,3 +83,14 @@ def test_stages_build_only_what_is_asked(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "cut_lineage", lambda df, label="table": written.append(label) or real(df, label))
     registry.q_sku_pairs(spark, "/root/testdata/sf0.001").count()
     assert written == ["visitors", "kept", "pairs"]
+
+
+def test_product_metrics_deal_rows_before_they_are_grouped(spark, monkeypatch):
+    """No task groups a whole file split by product and order."""
+    plain = sorted(map(tuple, fixtures.product_metrics(spark, SF).collect()), key=str)
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 1000)
+    df = fixtures.product_metrics(spark, SF)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    lowest = plan[plan.rindex("HashAggregate"):]
+    assert "REPARTITION_BY_NUM" in lowest and "hashpartitioning(l_partkey" in lowest
+    assert sorted(map(tuple, df.collect()), key=str) == plain
