@@ -74,3 +74,20 @@ def test_sketches_of_days_add_up_to_a_window(spark):
                 .groupBy("sku").count().collect()}
     for r in overlap.sku_views_estimate(sketches, "2020-01-03", "2020-01-06").collect():
         assert abs(r.pv - distinct[r.sku]) <= 4 * overlap.ERROR * distinct[r.sku] and exact[r.sku] >= distinct[r.sku]
+
+
+def test_pairs_of_short_sets_are_one_row_and_large_sets_stay_words(spark, monkeypatch):
+    """A pair is joined once for each SKU, not once for each word of a SKU; sets over the bound are looked up by word."""
+    rng = random.Random(5)
+    size = {s: 4 if s < 4 else 90 for s in range(8)}
+    sets = {s: {64 * w + rng.randrange(3) for w in rng.sample(range(100), n)} for s, n in size.items()}
+    sv = spark.createDataFrame([("A", s, v) for s, vs in sets.items() for v in vs], "sub_category string, sku long, visitor long")
+    pairs = spark.createDataFrame([("A", a, b) for a, b in itertools.combinations(range(8), 2)] + [("A", 0, 99), (None, 0, 1)],
+                                  "sub_category string, sku1 long, sku2 long")
+    want = {("A", a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(range(8), 2)} | {("A", 0, 99): 0, (None, 0, 1): 0}
+    words = overlap.visitor_words(sv)
+    for limit in (0, 10, 128):
+        assert {(r.sub_category, r.sku1, r.sku2): r.com for r in overlap.pair_overlap(words, pairs, limit).collect()} == want
+    lists = {r.sku: (r.n, r.l) for r in overlap.word_lists(words, 10).collect()}
+    assert {s for s, (n, l) in lists.items() if l is None} == {4, 5, 6, 7}
+    assert all(set(l) == sets[s] for s, (n, l) in lists.items() if l is not None)
