@@ -27,7 +27,7 @@ from .common import kept, map_batches, scratch_path, shuffle_partitions, texts
 
 END_ID = 1
 BLOCK_IDS = 1 << 18      # a block is closed after this many ids; a longer document is one block
-CACHE_WORDS = 2_500_000  # words remembered by a Python worker
+CACHE_WORDS = 1_200_000  # words remembered by a Python worker, in two halves
 LINE_WORDS = 64          # new words encoded as one text
 PUNCTUATION = ".,|!*$#%&"
 DOTTED = "\u0130"        # the capital I with a dot
@@ -42,6 +42,9 @@ class WordIds:
     pattern; it is looked up in lower case and without trailing punctuation, which the pattern
     separates from letters.  The new plain words of a batch are encoded as lines of text and cut after each
     id that ends a word.  The library's own threads stay off: a task has one core.
+
+    Words are remembered in two halves: when the newer is full it becomes the older, and the older is
+    forgotten but for the words that were met again.
     """
 
     def __init__(self, path: str):
@@ -51,6 +54,17 @@ class WordIds:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def _met(self, word: str) -> bool:
+        """Whether either half holds the word; the newer one holds it then."""
+        if word in self.known:
+            return True
+        ids = self.older.get(word)
+        if ids is None:
+            return False
+        self.known[word] = ids
+        return True
 
     def _each(self, words: list[str]) -> None:
         for word, got in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
@@ -74,15 +88,17 @@ class WordIds:
         known = self.known
         derived, plain, other = [], set(), set()
         for word in words:
+            if self._met(word):
+                continue
             core = word.rstrip(PUNCTUATION)
             # composed letters whose lower case is one letter; that of a dotted capital I is two
             if core.isalpha() and (core.isascii() or max(core) < "\u0180" and DOTTED not in core):
                 low = core.lower()
-                if low not in known:
+                if not self._met(low):
                     plain.add(low)
                 if low != word:
                     tail = word[len(core):]
-                    if tail not in known:
+                    if not self._met(tail):
                         other.add(tail)
                     derived.append((word, low, tail))
             else:
@@ -96,8 +112,8 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.known) >= CACHE_WORDS:
-            self.known = {"": b""}
+        if len(self.known) >= CACHE_WORDS // 2:
+            self.older, self.known = self.known, {"": b""}
         words = [t.replace("\n", " ").split(" ") for t in texts]
         ids = [list(map(self.known.get, w)) for w in words]
         gaps = [[j for j, i in enumerate(got) if i is None] if None in got else () for got in ids]

@@ -70,3 +70,23 @@ def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     write_token_files(df, str(tmp_path / "t"), PATH)
     assert read_token_files(spark, str(tmp_path / "t"), digest=True).collect() == []
+
+
+def test_words_met_again_stay_when_the_memory_is_full(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    from covista.llm import token_files
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 80)
+    coder = token_files.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    encoded, learn = [], coder._plain
+    monkeypatch.setattr(coder, "_plain", lambda words: (encoded.extend(words), learn(words)))
+    rng, most = random.Random(1), 0
+    for _ in range(60):
+        rare = ["".join(rng.choices("abcdeéßñ", k=9)) + rng.choice(["", ",", "###", ".%%%", "*x*", "'s.", "²,", "\n\u0301."]) for _ in range(10)]
+        text = " Start common,%%% words " + " ".join(rare) + " Common stay. common"
+        assert coder.encode([text]) == [np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+        most = max(most, len(coder.known), len(coder.older))
+    assert encoded.count("common") == encoded.count("words") == 1
+    assert most < 80
