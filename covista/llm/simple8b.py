@@ -63,17 +63,17 @@ def encode(ids: np.ndarray) -> bytes:
             break   # nor do more, narrower values fit anywhere
         np.copyto(pick, j + 1, where=fits)
         np.copyto(take, count, where=fits)
-    step = take.tobytes()
-    at, offsets = [], np.zeros(subs + 1, np.uint64)
-    push = at.append
-    for s in range(subs):
-        i = s * (SUB + PAD)
-        end = i + min(SUB, n - s * SUB)
-        while i < end:
-            push(i)
-            i += step[i]
-        offsets[s + 1] = len(at)
-    starts = np.array(at, np.int64)
+    # one step a word, in all sub-blocks at once; one that is through stays at its end
+    first = np.arange(subs) * (SUB + PAD)
+    ends = first + np.minimum(SUB, n - np.arange(subs) * SUB)
+    at, now = [], first
+    while (now < ends).any():
+        at.append(now)
+        now = np.minimum(now + take[now], ends)
+    places = np.array(at, np.int64).reshape(len(at), subs).T
+    open_ = places < ends[:, None]
+    offsets = np.concatenate(([0], np.cumsum(open_.sum(axis=1)))).astype(np.uint64)
+    starts = places[open_]
     sel = pick[starts] if len(starts) else np.zeros(0, np.uint8)
     words = np.zeros(len(starts), np.uint64)
     for j, (count, bits) in enumerate(SELECTORS, 1):

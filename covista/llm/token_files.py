@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import simple8b
-from .common import kept, map_batches, scratch_path, shuffle_partitions, texts
+from . import simple8b, word_cuts
+from .common import kept, map_batches, scratch_path, shuffle_partitions
 
 END_ID = 1
 BLOCK_IDS = 1 << 18      # a block is closed after this many ids; a longer document is one block
@@ -34,11 +35,17 @@ DOTTED = "\u0130"        # the capital I with a dot
 BLOCKS = "shard int, ids_before bigint, doc_ids array<bigint>, lens array<bigint>, payload binary"
 
 
+def _cuts(data: np.ndarray, ends: np.ndarray, flags: np.ndarray) -> None:
+    flags[:-1] = (data == word_cuts.SPACE) | (data == word_cuts.LINE_FEED)
+    flags[word_cuts.marks_after_letters(data)] = True
+
+
 class WordIds:
     """Ids of words by the tokenizer, as little-endian bytes, remembered across tasks of a worker.
 
-    Texts are cut at spaces and line feeds only: this vocabulary's pattern drops white space and no
-    match spans it, so a text's ids are those of its words in order.  A plain word is one match of the
+    Texts are cut at spaces, line feeds and marks behind letters: this vocabulary's pattern drops white
+    space and no match spans it, nor a letter and a mark behind it, so a text's ids are those of its words
+    in order.  A plain word is one match of the
     pattern; it is looked up in lower case and without trailing punctuation, which the pattern
     separates from letters.  The new plain words of a batch are encoded as lines of text and cut after each
     id that ends a word.  The library's own threads stay off: a task has one core.
@@ -85,24 +92,29 @@ class WordIds:
                 at = end
 
     def _learn(self, words: set[str]) -> None:
-        known = self.known
+        """Words that the newer half does not hold."""
+        known, older = self.known, self.older
         derived, plain, other = [], set(), set()
         for word in words:
-            if self._met(word):
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
                 continue
-            core = word.rstrip(PUNCTUATION)
+            core = word if word.isalpha() else word.rstrip(PUNCTUATION)
             # composed letters whose lower case is one letter; that of a dotted capital I is two
-            if core.isalpha() and (core.isascii() or max(core) < "\u0180" and DOTTED not in core):
-                low = core.lower()
-                if not self._met(low):
-                    plain.add(low)
-                if low != word:
-                    tail = word[len(core):]
-                    if not self._met(tail):
-                        other.add(tail)
-                    derived.append((word, low, tail))
-            else:
+            if not core.isalpha() or not core.isascii() and (max(core) >= "\u0180" or DOTTED in core):
                 other.add(word)
+                continue
+            low = core.lower()
+            if low == word:
+                plain.add(word)
+                continue
+            if not self._met(low):
+                plain.add(low)
+            tail = word[len(core):]
+            if tail and not self._met(tail):
+                other.add(tail)
+            derived.append((word, low, tail))
         if plain:
             self._plain(list(plain))
         if other:
@@ -110,20 +122,19 @@ class WordIds:
         for word, low, tail in derived:
             known[word] = known[low] + known[tail]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text."""
         if len(self.known) >= CACHE_WORDS // 2:
             self.older, self.known = self.known, {"": b""}
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        ids = [list(map(self.known.get, w)) for w in words]
-        gaps = [[j for j, i in enumerate(got) if i is None] if None in got else () for got in ids]
-        new = {ws[j] for ws, gap in zip(words, gaps) for j in gap}
-        if new:
-            self._learn(new)
-            for ws, got, gap in zip(words, ids, gaps):
-                for j in gap:
-                    got[j] = self.known[ws[j]]
-        return list(map(b"".join, ids))
+        found, firsts = word_cuts.segments(texts, _cuts)
+        words = pc.utf8_ltrim(found.dictionary, " \n").to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, words))
+        gaps = [i for i, got in enumerate(ids) if got is None]
+        if gaps:
+            self._learn({words[i] for i in gaps})
+            for i in gaps:
+                ids[i] = self.known[words[i]]
+        return word_cuts.texts_of(ids, found, firsts)
 
 
 def word_ids(path: str) -> WordIds:
@@ -145,8 +156,8 @@ def _pack(tokenizer: str, end_id: int, block_ids: int, id_col: str, text_col: st
                  pa.array([simple8b.encode(ids)], pa.binary())],
                 names=["shard", "ids_before", "doc_ids", "lens", "payload"])
 
-        for batch in batches:
-            for doc, ids in zip(batch.column(id_col).to_pylist(), words.encode(texts(batch, text_col))):
+        for batch in word_cuts.joined(batches):
+            for doc, ids in zip(batch.column(id_col).to_pylist(), words.encode(batch.column(text_col))):
                 ids += end
                 docs.append(doc)
                 lens.append(len(ids) // 4)

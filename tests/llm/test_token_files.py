@@ -90,3 +90,44 @@ def test_words_met_again_stay_when_the_memory_is_full(monkeypatch):
         most = max(most, len(coder.known), len(coder.older))
     assert encoded.count("common") == encoded.count("words") == 1
     assert most < 80
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(LETTERS + "×÷'’.,|!*$#%&<>5½\n\t ́̇ "), max_size=25)), min_size=1, max_size=12))
+def test_columns_give_the_library_ids(texts):
+    import pyarrow as pa
+
+    from covista.llm.token_files import word_ids
+    coder = word_ids(PATH)
+    texts = texts + ["a.<|endoftext|> b<|STARTOFTEXT|>", None, ""]
+    want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for column in (pa.array(texts, pa.string()), pa.array(["x. y", *texts], pa.string())[1:]):
+        assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(column)] == want
+
+
+def test_a_word_is_looked_up_once_a_batch():
+    from covista.llm.token_files import WordIds
+
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, *a):
+            self.lookups += 1
+            return super().get(*a)
+
+    coder = WordIds(PATH)
+    texts = ["One word, another word.\nAnother one! " * 50] * 40
+    want = coder.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    coder.known = Counted(coder.known)
+    for _ in range(2):
+        assert all(np.frombuffer(b, "<u4").tolist() == want for b in coder.encode(texts))
+    assert coder.known.lookups < 100
+
+
+def test_a_block_takes_one_step_for_all_sub_blocks():
+    rng = np.random.default_rng(3)
+    for n in (1, simple8b.SUB - 1, simple8b.SUB, simple8b.SUB + 1, 20 * simple8b.SUB + 7):
+        x = rng.choice(np.array([0, 1, 9, 700, 40_000, 1 << 25, 1 << 59, (1 << 64) - 1], np.uint64), n)
+        block = simple8b.encode(x)
+        assert (simple8b.decode(block) == x).all()
+        assert (simple8b.decode_sub(block, (n - 1) // simple8b.SUB) == x[(n - 1) // simple8b.SUB * simple8b.SUB:]).all()
