@@ -27,31 +27,39 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, kept, map_batches, texts
+from . import word_cuts
+from .common import cut_lineage, kept, map_batches
 
 END_ID = 2
 LENGTH = 1024                 # tokens of a sequence
 SHARD_PIECES = 1 << 14
 CACHE_WORDS = 1_000_000       # words remembered by a Python worker, in two halves
-PUNCTUATION = ".,|!*$#%&"
 LINE_WORDS = 64               # new words encoded as one text
-SPACE = "Ġ"              # how the vocabulary writes a space
+SPACE, FEED = "Ġ", "Ċ"   # how the vocabulary writes a space and a line feed
 PIECES = "key bigint, doc_id bigint, piece int, start bigint, ids binary"
 PACKED = "doc_id bigint, piece int, start bigint, ids binary, sequence_id bigint, offset bigint"
 
 
+def _cuts(data: np.ndarray, ends: np.ndarray, flags: np.ndarray) -> None:
+    at = np.flatnonzero((data == word_cuts.SPACE) | (data == word_cuts.LINE_FEED))
+    at = word_cuts.before_words(data, ends, at)
+    flags[at] = True
+    flags[at[data[at] == word_cuts.LINE_FEED] + 1] = True
+    flags[word_cuts.marks_after_letters(data)] = True
+
+
 class ByteLevelIds:
     """Ids of texts by a byte-level BPE tokenizer, as little-endian bytes.
 
-    The vocabulary's pattern starts a match at every space that is followed by anything but white space,
-    and looks at nothing before it.  So a text's ids are those of its parts between such spaces, and a
-    part's ids are remembered across the tasks of a worker.  New parts are encoded as lines, and cut at
-    the ids that begin with the space.  The pattern also separates letters from the punctuation behind
-    them, so a new word of letters and punctuation has the ids of both.  Texts that hold a special token are
+    The vocabulary's pattern starts a match at white space right before anything else, and looks at
+    nothing before it; a line feed there is a match of its own, and a run of letters ends a match.  So a
+    text's ids are those of its parts between such places, and a part's ids are remembered across the
+    tasks of a worker.  New parts are encoded as lines: those that begin with a space are cut at the
+    ids that begin with it, the others at the line feeds between them.  Texts that hold a special token are
     encoded whole.
 
-    Words are remembered in two halves: when the newer is full it becomes the older, and the older is
-    forgotten but for the words that were met again.
+    Parts are remembered in two halves: when the newer is full it becomes the older, and the older is
+    forgotten but for the parts that were met again.
     """
 
     def __init__(self, path: str):
@@ -60,96 +68,81 @@ class ByteLevelIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
-        self.known: dict[str, bytes] = {}        # words that follow a space
-        self.older: dict[str, bytes] = {}        # those of the older half
-        self.first: dict[str, bytes] = {}        # words that begin a text
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.begins = np.array([t.startswith(SPACE) for t in tokens])
+        self.feeds = np.array([t == FEED for t in tokens])
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(got.ids, "<u4").tobytes() for got in found]
 
-    def _missing(self, words: Iterable[str]) -> list[str]:
-        """The words that neither half holds; those of the older one are met again."""
-        out = []
-        for word in words:
-            if word not in self.known:
-                ids = self.older.get(word)
-                if ids is None:
-                    out.append(word)
-                else:
-                    self.known[word] = ids
-        return out
-
-    def _begin(self, words: Iterable[str]) -> None:
-        new = list({w for w in words if w not in self.first})
-        self.first.update(zip(new, self._ids(new)))
-
-    def _learn(self, words: Iterable[str]) -> None:
-        derived, plain = [], set()
-        for word in self._missing(words):
-            core = word.rstrip(PUNCTUATION)
-            if core != word and core.isalpha() and (core.isascii() or max(core) < "\u0180"):
-                plain.add(core)
-                derived.append((word, core, word[len(core):]))
+    def _learn(self, parts: Iterable[str]) -> None:
+        """Parts that the newer half does not hold."""
+        spaced, others, alone = [], [], []
+        for part in parts:
+            ids = self.older.get(part)
+            if ids is not None:
+                self.known[part] = ids
+                continue
+            word = part[1:] if part[0] == " " else part
+            if word.split() != [word]:
+                alone.append(part)
+            elif word is part:
+                others.append(word)
             else:
-                plain.add(word)
-        self._encode_lines(self._missing(plain))
-        self._begin(tail for _, _, tail in derived)
-        for word, core, tail in derived:
-            self.known[word] = self.known[core] + self.first[tail]
+                spaced.append(word)
+        self._encode_lines(spaced)
+        self._encode_others(others)
+        self.known.update(zip(alone, self._ids(alone)))
 
     def _encode_lines(self, words: list[str]) -> None:
+        """Words behind a space."""
         lines = [words[i:i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
         for line, data in zip(lines, self._ids([" " + " ".join(line) for line in lines])):
             cuts = np.flatnonzero(self.begins[np.frombuffer(data, "<u4")])
             if len(cuts) != len(line):
-                self.known.update(zip(line, self._ids([" " + w for w in line])))
+                parts = [" " + w for w in line]
+                self.known.update(zip(parts, self._ids(parts)))
                 continue
             at = (4 * cuts).tolist() + [len(data)]
-            for i, word in enumerate(line):
-                self.known[word] = data[at[i]:at[i + 1]]
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        """The parts of a text: a space before white space or at the end begins none."""
-        words = text.split(" ")
-        out = words[:1]
-        for w in words[1:]:
-            if w and not w[0].isspace():
-                out.append(w)
-            else:
-                out[-1] += " " + w
-        return out
+            for word, a, b in zip(line, at, at[1:]):
+                self.known[" " + word] = data[a:b]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _encode_others(self, words: list[str]) -> None:
+        """Words without white space, at the beginning of a text, of a line or behind another part."""
+        lines = [words[i:i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
+        for line, data in zip(lines, self._ids(["\n".join(line) for line in lines])):
+            cuts = np.flatnonzero(self.feeds[np.frombuffer(data, "<u4")])
+            if len(cuts) != len(line) - 1:
+                self.known.update(zip(line, self._ids(line)))
+                continue
+            at = [-4, *(4 * cuts).tolist(), len(data)]
+            for word, a, b in zip(line, at, at[1:]):
+                self.known[word] = data[a + 4:b]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text."""
-        if len(self.known) + len(self.first) >= CACHE_WORDS // 2:
-            self.older, self.known, self.first = self.known, {}, {}
-        whole = [any(s in t for s in self.special) for t in texts]
-        words = [[] if w else t.split(" ") for t, w in zip(texts, whole)]
-        ids = [list(map(self.known.get, w[1:])) for w in words]
-        gaps, new = [], set()
-        for i, got in enumerate(ids):
-            if None in got:
-                at = [j for j, x in enumerate(got, 1) if x is None]
-                lost = [words[i][j] for j in at]
-                if any(not w or w[0].isspace() for w in lost):     # such a word is never known by itself
-                    words[i] = self._words(texts[i])
-                    lost, at = words[i][1:], None
-                new.update(lost)
-                gaps.append((i, at))
-        if new:
-            self._learn(new)
-        self._begin(w[0] for w in words if w)
-        for i, at in gaps:
-            if at is None:
-                ids[i] = list(map(self.known.get, words[i][1:]))
-            else:
-                for j in at:
-                    ids[i][j - 1] = self.known[words[i][j]]
-        return [self._ids([t])[0] if alone else self.first[w[0]] + b"".join(got)
-                for t, alone, w, got in zip(texts, whole, words, ids)]
+        if len(self.known) >= CACHE_WORDS // 2:
+            self.older, self.known = self.known, {}
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        whole = np.zeros(len(column), bool)
+        for token in self.special:
+            whole |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        alone = np.flatnonzero(whole).tolist()
+        found, firsts = word_cuts.segments(pc.if_else(pa.array(whole), "", column) if alone else column, _cuts)
+        parts = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, parts))
+        gaps = [i for i, got in enumerate(ids) if got is None]
+        if gaps:
+            self._learn([parts[i] for i in gaps])
+            for i in gaps:
+                ids[i] = self.known[parts[i]]
+        out = word_cuts.texts_of(ids, found, firsts)
+        for i, got in zip(alone, self._ids([column[i].as_py() for i in alone])):
+            out[i] = got
+        return out
 
 
 def cut_at(n: int, length: int) -> list[int]:
@@ -164,9 +157,9 @@ def _pieces(tokenizer: str, end_id: int, length: int, id_col: str, text_col: str
         from pyspark import TaskContext
         coder = kept(("bytes", tokenizer), lambda: ByteLevelIds(tokenizer))
         end, key = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in word_cuts.joined(batches):
             docs, numbers, starts, cuts = [], [], [], []
-            for doc, ids in zip(batch.column(id_col).to_pylist(), coder.encode(texts(batch, text_col))):
+            for doc, ids in zip(batch.column(id_col).to_pylist(), coder.encode(batch.column(text_col))):
                 ids += end
                 at = cut_at(len(ids) // 4, length)
                 for i, (a, b) in enumerate(zip(at, at[1:])):

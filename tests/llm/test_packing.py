@@ -116,3 +116,24 @@ def test_words_met_again_stay_when_the_memory_is_full(monkeypatch):
         most = max(most, len(coder.known), len(coder.older))
     assert encoded.count("common") == encoded.count("words") == 1
     assert most < 80
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("abAZé×ßİ'.,!|<>1 \n\n\t\r\x85\xa0  　中—́"), max_size=25)), min_size=1, max_size=12))
+def test_columns_give_the_library_ids(library, texts):
+    import pyarrow as pa
+    coder = ByteLevelIds(PATH)
+    texts = texts + ["a<|endoftext|> b", None, ""]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for column in (pa.array(texts, pa.string()), pa.array(["x. y", *texts], pa.string())[1:]):
+        assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(column)] == want
+
+
+def test_words_at_line_ends_are_encoded_once(library, monkeypatch):
+    coder = ByteLevelIds(PATH)
+    encoded, ids = [], coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda parts: (encoded.extend(parts), ids(parts))[1])
+    names = [f"{a}{b}" for a in "klmnop" for b in "rstuvw"]
+    text = "".join(f"{a}.\n{b} {a},\n\n{b}!" for a in names for b in names)
+    assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, encoded)) < 20 * len(names)
