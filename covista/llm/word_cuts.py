@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 4 << 20    # of the texts looked up together
+BATCH_BYTES = 2 << 20    # of the texts looked up together
 SPACE, LINE_FEED = 32, 10
 
 _LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
@@ -44,8 +44,9 @@ def before_words(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarr
     at = at[~over[at + 1]]
     unsure = _WHITE_LEAD[data[at + 1]]
     maybe = at[unsure]
-    ahead = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64) if len(maybe) else data
-    code = (ahead[maybe + 1] << 16) | (ahead[maybe + 2] << 8) | ahead[maybe + 3] if len(maybe) else maybe
+    code = np.zeros(len(maybe), np.int64)
+    for i in (1, 2, 3):
+        code = (code << 8) | data[np.minimum(maybe + i, len(data) - 1)]
     white = np.zeros(len(maybe), bool)
     for width in _WHITE_WIDTH:
         white |= np.isin(code & width, _WHITE_CODES)
@@ -76,8 +77,8 @@ def texts_of(ids: list[bytes], found: pa.DictionaryArray, firsts: np.ndarray) ->
     if not len(spread):
         return [b""] * (len(firsts) - 1)
     at = np.frombuffer(spread.buffers()[1], np.int64)[firsts].tolist()
-    data = (spread.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
-    return [data[a:b] for a, b in zip(at, at[1:])]
+    data = memoryview(spread.buffers()[2] or b"")
+    return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
 
 
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
